@@ -31,7 +31,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RATES = (
     ("symbol_rate", "n_symbols", "word_chars", 5),
     ("upper_rate", "n_upper", "word_chars", 20),
-    ("repeat_rate", "n_repeat_words", "n_words", 40),
+    ("repeat_rate", "n_repeat_words", "n_words", 80),
     ("bang_rate", "n_bangs", "n_words", 10),
 )
 SPREAD = 6
