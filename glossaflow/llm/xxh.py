@@ -1,0 +1,23 @@
+"""Spark's xxhash64 of bigint columns, for arrays, so that tasks can look ids up in a bitmap that Spark has built."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _left(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def long_hash(seed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """XXH64 of eight-byte values; seed is 42 for a first column, else the hash so far."""
+    h = seed + _P5 + np.uint64(8)
+    h = h ^ (_left(values.view(np.uint64) * _P2, 31) * _P1)
+    h = _left(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
