@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, paragraph_dedup, quality_rules
+from . import bpe, jaccard_join, paragraph_dedup, pii, quality_rules
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -30,6 +34,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
