@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, paragraph_dedup, pii, quality_model, quality_rules, toxicity
+from . import bpe, decontamination, jaccard_join, paragraph_dedup, pii, quality_model, quality_rules, toxicity
 from .common import documents, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -40,6 +45,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,

@@ -52,7 +52,7 @@ def column_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes each (one longer row makes a range of its own)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -76,11 +76,14 @@ class Words:
         return len(self.row)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, breaks: bytes = b"") -> Words:
-    """The words of rows lo to hi. fold: A-Z count as a-z. breaks: further bytes at which words end."""
+def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, breaks: bytes = b"", accents: bool = False) -> Words:
+    """The words of rows lo to hi. fold: A-Z count as a-z; accents: so do U+00C0 to U+00DE. breaks: more bytes that end words."""
     base = int(offsets[lo])
     raw = data[base : int(offsets[hi])]
     text = LOWER[raw] if fold else raw
+    if accents and len(raw):
+        wide = np.append(False, raw[:-1] == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
+        text[wide] += 32
     inside = ~SPACE[text]
     for b in breaks:
         inside &= text != b
