@@ -45,7 +45,7 @@ def fold(text: str) -> str:
 
 
 def beginnings(word: str) -> list[str]:
-    return [word[:n] for n in range(4, min(len(word), 12))] + [word + " "]
+    return [word[:n] for n in range(4, min(len(word), 11) + 1)] + [word + " "]
 
 
 @dataclass
@@ -108,8 +108,9 @@ def learn(rows: list[tuple[str, int]], exceptions: frozenset[str] = frozenset())
         return math.log((toxic[term] + 0.5) / (n[1] + 1)) - math.log((clean[term] + 0.5) / (n[0] + 1))
 
     likely = {t for t, c in toxic.items() if c >= LEAST_TOXIC and weight(t) >= LEAST_WEIGHT}
-    # a beginning gives way to a longer one that almost all its toxic texts have
-    loose = {e[:k] for e in likely for k in range(4, len(e)) if toxic[e] >= 0.95 * toxic[e[:k]]}
+    # a beginning gives way to a longer one that almost all its toxic texts have, but to the whole word only for cause
+    narrower = lambda e, b: toxic[e] >= 0.95 * toxic[b] and (not e.endswith(" ") or clean[e] < clean[b])
+    loose = {e[:k] for e in likely for k in range(4, len(e)) if narrower(e, e[:k])}
     likely -= loose
     around: dict[str, set] = defaultdict(set)
     pairs: dict[str, list[Counter]] = defaultdict(lambda: [Counter(), Counter()])
