@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, paragraph_dedup, pii, quality_model, quality_rules, toxicity
+from . import bpe, decontamination, html_model, jaccard_join, paragraph_dedup, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -36,6 +36,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_model.extract(pages, html_model.train(pages)).withColumnRenamed("id", "page_id")
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -51,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html": op8_html,
     "op9_quality_model": op9_quality_model,
     "op10_jaccard_join": op10_jaccard_join,
 }
