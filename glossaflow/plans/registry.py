@@ -1,13 +1,16 @@
-"""Queries over the tables of a data folder, one for each group of operators, with the same in DuckDB's SQL."""
+"""Queries over the tables of a data folder, one or more for each group of operators, with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import catalog
+from ..functions import text
+from ..operators import catalog, leasing, messages, quality
 from ..session import table
+from ..sources import json_walk, scripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,12 +26,275 @@ def query(sql: str | None = None):
     return add
 
 
+# What the tables stand for: a document is an occurrence (text, surface = source, ref and order = doc_id, hint by language),
+# a benchmark item is a known source, a label an audit decision.
+HINT = "CASE lang WHEN 'en' THEN 'display' WHEN 'fr' THEN 'protected' WHEN 'de' THEN 'excluded' ELSE 'unknown' END"
+ITEMS_SQL = f"""
+    occ AS (SELECT doc_id AS seq, text AS source, source AS surface, {HINT} AS hint FROM documents WHERE text IS NOT NULL),
+    firsts AS (SELECT source, min(seq) AS seq, arg_min(surface, seq) AS surface, arg_min(hint, seq) AS hint FROM occ GROUP BY source),
+    items AS (
+      SELECT substr(sha1(source), 1, 16) AS id, seq, source, CASE WHEN hint = 'unknown' THEN 'pending' ELSE hint END AS usage,
+             CASE WHEN hint <> 'unknown' THEN 'adapter:' || surface END AS reason, hint = 'display' AS released
+      FROM firsts)
+"""
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.selectExpr("doc_id AS seq", "text AS source", "source AS surface", "cast(doc_id AS STRING) AS ref", "lang AS context", f"{HINT} AS hint")
+
+
+def no_items(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], catalog.ITEM_COLUMNS)
+
+
+def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.new_items(occurrences(spark, sf_dir), no_items(spark))
+
+
+@query("SELECT substr(sha1(text), 1, 16) AS id, text AS source, min(doc_id) AS first_seq, count(*)::BIGINT AS n_refs FROM documents WHERE text IS NOT NULL GROUP BY text")
+def catalog_dedup(spark, sf_dir):
+    return catalog.first_occurrences(table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text AS source"))
+
+
+@query(f"""WITH {ITEMS_SQL}
+    SELECT id, seq, usage, reason, released FROM items
+    WHERE source NOT IN (SELECT d.text FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL)""")
+def catalog_insert(spark, sf_dir):
+    """New items against a catalog that has the labelled texts."""
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    existing = known.where("text IS NOT NULL").select(catalog.item_id(F.col("text")).alias("id")).distinct()
+    return catalog.new_items(occurrences(spark, sf_dir), existing).select("id", "seq", "usage", "reason", "released")
+
+
+@query(f"""SELECT substr(sha1(text), 1, 16) AS item_id, source AS surface, lang AS ref, arg_max(doc_id::VARCHAR, doc_id) AS context, arg_max({HINT}, doc_id) AS hint
+    FROM documents WHERE text IS NOT NULL GROUP BY 1, 2, 3""")
+def refs_last_wins(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    occ = docs.selectExpr("doc_id AS seq", "text AS source", "source AS surface", "lang AS ref", "cast(doc_id AS STRING) AS context", f"{HINT} AS hint")
+    return catalog.merged_refs(occ, spark.createDataFrame([], catalog.REF_COLUMNS))
+
+
+@query("""SELECT item_id, surface, ref, place::INT AS place FROM (
+      SELECT substr(sha1(text), 1, 16) AS item_id, source AS surface, doc_id::VARCHAR AS ref,
+             row_number() OVER (PARTITION BY text ORDER BY source, doc_id::VARCHAR) AS place
+      FROM documents WHERE text IS NOT NULL) WHERE place <= 4""")
+def refs_topk(spark, sf_dir):
+    refs = catalog.merged_refs(occurrences(spark, sf_dir), spark.createDataFrame([], catalog.REF_COLUMNS))
+    return catalog.top_refs(refs, 4).select("item_id", "surface", "ref", "place")
+
+
+DECISIONS_SQL = """
+    decisions AS (
+      SELECT substr(sha1(d.text), 1, 16) AS id, arg_max(CASE WHEN l.toxic = 1 THEN 'protected' WHEN l.quality = 1 THEN 'display' ELSE 'dual' END, d.doc_id) AS usage
+      FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL GROUP BY 1)
+"""
+
+
+def decisions_of(spark, sf_dir) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("text IS NOT NULL")
+    usage = "CASE WHEN toxic = 1 THEN 'protected' WHEN quality = 1 THEN 'display' ELSE 'dual' END"
+    return joined.select(catalog.item_id(F.col("text")).alias("id"), F.expr(f"{usage} AS usage"), F.lit("audit").alias("reason"), F.col("doc_id").alias("seq"))
+
+
+def no_quarantine(spark) -> DataFrame:
+    return spark.createDataFrame([], "id STRING, reason STRING, worker STRING, created DOUBLE")
+
+
+@query(f"""WITH {ITEMS_SQL}, {DECISIONS_SQL}
+    SELECT i.id, coalesce(d.usage, i.usage) AS usage, CASE WHEN d.id IS NOT NULL THEN 'audit' ELSE i.reason END AS reason,
+           CASE WHEN d.id IS NOT NULL THEN d.usage = 'display' ELSE i.released END AS released
+    FROM items i LEFT JOIN decisions d USING (id)""")
+def audit_apply(spark, sf_dir):
+    after = catalog.apply_decisions(items_of(spark, sf_dir), decisions_of(spark, sf_dir), no_quarantine(spark))
+    return after.select("id", "usage", "reason", "released")
+
+
+@query(f"WITH {ITEMS_SQL}, {DECISIONS_SQL} SELECT coalesce(d.usage, i.usage) AS usage, count(*)::BIGINT AS n FROM items i LEFT JOIN decisions d USING (id) GROUP BY 1")
+def usage_status(spark, sf_dir):
+    return catalog.usage_counts(catalog.apply_decisions(items_of(spark, sf_dir), decisions_of(spark, sf_dir), no_quarantine(spark)))
+
+
+@query(f"""WITH {ITEMS_SQL}
+    SELECT count_if(released)::BIGINT AS released, 0::BIGINT AS translated, 0::BIGINT AS leased, count_if(released)::BIGINT AS pending_translation,
+           count_if(usage = 'pending')::BIGINT AS pending_audit, 0::BIGINT AS glossary_conflicts, 0::BIGINT AS quarantined FROM items""")
+def catalog_status(spark, sf_dir):
+    conflicts = spark.createDataFrame([], "source STRING, old STRING, new STRING, worker STRING")
+    return catalog.status(items_of(spark, sf_dir), conflicts, no_quarantine(spark))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT id, ((row_number() OVER (ORDER BY seq) - 1) // 300 + 1)::BIGINT AS batch FROM items")
+def audit_batches(spark, sf_dir):
+    return catalog.batches(items_of(spark, sf_dir).select("id", "seq")).select("id", "batch")
+
+
+TOKENS_SQL = r"list_sort(regexp_extract_all({0}, '(?:\{{[^{{}}\n]*\}})|(?:%(?:\d+\$)?[-+0 #]*(?:\d+|\*)?(?:\.(?:\d+|\*))?[sdifxXocv])'))"
+COUNT_SQL = "(length({0}) - length(replace({0}, {1}, '')))"
+EDGES_SQL = r"(regexp_matches({0}, '^[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2003}}\x{{3000}}]') <> regexp_matches({1}, '^[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2003}}\x{{3000}}]') OR regexp_matches({0}, '[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2003}}\x{{3000}}]$') <> regexp_matches({1}, '[\s\x{{b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2003}}\x{{3000}}]$'))"
+
+
 @query(
-    """
-    SELECT substr(sha1(text), 1, 16) AS id, text AS source, min(doc_id) AS first_seq, count(*)::BIGINT AS n_refs
-    FROM documents WHERE text IS NOT NULL GROUP BY text
-    """
+    "WITH pairs AS (SELECT doc_id, text AS s, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM documents) SELECT doc_id, "
+    "CASE WHEN t IS NULL OR trim(t) = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN "
+    + TOKENS_SQL.format("s")
+    + " <> "
+    + TOKENS_SQL.format("t")
+    + " THEN 'tokens' END, CASE WHEN "
+    + COUNT_SQL.format("s", "chr(10)")
+    + " <> "
+    + COUNT_SQL.format("t", "chr(10)")
+    + " THEN 'line_feeds' END, CASE WHEN "
+    + COUNT_SQL.format("s", "chr(9)")
+    + " <> "
+    + COUNT_SQL.format("t", "chr(9)")
+    + " THEN 'tabs' END, CASE WHEN "
+    + EDGES_SQL.format("s", "t")
+    + " THEN 'edge_space' END], lambda x: x IS NOT NULL), ',') END AS errors FROM pairs"
 )
-def catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text AS source")
-    return catalog.first_occurrences(docs)
+def validate_pairs(spark, sf_dir):
+    """Every text against the next one of its source, as if that were its translation."""
+    from pyspark.sql import Window
+
+    nxt = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"), nxt.alias("t"))
+    return pairs.select("doc_id", F.concat_ws(",", text.target_errors(F.col("s"), F.col("t"))).alias("errors"))
+
+
+@query(r"""SELECT doc_id, coalesce(regexp_matches(trim(text), '[A-Za-z]{2,}') AND NOT regexp_matches(trim(text), '^[A-Za-z_][A-Za-z0-9_.:/-]*$')
+      AND NOT regexp_matches(trim(text), '(?i)^(res|user|uid|https?|file)://|^[\w./\\-]+\.(png|jpg|ogg|wav|mp3|json|tscn|tres|gd|gdc|js|webp|ks|tjs|txt|csv|asset|prefab)$'), false) AS candidate
+    FROM documents""")
+def candidate_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_candidate(F.col("text"), "en").alias("candidate"))
+
+
+PIECES_SQL = r"list_filter(list_transform(regexp_split_to_array({0}, '[\n\r\t\x{{3000}}:\x{{ff1a}}\x{{30fb}}/\x{{ff0f}}|]+|\[[^\]]*\]|<[^>]*>|\\[A-Za-z]+\[[^\]]*\]'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH known AS (SELECT DISTINCT trim(line) AS piece FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(trim(line)) >= 2),
+    pieces AS (SELECT doc_id, unnest({PIECES_SQL.format("text")}) AS piece FROM documents WHERE trim(text) <> '')
+    SELECT doc_id AS seq, count(*)::BIGINT AS n_hits FROM pieces WHERE piece IN (SELECT piece FROM known) GROUP BY 1"""
+)
+def residual_scan(spark, sf_dir):
+    lines = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("source"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return quality.residual_scan(docs, lines, "en").select("seq", F.size("hits").cast("bigint").alias("n_hits"))
+
+
+@query("SELECT d.doc_id AS seq, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def corpus_contains(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return quality.containing(docs, items).join(items, "part").select("seq", "item_id")
+
+
+@query(f"""SELECT avg(CASE WHEN regexp_matches(text, '[à-ÿ]') THEN 1.0 ELSE 0.0 END)::DOUBLE AS ratio FROM documents WHERE text IS NOT NULL""")
+def untranslated_ratio(spark, sf_dir):
+    """Accented letters stand in for kana, which the tables do not have."""
+    targets = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("text").alias("target"))
+    return quality.untranslated_ratio(targets, pattern="[à-ÿ]")
+
+
+@query("""WITH a AS (SELECT doc_id::VARCHAR AS path, n_chars AS size, md5(text) AS h FROM documents),
+    b AS (SELECT doc_id::VARCHAR AS path, n_chars + quality AS size, md5(text || toxic::VARCHAR) AS h FROM documents JOIN labels USING (doc_id))
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.size <> b.size THEN 'size' WHEN a.h <> b.h THEN 'content' END AS change
+    FROM a FULL JOIN b USING (path) WHERE b.path IS NULL OR a.size <> b.size OR a.h <> b.h""")
+def manifest_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    before = docs.selectExpr("cast(doc_id AS STRING) AS path", "n_chars AS size", "0L AS mtime_ns", "md5(cast(text AS BINARY)) AS sha256")
+    after = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    after = after.selectExpr("cast(doc_id AS STRING) AS path", "n_chars + quality AS size", "1L AS mtime_ns", "md5(cast(concat(text, toxic) AS BINARY)) AS sha256")
+    return quality.manifest_diff(before, after)
+
+
+@query("""WITH t AS (SELECT doc_id AS seq, source, lang AS target, 'w' AS worker FROM documents)
+    SELECT source, f.first AS old, target AS new, count(*)::BIGINT AS n FROM t JOIN (SELECT source, arg_min(target, seq) AS first FROM t GROUP BY 1) f USING (source)
+    WHERE target <> f.first GROUP BY 1, 2, 3""")
+def glossary_conflicts(spark, sf_dir):
+    terms = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "source", "lang AS target", "'place' AS category", "'w' AS worker")
+    glossary = spark.createDataFrame([], "source STRING, target STRING, category STRING, worker STRING")
+    _, conflicts = catalog.merge_terms(glossary, terms)
+    return conflicts.groupBy("source", "old", "new").agg(F.count("*").alias("n"))
+
+
+TIMELINE = "epoch_us(ts) / 1e6"
+
+
+@query(f"""SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS worker, CASE WHEN e.expires > m.now THEN e.expires END AS expires
+    FROM (SELECT event_id, user_id, {TIMELINE} + 1800 AS expires FROM events) e, (SELECT max({TIMELINE}) AS now FROM events) m WHERE e.expires > m.now""")
+def lease_reclaim(spark, sf_dir):
+    """Leases taken at the time of each event that still run at the last one."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / F.lit(1e6))
+    now = events.agg(F.max("at")).first()[0]
+    items = events.selectExpr("cast(event_id AS STRING) AS id", "cast(NULL AS STRING) AS target", "cast(user_id AS STRING) AS worker", "'l' AS lease", "at + 1800 AS expires")
+    return leasing.reclaim(items, now).where("worker IS NOT NULL").select("id", "worker", "expires")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT id, source, 1800.0::DOUBLE AS expires FROM items WHERE released ORDER BY seq LIMIT 300")
+def claim_batch(spark, sf_dir):
+    """The first batch of a new worker: 300 items are the feature's limit."""
+    refs = catalog.merged_refs(occurrences(spark, sf_dir), spark.createDataFrame([], catalog.REF_COLUMNS))
+    _, batch = leasing.claim(items_of(spark, sf_dir), refs, "worker-1", "lease-1", 0.0)
+    return batch.select("id", "source", "expires")
+
+
+@query(f"""WITH {ITEMS_SQL}, bad AS (SELECT DISTINCT substr(sha1(d.text), 1, 16) AS id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1)
+    SELECT id, released AND id NOT IN (SELECT id FROM bad) AS released FROM items""")
+def quarantine_release(spark, sf_dir):
+    reports = decisions_of(spark, sf_dir).where("usage = 'protected'").select("seq", "id", F.lit("toxic").alias("reason"))
+    items, _ = catalog.quarantined(items_of(spark, sf_dir), no_quarantine(spark), reports, "worker-1", 0.0)
+    return items.select("id", "released")
+
+
+@query("""WITH m AS (SELECT text AS source, arg_min(lang || ':' || doc_id::VARCHAR, doc_id) AS target FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+    SELECT doc_id, md5(coalesce(m.target, d.text)) AS target_md5, m.target IS NOT NULL AS replaced FROM documents d LEFT JOIN m ON d.text = m.source""")
+def apply_mapping(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    known = known.groupBy(F.col("text").alias("source")).agg(F.min_by(F.concat_ws(":", "lang", F.col("doc_id").cast("string")), "doc_id").alias("target"))
+    out = catalog.apply_mapping(docs.select("doc_id", "text"), known, "text")
+    return out.select("doc_id", F.md5(F.col("target").cast("binary")).alias("target_md5"), "replaced")
+
+
+@query("SELECT count(*)::BIGINT AS n FROM documents WHERE text NOT IN (SELECT d.text FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)")
+def unknown_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.col("text").alias("source")).distinct()
+    return catalog.unknown_sources(docs.select(F.col("text").alias("source")), good).agg(F.count("*").alias("n"))
+
+
+GRAMS_SQL = """grams AS (SELECT DISTINCT item_id, substr(text, i, 2) AS g FROM (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark))"""
+
+
+@query(f"""WITH {GRAMS_SQL}, freq AS (SELECT g, count(*) AS n FROM grams GROUP BY g)
+    SELECT item_id AS pair_id, arg_min(g, (n, g)) AS anchor FROM grams JOIN freq USING (g) GROUP BY 1""")
+def rare_anchor(spark, sf_dir):
+    return messages.rare_anchors(table(spark, sf_dir, "benchmark").selectExpr("item_id AS pair_id", "text AS source"))
+
+
+@query("""SELECT item_id, replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(9), '\\t'), '=', '\\=') || '=' || item_id::VARCHAR AS entry FROM benchmark""".replace("\\\\", "\\"))
+def dictionary_lines(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(text.escape_entry(F.col("text")), F.lit("="), F.col("item_id").cast("string")).alias("entry"))
+
+
+@query("SELECT event_id::VARCHAR AS file, u.k AS path, json_extract_string(props, '$.' || u.k) AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) u")
+def json_leaves(spark, sf_dir):
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), json_walk.parsed(F.col("props")).alias("value"))
+    return json_walk.leaves(docs).select("file", "path", "text")
+
+
+@query()
+def scenario_units(spark, sf_dir):
+    lines = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS seq", "concat('#', role, '\n', text) AS text")
+    return scripts.scenario_units(spark, lines)
+
+
+@query()
+def page_literals(spark, sf_dir):
+    return scripts.string_literals(spark, table(spark, sf_dir, "pages").selectExpr("page_id AS seq", "html AS text"))
+
+
+@query()
+def message_rewrite(spark, sf_dir):
+    pairs = table(spark, sf_dir, "benchmark").selectExpr("item_id AS pair_id", "text AS source", "concat('item ', item_id) AS target")
+    return messages.rewrite(table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text"), pairs)
