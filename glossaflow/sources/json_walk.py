@@ -88,11 +88,11 @@ def display_fields(docs: DataFrame) -> DataFrame:
 def commands(found: DataFrame) -> DataFrame:
     """(file, path, text, context, kind) of the texts of event commands among leaves(): objects with a code and parameters."""
     codes = found.where(F.col("path").rlike(r"(^|/)code$") & F.col("kind").isin("BIGINT", "TINYINT", "SMALLINT", "INT"))
-    codes = codes.select("file", F.regexp_replace("path", "/?code$", "").alias("at"), F.col("text").cast("int").alias("code"))
+    codes = codes.select("file", F.regexp_replace("path", "/?code$", "").alias("at"), F.col("text").try_cast("int").alias("code"))
     pattern = r"^(?:(.*)/)?parameters/(\d+)(?:/(\d+))?$"
     held = found.where((F.col("kind") == "STRING") & F.col("path").rlike(pattern))
     place = F.regexp_extract("path", pattern, 3)
-    held = held.select("file", "path", "text", F.regexp_extract("path", pattern, 1).alias("at"), F.regexp_extract("path", pattern, 2).cast("int").alias("slot"), place.alias("place"))
+    held = held.select("file", "path", "text", F.regexp_extract("path", pattern, 1).alias("at"), F.regexp_extract("path", pattern, 2).try_cast("int").alias("slot"), place.alias("place"))
     joined = held.join(codes, ["file", "at"])
     context, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for code, slot, name, what in COMMANDS:
