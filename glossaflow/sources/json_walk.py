@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_candidate, strip
+from ..session import ensure_checkpoint_dir
 
 # Display fields of the engine's data files.
 DATABASE_FIELDS = {
@@ -34,8 +35,10 @@ def parsed(text: Column) -> Column:
 def leaves(docs: DataFrame) -> DataFrame:
     """(file, path, kind, text) of every scalar of documents (file, value VARIANT); path is keys and places joined by /.
 
-    All documents go one level down at a time, so the rounds are as many as the deepest document has levels.
+    All documents go one level down at a time, so the rounds are as many as the deepest document has levels. Each level is
+    checkpointed, so none is computed twice.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     level = docs.select("file", F.lit("").alias("path"), "value")
     out = None
     for _ in range(MOST_LEVELS):
@@ -47,6 +50,7 @@ def leaves(docs: DataFrame) -> DataFrame:
         level = docs.sparkSession.sql(
             "SELECT file, concat(path, '/', coalesce(e.key, cast(e.pos AS STRING))) AS path, e.value AS value FROM _level, LATERAL variant_explode(_level.value) e"
         )
+        level = level.checkpoint()
         if level.isEmpty():
             break
     else:
