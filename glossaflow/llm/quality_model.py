@@ -115,7 +115,7 @@ def fit(x: Rows, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08, de
     size = WORD_BINS + STATS
     m = Machine(0.0, np.zeros(size, np.float32), rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32))
     if not len(label):
-        return m
+        return Machine(0.0, m.weights, m.factors * 0)
     share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
     m.bias = float(np.log(share / (1 - share)))
     if len(set(label.tolist())) < 2:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_model, jaccard_join, paragraph_dedup, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": oracles.QUALITY_RULES,
+    "op4_pii": oracles.PII,
+    "op10_jaccard_join": oracles.JACCARD_JOIN,
+}
