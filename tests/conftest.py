@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from glossaflow.session import local_session
 
-    session = local_session("tests", cores=4, shuffle_partitions=4)
+    session = local_session("tests", cores=3, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
