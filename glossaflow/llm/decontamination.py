@@ -108,6 +108,9 @@ class Space:
     items: list[int]
     item_words: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.item_sets = [np.unique(x) for x in self.item_words]
+
 
 def _sparse(bins: bytes, place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     b, tf = np.unique(np.frombuffer(bins, "<i4"), return_counts=True)
@@ -226,18 +229,24 @@ def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int,
             near.setdefault((int(row[lo + i]), int(space.item_of[p])), []).append(int(starts[lo + i]))
     out = []
     for (r, i), at in near.items():
-        item = space.item_words[i]
+        item, known_words = space.item_words[i], space.item_sets[i]
         reach = len(item) + len(item) // 4
+        least = PARAPHRASE * len(item)
         best = (0.0, 0.0, 0)
         done = -1
         for s in sorted(set(at)):
             a = max(s - reach + STEP, int(w.bounds[r]), done)
             b = min(s + WINDOW + reach, int(w.bounds[r + 1]))
+            done = max(done, s)
             # stretches of a length near the item's, so that common words strewn over a long text do not add up
-            for lo in range(a, max(b - reach, a) + 1, max(len(item) // 8, 1)):
+            begin = np.arange(a, max(b - reach, a) + 1, max(len(item) // 8, 1))
+            place = np.minimum(np.searchsorted(known_words, w.hash[a:b]), len(known_words) - 1)
+            held = np.append(0, np.cumsum(known_words[place] == w.hash[a:b]))
+            # a stretch has no longer common subsequence than words of the item
+            begin = begin[held[np.minimum(begin + reach, b) - a] - held[begin - a] >= least]
+            for lo in begin.tolist():
                 common, answer = common_subsequence(item.tolist(), w.hash[lo : min(lo + reach, b)].tolist())
                 best = max(best, (common / len(item), answer / min(ANSWER_WORDS, len(item)), lo - int(w.bounds[r])))
-            done = max(done, s)
         if best[0] >= NEAR or best[0] >= PARAPHRASE and best[1] >= ANSWER:
             out.append((r, i, best[2], best[0], best[1]))
     return out

@@ -1,10 +1,13 @@
-"""Links between sets that share a key, and their connected components, with no all-pairs step inside a large list.
-
-A posting is (key, id, n): a set of n members has the key. Sets that can be similar share a key. list_pairs() walks each
-list in the order of n: a list of up to SMALL_LIST sets gives all its pairs of fitting sizes; a longer one gives each
-set with the leader of its size band, and its postings are kept. After the links among these pairs are verified and
-their components known, cross_pairs() compares, in the kept lists that still hold several components, the sets of
-different components, so no link that joins two components is lost: what is skipped lies inside one component.
+"""Links between sets that share keys, and their connected components, with no all-pairs step inside a large list.
+
+A posting is (key, id, n): a set of n members has the key. Sets that can be similar share `least` keys. list_pairs()
+walks each list in the order of n: a list of up to SMALL_LIST sets gives all its pairs of fitting sizes; the postings of a
+longer one are kept as they are. Pairs that come `least` times are verified, and give the first components. Then each long list
+that holds several components is compared with a leader, the set with the most long lists, in STAR_ROUNDS rounds (from the
+second on the leader is from outside the list's largest component); in a group of near copies the text that all were made from leads,
+and one round joins the group. Last, cross_links() compares, in the lists that still hold several components, all sets of
+different components, so no link that joins two components is lost: what is skipped lies inside one component. It does so
+block against block within tasks and gives only links, never the pairs.
 """
 
 from __future__ import annotations
@@ -12,13 +15,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import arrow_rows, checkpoint
 
 SMALL_LIST = 24
+STAR_ROUNDS = 2
+BLOCK = 256
 BLOOM_BITS = 1 << 24
 
 
@@ -42,41 +48,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(key, a, b, n): pairs have a null key and a < b; postings of long lists have b null and a as the id.
+    """(key, a, b, n): pairs a < b of short lists, with a null key; postings (key, a, n) of long lists, with b null.
 
     Sizes fit when the smaller is at least percent/100 of the larger. Memory is bounded by SMALL_LIST and one batch.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int]] = []  # sets of the open list while it may be small
-        state = {"key": None, "leader": None, "long": False}
+        held: list[tuple[int, int]] = []  # sets of the open list while it may be short
+        state = {"key": None, "long": False}
         pairs: list[tuple[int, int]] = []
         kept: list[tuple[int, int, int]] = []
 
-        def fits(n: int, m: int) -> bool:
-            return 100 * min(n, m) >= percent * max(n, m)
-
         def close() -> None:
             for i, (x, n) in enumerate(held):
                 for y, m in held[i + 1 :]:
-                    if not fits(n, m):
+                    if 100 * n < percent * m:
                         break
                     if x != y:
-                        pairs.append((x, y))
+                        pairs.append((min(x, y), max(x, y)))
             held.clear()
 
-        def follow(x: int, n: int) -> None:
-            kept.append((state["key"], x, n))
-            if state["leader"] and fits(n, state["leader"][1]):
-                if x != state["leader"][0]:
-                    pairs.append((x, state["leader"][0]))
-            else:
-                state["leader"] = (x, n)
-
         def flush() -> Iterator[pa.RecordBatch]:
             if pairs or kept:
-                a = [min(p) for p in pairs] + [x for _, x, _ in kept]
-                b = [max(p) for p in pairs] + [None] * len(kept)
+                a = [p[0] for p in pairs] + [x for _, x, _ in kept]
+                b = [p[1] for p in pairs] + [None] * len(kept)
                 key, n = [None] * len(pairs) + [k for k, _, _ in kept], [None] * len(pairs) + [m for *_, m in kept]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b, n)], ["key", "a", "b", "n"])
                 pairs.clear()
@@ -89,21 +84,19 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
             # lists of one set, wholly inside the batch, have no pairs
             for at, many in zip(edge.tolist(), size.tolist(), strict=True):
                 k = int(key[at])
-                inner = at + many < len(key)
                 if k != state["key"]:
                     close()
-                    state.update(key=k, leader=None, long=False)
-                    if many == 1 and inner:
+                    state.update(key=k, long=False)
+                    if many == 1 and at + many < len(key):
                         continue
                 for x, m in zip(ids[at : at + many].tolist(), n[at : at + many].tolist(), strict=True):
                     if state["long"]:
-                        follow(x, m)
+                        kept.append((k, x, m))
                         continue
                     held.append((x, m))
                     if len(held) > SMALL_LIST:
                         state["long"] = True
-                        for y, o in held:
-                            follow(y, o)
+                        kept.extend((k, y, o) for y, o in held)
                         held.clear()
             yield from flush()
         close()
@@ -113,18 +106,94 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
 
 
-def cross_pairs(kept: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of kept postings (key, id, n) of one list whose components differ; in each list the sets outside its
-    largest component meet all others, so a list inside one component costs nothing."""
+def mixed_lists(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """kept postings (key, id, n, degree) of lists with several components, with component and the list's largest one, major."""
     known = kept.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = known.groupBy("key", "component").agg(F.count("*").alias("many"))
-    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    known = known.join(mixed.select("key", "major"), "key")
-    minor = known.where("component <> major").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component")])
-    fit = (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (F.col("component") != F.col("x_component"))
-    once = (F.col("component") == F.col("major")) | (F.col("x_id") < F.col("id"))
-    met = minor.join(known, "key").where(fit & once)
-    return met.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("major"), F.count("*").alias("parts"))
+    return known.join(mixed.where("parts > 1").select("key", "major"), "key")
+
+
+def _fits(percent: int) -> Column:
+    return 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+
+
+def _tallied(met: DataFrame) -> DataFrame:
+    pairs = met.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
+
+
+def star_pairs(mixed: DataFrame, percent: int, outside: bool) -> DataFrame:
+    """(a, b, times) of each list's leader and its other sets of another component."""
+    leading = mixed.where("component <> major") if outside else mixed
+    leaders = leading.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("degree", "id")).alias("x"))
+    leaders = leaders.select("key", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("id", "n", "component")])
+    return _tallied(mixed.join(leaders, "key").where(_fits(percent) & (F.col("component") != F.col("x_component"))))
+
+
+def cross_links(mixed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(a, b): links that join components within a list, enough of them to join all that can be.
+
+    Lists that share sets make a cloud. In a cloud, the sets outside some list's largest component meet all sets, block by
+    block: a task has two blocks of about BLOCK sets and counts common members by a product of matrices. Only the links that
+    join components within the task leave it.
+    """
+    hubs = mixed.groupBy("key").agg(F.min("id").alias("hub"))
+    clouds = components(mixed.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cloud")
+    sets = mixed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("major")).alias("minor"))
+    sets = checkpoint(sets.join(clouds, "id"))
+    sizes = sets.groupBy("cloud").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.count_if("minor") / BLOCK).alias("lefts"))
+    placed = sets.join(sizes, "cloud").withColumn("spot", F.xxhash64("id"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = placed.where("minor AND lefts > 0").select("id", "component", "cloud", F.lit(True).alias("left"), F.pmod("spot", "lefts").cast("int").alias("i"), to("rights").alias("j"))
+    right = placed.where("lefts > 0").select("id", "component", "cloud", F.lit(False).alias("left"), to("lefts").alias("i"), F.pmod("spot", "rights").cast("int").alias("j"))
+    rows = left.unionByName(right).join(sets_of(sets.select("id")), "id")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
+        common, n, m = _common(x["members"].tolist(), y["members"].tolist())
+        good = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (above := up.get(c, c)) != c:
+                c = above
+            return c
+
+        out = []
+        ids, others = x["id"].tolist(), y["id"].tolist()
+        mine, theirs = x["component"].tolist(), y["component"].tolist()
+        good &= np.array(mine)[:, None] != np.array(theirs)[None, :] if len(x) and len(y) else good
+        for i, j in zip(*np.nonzero(good), strict=True):
+            a, b = top(mine[i]), top(theirs[j])
+            if a != b:
+                up[a] = b
+                out.append((ids[i], others[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("cloud", "i", "j").applyInPandas(meet, "a bigint, b bigint")
+
+
+def _common(left: list[bytes], right: list[bytes], columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common members of each set on the left and each on the right, and the sizes of both; dense in `columns` members at a time."""
+    sets = [np.frombuffer(s, np.uint64) for s in left + right]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.int64), sizes[: len(left)], sizes[len(left) :]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[place] > 1
+    row = row[keep]
+    _, place = np.unique(place[keep], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(place, [lo, lo + columns])
+        dense = np.zeros((len(sets), columns), np.float32)
+        dense[row[a:b], place[a:b] - lo] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return np.rint(out).astype(np.int64), sizes[: len(left)], sizes[len(left) :]
 
 
 def bloom(ids: DataFrame, column: str = "id", bits: int = BLOOM_BITS) -> np.ndarray:
@@ -164,20 +233,33 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, least: int = 1) -> DataFrame:
     """(id, component) of every set with a link. sets_of(ids) gives (id, members) of at least the ids asked for."""
     found = checkpoint(list_pairs(postings, percent))
-    pairs = checkpoint(found.where("b IS NOT NULL").select("a", "b").distinct())
-    edges = checkpoint(_verified(pairs, sets_of, percent))
-    labels = checkpoint(components(edges))
+    short = checkpoint(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("times")))
+    labels = checkpoint(components(_verified(short.where(F.col("times") >= least), sets_of, percent)))
     kept = found.where("b IS NULL").select("key", F.col("a").alias("id"), "n")
-    more = checkpoint(cross_pairs(kept, labels, percent).join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return labels
-    edges = edges.unionByName(_verified(more, sets_of, percent))
-    return checkpoint(components(edges))
+    kept = kept.join(kept.groupBy("id").agg(F.count("*").alias("degree")), "id")
+    done = short.where(F.col("times") >= least).select("a", "b")
+    for turn in range(STAR_ROUNDS + 1):
+        mixed = checkpoint(mixed_lists(kept, labels))
+        if mixed.isEmpty():
+            break
+        if turn < STAR_ROUNDS:
+            pairs = star_pairs(mixed, percent, outside=turn > 0).where(F.col("times") >= least).select("a", "b")
+            pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti"))
+            done = done.unionByName(pairs)
+            fresh = _verified(pairs, sets_of, percent)
+        else:
+            with arrow_rows(kept.sparkSession, 2_000):
+                fresh = checkpoint(cross_links(mixed, sets_of, percent))
+        if not fresh.isEmpty():
+            labels = checkpoint(components(fresh.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))))
+    return labels
 
 
 def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return verify(pairs, sets_of(ids), percent)
+    sets = sets_of(ids)
+    with arrow_rows(pairs.sparkSession, 500):
+        return checkpoint(verify(pairs, sets, percent))

@@ -7,7 +7,7 @@ nor take quadratic time. Positions are code points.
 
 Method: every distinct base value is a protected entity. The words within CONTEXT words of its occurrences are terms that
 may reveal it. Over the corpus, n(e, t) counts the distinct contexts in which term t stands beside entity e and n(t) the
-documents with t. What t leaves unknown of e is IC(e) - PMI(e; t) = -log2(n(e, t) / n(t)) bits; with at least SUPPORT
+documents with t, or the distinct contexts with t where these are more. What t leaves unknown of e is IC(e) - PMI(e; t) = -log2(n(e, t) / n(t)) bits; with at least SUPPORT
 contexts and at most one bit left (2 n(e, t) >= n(t)) the term discloses the entity. Copies of a text make one context.
 Disclosing terms are spans of the kind "term" wherever they occur, and sanitise() generalises them like base values.
 
@@ -83,19 +83,20 @@ def _kind_spans(text: Column, kind: int, pattern: str, may: Column, valid=None)
     return F.when(may, shaped).otherwise(none)
 
 
-def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with base: array of (start, kind, end, value) in order."""
+def with_base_spans(df: DataFrame, text_col: str = "text", out: str = "base") -> DataFrame:
+    """df with the column `out`: array of (start, kind, end, value) in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
     parts = df.withColumns(
         {
-            "_email": _kind_spans(text, 0, EMAIL, text.contains("@")),
-            "_ip": _kind_spans(text, 1, IP, text.contains(".") & digit & text.rlike(r"[0-9]\.[0-9]"), _ip_valid),
-            "_card": _kind_spans(text, 2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), _card_valid),
-            "_phone": _kind_spans(text, 3, PHONE, text.contains("+") & digit, _phone_valid),
+            "_pii_0": _kind_spans(text, 0, EMAIL, text.contains("@")),
+            "_pii_1": _kind_spans(text, 1, IP, text.contains(".") & digit & text.rlike(r"[0-9]\.[0-9]"), _ip_valid),
+            "_pii_2": _kind_spans(text, 2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), _card_valid),
+            "_pii_3": _kind_spans(text, 3, PHONE, text.contains("+") & digit, _phone_valid),
         }
     )
-    return parts.withColumn("base", F.array_sort(F.concat("_email", "_ip", "_card", "_phone"))).drop("_email", "_ip", "_card", "_phone")
+    found = [f"_pii_{k}" for k in range(4)]
+    return parts.withColumn(out, F.array_sort(F.concat(*found))).drop(*found)
 
 
 def _term(c: Column) -> Column:
@@ -132,7 +133,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     # one row for each context first, so a copied text counts once and a hot entity is added up on the map side
     once = near.distinct()
     beside = once.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
-    strongest = checkpoint(beside.groupBy("term").agg(F.max("together").alias("together")))
+    # a term that stands beside many entities leaves more than a bit unknown already; it needs no count over the corpus
+    spread = once.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("contexts"))
+    strongest = beside.groupBy("term").agg(F.max("together").alias("together")).join(spread, "term")
+    strongest = checkpoint(strongest.where(2 * F.col("together") >= F.col("contexts")).select("term", "together"))
     if strongest.isEmpty():
         return strongest.select("term")
     spread = occurrences(docs, strongest).groupBy("term").agg(F.count("*").alias("n"))
@@ -210,14 +214,15 @@ def sanitise(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     terms = disclosing_terms(docs, based(docs))
     own, text = df.columns, F.col(text_col)
     if terms.isEmpty():
-        found = with_base_spans(df, text_col).withColumnRenamed("base", "_spans")
+        found = with_base_spans(df, text_col, "_pii_spans")
     else:
-        held = occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("_held"))
-        held = held.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "_held")
-        joined = df.join(held, (df[id_col] == held["_id"]) & (F.xxhash64(df[text_col]) == held["_mark"]), "left")
-        every = F.array_sort(F.concat("base", _term_spans(text, F.col("_held"))))
-        found = with_base_spans(joined, text_col).withColumn("_spans", F.when(F.col("_held").isNull(), F.col("base")).otherwise(every))
-    clean = found.withColumn(text_col, redact(text, F.col("_spans")))
+        held = occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("_pii_held"))
+        held = held.select(F.col("id").alias("_pii_id"), F.col("mark").alias("_pii_mark"), "_pii_held")
+        joined = df.join(held, (df[id_col] == held["_pii_id"]) & (F.xxhash64(df[text_col]) == held["_pii_mark"]), "left")
+        every = F.array_sort(F.concat("_pii_base", _term_spans(text, F.col("_pii_held"))))
+        spans = F.when(F.col("_pii_held").isNull(), F.col("_pii_base")).otherwise(every)
+        found = with_base_spans(joined, text_col, "_pii_base").withColumn("_pii_spans", spans)
+    clean = found.withColumn(text_col, redact(text, F.col("_pii_spans")))
     if "n_chars" in own:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
+        clean = clean.withColumn("n_chars", F.when(F.size("_pii_spans") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
     return clean.select(*own)
