@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, table
 
-__all__ = ["arrow_rows", "checkpoint", "documents", "held_out", "map_batches", "only", "table"]
+__all__ = ["arrow_rows", "checkpoint", "documents", "fresh", "held_out", "map_batches", "only", "table"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"{name}_{i}" if i else name).lower() not in taken)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that the cluster names."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, only
+from .common import checkpoint, fresh, only
 from .wordhash import column_buffers, mix, slices, window_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -191,14 +191,15 @@ def judge(counted: DataFrame, limits: DataFrame, groups: tuple[str, ...] = ("lan
     """counted with base_failed and kept; limits as thresholds() gives them."""
     lang, source = groups
     names = [f"most_{r[0]}" for r in RATES]
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names)
-    on = counted[lang].eqNullSafe(limits["_lang"]) & counted[source].eqNullSafe(limits["_source"])
-    within = reduce(lambda a, b: a & b, [rate(a, b) <= F.col(f"most_{n}") for n, a, b, _ in RATES])
+    held = fresh(counted, "limits")
+    limits = limits.select(F.struct("lang", "source", *names).alias(held))
+    on = counted[lang].eqNullSafe(limits[held]["lang"]) & counted[source].eqNullSafe(limits[held]["source"])
+    within = reduce(lambda a, b: a & b, [rate(a, b) <= F.col(f"{held}.most_{n}") for n, a, b, _ in RATES])
     return (
         counted.join(limits, on, "left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
-        .drop("_lang", "_source", *names)
+        .drop(held)
     )
 
 
@@ -212,5 +213,6 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     """The rows of df that quality() would keep, with df's columns."""
     counted = add_counts(only(df, lang=lang_col, source=source_col, text=text_col)).drop("text")
     limits = small_enough(checkpoint(thresholds(counted)))
-    own = [c for c in df.columns if c not in COUNTS]
-    return judge(add_counts(df.select(*own), text_col), limits, (lang_col, source_col)).where("kept").select(*own)
+    # df's columns go through as one, so none of them clashes with the counts
+    whole = df.select(df[text_col].alias("text"), df[lang_col].alias("lang"), df[source_col].alias("source"), F.struct("*").alias("own"))
+    return judge(add_counts(whole), limits).where("kept").select("own.*")
