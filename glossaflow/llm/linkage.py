@@ -25,21 +25,30 @@ from .common import arrow_rows, checkpoint
 SMALL_LIST = 24
 STAR_ROUNDS = 2
 BLOCK = 256
+#: Edges (16 bytes each) that one task may hold.
+FEW_EDGES = 50_000
 BLOOM_BITS = 1 << 24
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ends of edges (a, b): the smallest id reachable. Alternates the large and the small star."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, seen = checkpoint(e), None
+    """(id, component) of all ends of edges (a, b): the smallest id reachable.
+
+    Edges that are counted to be at most FEW_EDGES are united by one task, without a shuffle; others by alternating the
+    large and the small star.
+    """
+    e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = _state(e)
+    if seen[0] <= FEW_EDGES:
+        return e.coalesce(1).mapInArrow(_united, "id bigint, component bigint")
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("x")).select("x.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_033)).first()
+        small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("x")).select("x.*")
+        e = checkpoint(small.where("u <> v").distinct())
+        now = _state(e)
         if now == seen:
             break
         seen = now
@@ -47,6 +56,28 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)
 
 
+def _united(batches) -> Iterator[pa.RecordBatch]:
+    """Ids and the smallest id of their component, from edges that fit one task."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = above
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = top(u), top(v)
+            up[max(a, b)] = min(a, b)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], ["id", "component"])
+
+
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_033)).first())
+
+
 def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(key, a, b, n): pairs a < b of short lists, with a null key; postings (key, a, n) of long lists, with b null.
 
