@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.text import is_safe_literal
+from ..functions.text import is_candidate, is_safe_literal, json_literal, strip, unescape_source
 
 # Tags, the attributes that hold text, and blocks of code in scenario scripts.
 TAG = re.compile(r"\[[^\]\n]*\]")
@@ -115,3 +115,46 @@ def apply_literals(spark, texts: DataFrame, translations: DataFrame, allowed: Co
     out = texts.join(edits, "seq", "left")
     n = F.coalesce(F.size("edits"), F.lit(0))
     return out.select("seq", F.coalesce(put_back(F.col("text"), F.col("edits")), "text").alias("text"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_edits"), F.coalesce("n_unsafe", F.lit(0)).alias("n_unsafe"))
+
+
+# Literals of a plug-in configuration, display properties of a scene, and strings in a line of a script.
+PLUGIN_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"')
+SCENE_PROPERTIES = ("text", "tooltip_text", "placeholder_text", "title", "dialog_text", "ok_button_text", "cancel_button_text")
+SCRIPT_STRING = r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+MOST_PARAMETER = 200
+
+
+@udtf(returnType="start INT, body STRING")
+class PluginLiterals:
+    """Double-quoted literals with the place of their opening quote."""
+
+    def eval(self, text: str):
+        for m in PLUGIN_LITERAL.finditer(text or ""):
+            yield m.start(), m[1]
+
+
+def plugin_parameters(spark, texts: DataFrame, lang: str = "ja") -> DataFrame:
+    """(seq, start, source, hint) of the short literals in plug-in configurations (seq, text) that could be shown; all are
+    protected, as plug-ins may look things up by them. Nested objects and lists are left out."""
+    spark.udtf.register("plugin_literals", PluginLiterals)
+    texts.createOrReplaceTempView("_plugins")
+    found = spark.sql("SELECT seq, u.start, u.body FROM _plugins, LATERAL plugin_literals(text) u").withColumn("source", json_literal(F.col("body")))
+    fit = is_candidate(F.col("source"), lang) & (F.length("source") < MOST_PARAMETER) & ~strip(F.col("source")).rlike(r"^[{\[]")
+    return found.where(fit).select("seq", "start", "source", F.lit("protected").alias("hint"))
+
+
+def scene_texts(texts: DataFrame, lang: str = "ja") -> DataFrame:
+    """(seq, property, source, hint) of the display properties in scene files (seq, text)."""
+    pattern = r'(?ms)^(' + "|".join(SCENE_PROPERTIES) + r')\s*=\s*"((?:[^"\\]|\\.)*+)"'
+    both = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "property"), (2, "body"))])
+    found = texts.select("seq", F.explode(both).alias("x")).select("seq", "x.property", unescape_source(F.col("x.body")).alias("source"))
+    return found.where(is_candidate(F.col("source"), lang)).withColumn("hint", F.lit("display"))
+
+
+def script_strings(texts: DataFrame, lang: str = "ja") -> DataFrame:
+    """(seq, line, source, context) of the strings in each line of scripts (seq, text); lines count from 1, and the context is the
+    beginning of the line."""
+    lines = texts.select("seq", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("line", "body"))
+    found = lines.select("seq", (F.col("line") + 1).alias("line"), F.explode(F.regexp_extract_all("body", F.lit(SCRIPT_STRING), F.lit(1))).alias("quoted"), F.substring(strip(F.col("body")), 1, 200).alias("context"))
+    source = unescape_source(F.expr("substring(quoted, 2, length(quoted) - 2)"))
+    return found.select("seq", "line", source.alias("source"), "context").where(is_candidate(F.col("source"), lang))
