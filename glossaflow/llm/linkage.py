@@ -1,13 +1,13 @@
 """Links between sets that share keys, and their connected components, with no all-pairs step inside a large list.
 
 A posting is (key, id, n): a set of n members has the key. Sets that can be similar share `least` keys. list_pairs()
-walks each list in the order of n: a list of up to SMALL_LIST sets gives all its pairs of fitting sizes; the postings of a
-longer one are kept as they are. Pairs that come `least` times are verified, and give the first components. Then each long list
-that holds several components is compared with a leader, the set with the most long lists, in STAR_ROUNDS rounds (from the
-second on the leader is from outside the list's largest component); in a group of near copies the text that all were made from leads,
-and one round joins the group. Last, cross_links() compares, in the lists that still hold several components, all sets of
-different components, so no link that joins two components is lost: what is skipped lies inside one component. It does so
-block against block within tasks and gives only links, never the pairs.
+walks each list in the order of n: a list of up to SMALL_LIST sets gives all its pairs of fitting sizes; a longer one gives the
+pairs of neighbours, and its postings are kept. Pairs that come `least` times are verified, and give the first components; neighbours
+of near sizes join most of a group of near copies. Then, in STAR_ROUNDS rounds, the sets outside the largest component of a long
+list are compared with a leader, the set with the most long lists: first of that component, then of those outside. Last,
+cross_links() compares, in the lists that still hold several components, all sets of different components, so no link that
+joins two components is lost: what is skipped lies inside one component. It does so block against block within tasks and
+gives only links, never the pairs.
 """
 
 from __future__ import annotations
@@ -79,14 +79,14 @@ def _state(e: DataFrame) -> tuple:
 
 
 def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(key, a, b, n): pairs a < b of short lists, with a null key; postings (key, a, n) of long lists, with b null.
+    """(key, a, b, n): pairs a < b of short lists and neighbours in long ones, with a null key; postings (key, a, n) of long lists, with b null.
 
     Sizes fit when the smaller is at least percent/100 of the larger. Memory is bounded by SMALL_LIST and one batch.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []  # sets of the open list while it may be short
-        state = {"key": None, "long": False}
+        state = {"key": None, "long": False, "last": None}
         pairs: list[tuple[int, int]] = []
         kept: list[tuple[int, int, int]] = []
 
@@ -99,6 +99,10 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
                         pairs.append((min(x, y), max(x, y)))
             held.clear()
 
+        def beside(left: tuple[int, int], right: tuple[int, int]) -> None:
+            if left[0] != right[0] and 100 * left[1] >= percent * right[1]:
+                pairs.append((min(left[0], right[0]), max(left[0], right[0])))
+
         def flush() -> Iterator[pa.RecordBatch]:
             if pairs or kept:
                 a = [p[0] for p in pairs] + [x for _, x, _ in kept]
@@ -122,11 +126,15 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
                         continue
                 for x, m in zip(ids[at : at + many].tolist(), n[at : at + many].tolist(), strict=True):
                     if state["long"]:
+                        beside(state["last"], (x, m))
+                        state["last"] = (x, m)
                         kept.append((k, x, m))
                         continue
                     held.append((x, m))
                     if len(held) > SMALL_LIST:
-                        state["long"] = True
+                        state.update(long=True, last=held[-1])
+                        for left, right in zip(held[:-1], held[1:], strict=True):
+                            beside(left, right)
                         kept.extend((k, y, o) for y, o in held)
                         held.clear()
             yield from flush()
@@ -137,42 +145,80 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
 
 
-def mixed_lists(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    """kept postings (key, id, n, degree) of lists with several components, with component and the list's largest one, major."""
-    known = kept.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = known.groupBy("key", "component").agg(F.count("*").alias("many"))
-    mixed = per.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("major"), F.count("*").alias("parts"))
-    return known.join(mixed.where("parts > 1").select("key", "major"), "key")
+def known_lists(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, n, degree, component) of the long lists (id, n, keys); degree is how many of them have the set."""
+    known = held.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return known.select("id", "n", "component", F.size("keys").alias("degree"), F.explode("keys").alias("key"))
+
+
+def mixed_lists(known: DataFrame) -> DataFrame:
+    """(key, major, lead) of lists with several components: the largest one, and its set with the most long lists."""
+    lead = F.max_by(F.struct("id", "n", "component"), F.struct("degree", "id")).alias("lead")
+    per = known.groupBy("key", "component").agg(F.count("*").alias("many"), lead)
+    size = F.struct("many", "component")
+    lists = per.groupBy("key").agg(F.max_by("component", size).alias("major"), F.max_by("lead", size).alias("lead"), F.count("*").alias("parts"))
+    return lists.where("parts > 1").drop("parts")
+
+
+def outsiders(known: DataFrame, lists: DataFrame) -> DataFrame:
+    """known postings of mixed lists that are not of the list's largest component, with its lead."""
+    return known.join(lists, "key").where("component <> major")
 
 
 def _fits(percent: int) -> Column:
-    return 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+    return 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
 
 
 def _tallied(met: DataFrame) -> DataFrame:
-    pairs = met.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
+    pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
 
 
-def star_pairs(mixed: DataFrame, percent: int, outside: bool) -> DataFrame:
-    """(a, b, times) of each list's leader and its other sets of another component."""
-    leading = mixed.where("component <> major") if outside else mixed
-    leaders = leading.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("degree", "id")).alias("x"))
-    leaders = leaders.select("key", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("id", "n", "component")])
-    return _tallied(mixed.join(leaders, "key").where(_fits(percent) & (F.col("component") != F.col("x_component"))))
+def star_pairs(outside: DataFrame, percent: int, own: bool) -> DataFrame:
+    """(a, b, times) of each list's leader and its sets outside the largest component; own: with a leader from outside."""
+    if own:
+        leaders = outside.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("degree", "id")).alias("lead"))
+        outside = outside.drop("lead").join(leaders, "key")
+    return _tallied(outside.where(_fits(percent) & (F.col("component") != F.col("lead.component"))))
+
+
+def _with_keys(held: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, keys): the sets of the lists, with the keys among theirs that a bitmap of the lists lets through."""
+    from .xxh import long_hash
+
+    shared = held.sparkSession.sparkContext.broadcast(bloom(lists, "key"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            spots = long_hash(np.full(len(value), 42, np.uint64), value.view(np.uint64)).view(np.int64) % BLOOM_BITS
+            keep = let_through(shared.value, spots)
+            left = np.bincount(row[keep], minlength=len(size))
+            some = np.flatnonzero(left)
+            offsets = pa.array(np.append(0, np.cumsum(left[some])), pa.int32())
+            keys = pa.ListArray.from_arrays(offsets, pa.array(value[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), keys], ["id", "keys"])
+
+    return held.select("id", "keys").mapInArrow(run, "id bigint, keys array<bigint>")
 
 
-def cross_links(mixed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def cross_links(held: DataFrame, labels: DataFrame, lists: DataFrame, outside: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b): links that join components within a list, enough of them to join all that can be.
 
     Lists that share sets make a cloud. In a cloud, the sets outside some list's largest component meet all sets, block by
     block: a task has two blocks of about BLOCK sets and counts common members by a product of matrices. Only the links that
     join components within the task leave it.
     """
-    hubs = mixed.groupBy("key").agg(F.min("id").alias("hub"))
-    clouds = components(mixed.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cloud")
-    sets = mixed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("major")).alias("minor"))
-    sets = checkpoint(sets.join(clouds, "id"))
+    near = checkpoint(_with_keys(held, lists))
+    first = F.col("keys")[0]
+    steps = F.transform(F.slice("keys", F.lit(2), F.size("keys")), lambda k: F.struct(first.alias("a"), k.alias("b")))
+    clouds = components(near.select(F.explode(steps).alias("x")).select("x.*").distinct())
+    sets = near.select("id", first.alias("key")).join(clouds.select(F.col("id").alias("key"), F.col("component").alias("cloud")), "key", "left")
+    sets = sets.select("id", F.coalesce("cloud", "key").alias("cloud")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    minor = outside.select("id").distinct().withColumn("minor", F.lit(True))
+    sets = checkpoint(sets.join(minor, "id", "left").withColumn("minor", F.coalesce("minor", F.lit(False))))
     sizes = sets.groupBy("cloud").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.count_if("minor") / BLOCK).alias("lefts"))
     placed = sets.join(sizes, "cloud").withColumn("spot", F.xxhash64("id"))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
@@ -270,20 +316,22 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     short = checkpoint(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("times")))
     labels = checkpoint(components(_verified(short.where(F.col("times") >= least), sets_of, percent)))
     kept = found.where("b IS NULL").select("key", F.col("a").alias("id"), "n")
-    kept = kept.join(kept.groupBy("id").agg(F.count("*").alias("degree")), "id")
+    held = checkpoint(kept.groupBy("id").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")))
     done = short.where(F.col("times") >= least).select("a", "b")
     for turn in range(STAR_ROUNDS + 1):
-        mixed = checkpoint(mixed_lists(kept, labels))
-        if mixed.isEmpty():
+        known = known_lists(held, labels)
+        lists = checkpoint(mixed_lists(known))
+        if lists.isEmpty():
             break
+        outside = checkpoint(outsiders(known, lists))
         if turn < STAR_ROUNDS:
-            pairs = star_pairs(mixed, percent, outside=turn > 0).where(F.col("times") >= least).select("a", "b")
+            pairs = star_pairs(outside, percent, own=turn > 0).where(F.col("times") >= least).select("a", "b")
             pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti"))
             done = done.unionByName(pairs)
             fresh = _verified(pairs, sets_of, percent)
         else:
-            with arrow_rows(kept.sparkSession, 2_000):
-                fresh = checkpoint(cross_links(mixed, sets_of, percent))
+            with arrow_rows(held.sparkSession, 2_000):
+                fresh = checkpoint(cross_links(held, labels, lists, outside, sets_of, percent))
         if not fresh.isEmpty():
             labels = checkpoint(components(fresh.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     return labels
