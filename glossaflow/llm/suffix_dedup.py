@@ -1,15 +1,18 @@
 """Repeated passages by a sparse suffix array over words.
 
 Of the suffixes of every text only those at minimisers are kept: of each WINDOW runs of SEED words in a row, the one with the least
-hash. Two copies of a passage of LEAST_WORDS = SEED + WINDOW - 1 words hold a whole window, so they keep the same suffix of it. Suffixes whose
-first SEED words occur once are put aside with a bitmap of a fixed size. The others are sorted over the cluster by their words (and,
-among equals, by the words before them, then by place, so that any number of equal suffixes is spread over tasks),
-compared with up to NEIGHBOURS neighbours, also across the borders of partitions, and each match is extended to the right and
-left. A match of LEAST_WORDS words or more marks its words as repeated; marks are merged to spans, and of the occurrences of a
-passage those with an earlier one (by id, then place) among the neighbours are removals.
-
-Words are A-Z as a-z. Nulls and texts of fewer words have no spans. Repeated rows are repeats of each other. Null ids are left
-out, and so are other columns.
+hash. These runs are the words of one passage of LEAST_WORDS = SEED + WINDOW - 1 words, so equal passages keep the same suffix, at the same
+distance from their first word. The passages that keep one suffix begin at neighbouring words (WINDOW at most); together they are a
+piece, and pieces of equal words are a class. Suffixes whose first SEED words occur once are put aside with a bitmap of a fixed
+size. Classes (counted, with their first occurrence by id, then place) are brought together by the first SEED words, and
+all the passages in them are counted by hash over the whole group, with the first occurrence of each. A group of more than
+HEAVY suffixes is not held in one task: its passages are counted by Spark's aggregation, one row for each class and passage.
+
+A passage with another occurrence marks its words as repeated; marks are merged to spans, and every occurrence of a passage
+but the first is a removal. Both are exact but for equal 64-bit hashes of different words.
+
+Words are A-Z as a-z. Nulls and texts of fewer words have no spans. Repeated rows are repeats of each other, but as spans go
+by id, a place of one id is never removed for the same place of a repeated row. Null ids are left out, and so are other columns.
 """
 
 from __future__ import annotations
@@ -24,27 +27,35 @@ from pyspark.sql import functions as F
 
 from . import linkage
 from .common import checkpoint, only
-from .wordhash import Words, column_buffers, slices, window_hashes, words
+from .wordhash import Words, column_buffers, mix, slices, window_hashes, words
 from .xxh import long_hash
 
 SEED = 16
 WINDOW = 35
 LEAST_WORDS = SEED + WINDOW - 1
-RIGHT, LEFT = LEAST_WORDS + SEED, LEAST_WORDS
-NEIGHBOURS = 3
+#: Suffixes of one group that a task may hold.
+HEAVY = 20_000
 BITS = 1 << 26
 
+_ODD = mix(np.arange(1, 7, dtype=np.uint64), 78) | np.uint64(1)
 
-def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the kept runs of SEED words."""
+
+def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first word and hash of each run of SEED words; the runs that begin a passage, and the least run of each passage."""
     at, value = window_hashes(w, SEED)
+    none = np.zeros(0, np.int64)
     if len(at) < WINDOW:
-        return at[:0], value[:0]
+        return at, value, none, none
     # the runs of one row are neighbours in at; a window of runs must lie inside one row
     inside = np.flatnonzero(w.row[at[: len(at) - WINDOW + 1]] == w.row[at[WINDOW - 1 :]])
     if not len(inside):
-        return at[:0], value[:0]
-    least = inside + sliding_window_view(value, WINDOW)[inside].argmin(axis=1)
+        return at, value, none, none
+    return at, value, inside, inside + sliding_window_view(value, WINDOW)[inside].argmin(axis=1)
+
+
+def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the kept runs of SEED words."""
+    at, value, _, least = _windows(w)
     chosen = np.unique(least)
     return at[chosen], value[chosen]
 
@@ -66,161 +77,161 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "seed bigint")
 
 
-def suffixes(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
-    """(seed, key, id, place, n_right, n_left): key has the RIGHT words from the place on and the LEFT words before it, backwards."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (length n + 1) of ranges of these sizes put in a row, and the members of all."""
+    offsets = np.append(0, np.cumsum(size))
+    return offsets, np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)
+
+
+def pieces(docs: DataFrame, repeated, heavy, of_heavy: bool, whole: bool) -> DataFrame:
+    """(seed, class, id, place, passages) of (id, text): the pieces whose seed is let through and is, or is not, heavy; the first
+    word of a piece, and, where asked for, the hashes of its passages, which begin at this word and at those after it.
+
+    repeated, heavy: broadcasts of a bitmap and of sorted seeds.
+    """
 
     def run(batches):
         for batch in batches:
             for lo, w in _slices(batch.column(1)):
-                at, value = minimisers(w)
-                spots = long_hash(np.full(len(at), 42, np.uint64), value).view(np.int64) % BITS
-                keep = linkage.let_through(shared.value, spots)
-                at, value = at[keep], value[keep]
-                short = (w.hash >> np.uint64(32)).astype(np.uint32)
-                row = w.row[at]
-                n_right = np.minimum(w.bounds[row + 1] - at, RIGHT)
-                n_left = np.minimum(at - w.bounds[row], LEFT)
-                right, left = np.arange(RIGHT), np.arange(LEFT)
-                a = np.where(right < n_right[:, None], short[np.minimum(at[:, None] + right, len(short) - 1)], 0)
-                b = np.where(left < n_left[:, None], short[np.maximum(at[:, None] - 1 - left, 0)], 0)
-                key = np.concatenate([a, b], axis=1).astype(">u4") if len(at) else np.zeros((0, RIGHT + LEFT), ">u4")
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (RIGHT + LEFT)), len(key), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
+                at, value, inside, least = _windows(w)
+                chosen, begin, size = np.unique(least, return_index=True, return_counts=True)
+                seed = value[chosen].view(np.int64)
+                spots = long_hash(np.full(len(seed), 42, np.uint64), value[chosen]).view(np.int64) % BITS
+                keep = np.flatnonzero(linkage.let_through(repeated.value, spots) & (np.isin(seed, heavy.value) == of_heavy))
+                seed, begin, size = seed[keep], begin[keep], size[keep]
+                # four runs hold all the words of a passage, the last one ending with it
+                passage = np.zeros(len(inside), np.uint64)
+                for j, ahead in enumerate((*range(0, WINDOW - 1, SEED), WINDOW - 1)):
+                    passage += value[inside + ahead] * _ODD[j]
+                passage = mix(passage, LEAST_WORDS)
+                # the first and the last passage hold all the words of a piece
+                kind = mix(passage[begin] * _ODD[4] + passage[begin + size - 1] * _ODD[5] + size.astype(np.uint64), 79)
+                first = at[inside[begin]]
+                offsets, members = _ranges(begin, size if whole else 0 * size)
+                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(passage[members].view(np.int64)))
+                row = w.row[first]
                 ids = batch.column(0).take(pa.array(lo + row, pa.int64()))
-                place = pa.array(at - w.bounds[row], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), keys, ids, place, pa.array(n_right, pa.int64()), pa.array(n_left, pa.int64())],
-                    ["seed", "key", "id", "place", "n_right", "n_left"],
+                    [pa.array(seed), pa.array(kind.view(np.int64)), ids, pa.array(first - w.bounds[row], pa.int64()), held], ["seed", "class", "id", "place", "passages"]
                 )
 
-    return docs.mapInArrow(run, "seed bigint, key binary, id bigint, place bigint, n_right bigint, n_left bigint")
-
-
-class Sorted:
-    """Consecutive rows of the sorted suffixes, as arrays."""
-
-    def __init__(self, seed, key, ids, place, n_right, n_left):
-        self.seed, self.key, self.id, self.place, self.n_right, self.n_left = seed, key, ids, place, n_right, n_left
+    found = docs.mapInArrow(run, "seed bigint, class bigint, id bigint, place bigint, passages array<bigint>")
+    return found if whole else found.drop("seed", "passages")
 
-    @classmethod
-    def of(cls, batch: pa.RecordBatch) -> Sorted:
-        seed, key, *rest = batch.columns
-        raw = np.frombuffer(b"".join(key.to_pylist()), ">u4").reshape(-1, RIGHT + LEFT)
-        return cls(seed.to_numpy(), raw, *(c.to_numpy() for c in rest))
 
-    def then(self, other: Sorted) -> Sorted:
-        return Sorted(*(np.concatenate([a, b]) for a, b in zip(self.fields(), other.fields(), strict=True)))
+def classes(found: DataFrame) -> DataFrame:
+    """(seed, class, n, id, place, passages) of pieces: how many there are of a class, and the first of them."""
+    counted = found.groupBy("seed", "class").agg(F.count("*").alias("n"), F.min(F.struct("id", "place", "passages")).alias("first"))
+    return counted.select("seed", "class", "n", "first.*")
 
-    def fields(self):
-        return self.seed, self.key, self.id, self.place, self.n_right, self.n_left
 
-    def rows(self, chosen) -> Sorted:
-        return Sorted(*(f[chosen] for f in self.fields()))
+VERDICT = "class bigint, first_id bigint, first_place bigint, low bigint, high bigint, late_low bigint, late_high bigint"
 
 
-def compare(x: Sorted, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, first word, end, has an earlier occurrence) of rows that match the row `apart` places further, and of these."""
-    near = np.flatnonzero(x.seed[:-apart] == x.seed[apart:])
-    far = near + apart
-    same = x.key[near] == x.key[far]
-    reach = lambda part: np.where(part.all(axis=1), part.shape[1], part.argmin(axis=1))
-    right = np.minimum(reach(same[:, :RIGHT]), np.minimum(x.n_right[near], x.n_right[far]))
-    left = np.minimum(reach(same[:, RIGHT:]), np.minimum(x.n_left[near], x.n_left[far]))
-    good = (right >= SEED) & (right + left >= LEAST_WORDS)
-    near, far, right, left = near[good], far[good], right[good], left[good]
-    before = (x.id[near] < x.id[far]) | ((x.id[near] == x.id[far]) & (x.place[near] < x.place[far]))
-    for at, later in ((near, ~before), (far, before)):
-        yield x.id[at], x.place[at] - left, x.place[at] + right, later
+def _judged(kind, n, ids, place, offsets, passages) -> pa.RecordBatch:
+    """Verdicts on the classes of whole groups: the outermost passages that occur again, and those with an earlier occurrence elsewhere."""
+    size = np.diff(offsets)
+    owner = np.repeat(np.arange(len(kind)), size)
+    ahead = np.arange(len(owner)) - np.repeat(offsets[:-1], size)
+    order = np.lexsort((place[owner] + ahead, ids[owner], passages))
+    new = np.flatnonzero(np.append(True, passages[order][1:] != passages[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    owner, ahead = owner[order], ahead[order]
+    again = (np.add.reduceat(n[owner], new) if len(new) else n[:0])[group] > 1
+    first = new[group]
+    late = again & ((ids[owner] != ids[owner[first]]) | (place[owner] + ahead != place[owner[first]] + ahead[first]))
+    limits = []
+    for chosen in (again, late):
+        low, high = np.full(len(kind), WINDOW), np.full(len(kind), -1)
+        np.minimum.at(low, owner[chosen], ahead[chosen])
+        np.maximum.at(high, owner[chosen], ahead[chosen])
+        limits += [low, high]
+    some = limits[1] >= 0
+    none = limits[3][some] < 0
+    columns = [pa.array(c[some], pa.int64()) for c in (kind, ids, place, *limits[:2])] + [pa.array(c[some], pa.int64(), mask=none) for c in limits[2:]]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in VERDICT.split(", ")])
 
 
-def matches(ordered: DataFrame) -> DataFrame:
-    """(id, start, end, later, task, edge, row...) of sorted suffixes: marks, and the outermost rows of each partition."""
-    names = ["id", "start", "end", "later", "task", "edge", "seed", "key", "n_right", "n_left"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+def judge(grouped: DataFrame) -> DataFrame:
+    """Verdicts on classes that lie sorted by seed, each seed in one partition."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        held: Sorted | None = None
-        first: Sorted | None = None
-
-        def edge(x: Sorted, side: int) -> pa.RecordBatch:
-            n = len(x.seed)
-            values = [x.id, x.place, [None] * n, [None] * n, [task] * n, [side] * n, x.seed, [k.tobytes() for k in x.key], x.n_right, x.n_left]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
-
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = Sorted.of(batch)
-            old = 0 if held is None else len(held.seed)
-            x = x if held is None else held.then(x)
-            if first is None or len(first.seed) < NEIGHBOURS:
-                first = x.rows(slice(0, NEIGHBOURS))
-            for apart in range(1, NEIGHBOURS + 1):
-                if len(x.seed) > apart:
-                    # pairs of rows that were both held have been compared
-                    y = x.rows(slice(max(old - apart, 0), None))
-                    if len(y.seed) > apart:
-                        for ids, start, end, later in compare(y, apart):
-                            n = len(ids)
-                            marks = [pa.array(v, t) for v, t in zip((ids, start, end, later), kinds, strict=False)]
-                            yield pa.RecordBatch.from_arrays([*marks, *[pa.nulls(n, t) for t in kinds[4:]]], names)
-            held = x.rows(slice(max(len(x.seed) - NEIGHBOURS, 0), None))
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            seed = batch.column(0).to_numpy()
+            # rows of the last seed wait for the next batch
+            last = rows.num_rows - batch.num_rows + int(np.searchsorted(seed, seed[-1])) if seed[0] != seed[-1] else None
+            if last is None:
+                seed = rows.column(0).to_numpy()
+                last = int(np.searchsorted(seed, seed[-1]))
+            if last:
+                yield of(rows.slice(0, last))
+            held = rows.slice(last)
         if held is not None:
-            yield edge(first, 0)
-            yield edge(held, 1)
+            yield of(held)
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        kind, n, ids, place = (rows.column(c).to_numpy() for c in ("class", "n", "id", "place"))
+        lists = rows.column("passages").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        return _judged(kind, n, ids, place, offsets, lists.flatten().to_numpy())
 
-    schema = "id bigint, start bigint, end bigint, later boolean, task int, edge int, seed bigint, key binary, n_right bigint, n_left bigint"
-    return ordered.select("seed", "key", "id", "place", "n_right", "n_left").mapInArrow(run, schema)
+    return grouped.select("seed", "class", "n", "id", "place", "passages").mapInArrow(run, VERDICT)
 
 
-def border_marks(edges: list) -> list[tuple[int, int, int, bool]]:
-    """Marks across the borders of partitions, from their outermost rows (2 * NEIGHBOURS for each partition)."""
+def judge_heavy(found: DataFrame) -> DataFrame:
+    """Verdicts on classes of any number for a seed: one row for each class and passage, and Spark's aggregation."""
+    found = checkpoint(found)
+    each = found.select("class", "n", "id", F.col("place").alias("first_place"), F.posexplode("passages").alias("ahead", "passage")).withColumn("place", F.col("first_place") + F.col("ahead"))
+    again = each.groupBy("passage").agg(F.sum("n").alias("total"), F.min(F.struct("id", "place")).alias("first")).where("total > 1").drop("total")
+    late = F.when(F.struct("id", "place") != F.col("first"), F.col("ahead"))
+    limits = [f.cast("bigint") for f in (F.min("ahead"), F.max("ahead"), F.min(late), F.max(late))]
+    names = ["low", "high", "late_low", "late_high"]
+    judged = each.join(again, "passage").groupBy("class", "id", "first_place").agg(*[f.alias(c) for f, c in zip(limits, names, strict=True)])
+    return judged.select("class", F.col("id").alias("first_id"), "first_place", *names)
 
-    def stack(rows: list) -> Sorted:
-        key = np.frombuffer(b"".join(bytes(r["key"]) for r in rows), ">u4").reshape(-1, RIGHT + LEFT)
-        take = lambda c: np.array([r[c] for r in rows], np.int64)
-        return Sorted(take("seed"), key, take("id"), take("start"), take("n_right"), take("n_left"))
 
-    tasks = sorted({r["task"] for r in edges})
-    out = []
-    for a, b in zip(tasks[:-1], tasks[1:], strict=True):
-        ends = [r for r in edges if r["task"] == a and r["edge"] == 1]
-        starts = [r for r in edges if r["task"] == b and r["edge"] == 0]
-        both = stack(ends + starts)
-        for apart in range(1, NEIGHBOURS + 1):
-            if len(both.seed) > apart:
-                for ids, start, end, later in compare(both, apart):
-                    out += [tuple(v) for v in zip(ids.tolist(), start.tolist(), end.tolist(), later.tolist(), strict=True)]
-    return out
+def marks(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, start, end, removed) of pieces (class, id, place); the passages between the outermost ones of a piece are covered by these."""
+    both = found.join(verdicts, "class")
+    own = (F.col("id") == F.col("first_id")) & (F.col("place") == F.col("first_place"))
+    low, high = F.when(own, F.col("late_low")).otherwise(F.col("low")), F.when(own, F.col("late_high")).otherwise(F.col("high"))
+    span = lambda a, b, removed: F.struct((F.col("place") + a).alias("start"), (F.col("place") + b + LEAST_WORDS).alias("end"), F.lit(removed).alias("removed"))
+    spans = F.array(span(F.col("low"), F.col("high"), False), span(low, high, True))
+    return both.select("id", F.explode(spans).alias("x")).select("id", "x.*").where("start IS NOT NULL")
 
 
 def merged_spans(marks: DataFrame) -> DataFrame:
-    """(id, start_word, end_word) of the unions of marks (id, start, end)."""
-    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
-    islands = marks.select("id", "start", "end", fresh.alias("fresh"))
-    number = F.sum("fresh").over(Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    islands = islands.select("id", "start", "end", number.alias("island"))
-    return islands.groupBy("id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("island")
+    """(id, removed, start_word, end_word) of the unions of marks (id, start, end, removed)."""
+    kind = Window.partitionBy("id", "removed").orderBy("start", "end")
+    fresh = F.coalesce((F.col("start") > F.max("end").over(kind.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    islands = marks.select("id", "removed", "start", "end", fresh.alias("fresh"))
+    number = F.sum("fresh").over(kind.rowsBetween(Window.unboundedPreceding, 0))
+    islands = islands.select("id", "removed", "start", "end", number.alias("island"))
+    return islands.groupBy("id", "removed", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("island")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, end_word, n_words, removed): spans of words that occur again somewhere, and, with removed true,
+    """(id, start_word, end_word, removed, n_words): spans of words that occur again somewhere, and, with removed true,
     the parts of them that have an earlier occurrence."""
     spark = df.sparkSession
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint")).where("id IS NOT NULL")
-    again = seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    again = checkpoint(seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated = spark.sparkContext.broadcast(linkage.bloom(again, "seed", BITS))
+    # no more than one in HEAVY of all suffixes
+    large = np.sort(np.array([r["seed"] for r in again.where(F.col("n") > HEAVY).select("seed").collect()], np.int64))
+    heavy = spark.sparkContext.broadcast(large)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = suffixes(docs, linkage.bloom(again, "seed", BITS)).repartitionByRange(parts, "seed", "key", "id", "place")
-    found = checkpoint(matches(ordered.sortWithinPartitions("seed", "key", "id", "place")))
-    border = border_marks(found.where("edge IS NOT NULL").collect())
-    marks = found.where("edge IS NULL").select("id", "start", "end", "later")
-    marks = marks.unionByName(spark.createDataFrame(border, marks.schema)) if border else marks
-    marks = marks.groupBy("id", "start", "end").agg(F.max("later").alias("later"))
-    marks = checkpoint(marks)
-    every = merged_spans(marks.drop("later")).withColumn("removed", F.lit(False))
-    late = merged_spans(marks.where("later").drop("later")).withColumn("removed", F.lit(True))
-    return every.unionByName(late).withColumn("n_words", F.col("end_word") - F.col("start_word"))
+    spans = None
+    for of_heavy in (False, True)[: 1 + bool(len(large))]:
+        counted = classes(pieces(docs, repeated, heavy, of_heavy, True))
+        verdicts = judge_heavy(counted) if of_heavy else judge(counted.repartition(parts, "seed").sortWithinPartitions("seed"))
+        some = marks(pieces(docs, repeated, heavy, of_heavy, False), verdicts)
+        spans = some if spans is None else spans.unionByName(some)
+    spans = merged_spans(spans)
+    return spans.select("id", "start_word", "end_word", "removed", (F.col("end_word") - F.col("start_word")).alias("n_words"))

@@ -149,6 +149,31 @@ def test_repeated_spans_equal_brute_force(spark, parts):
     assert late < covered
 
 
+def removed_words(rows):
+    seen = defaultdict(list)
+    for i, t, *_ in rows:
+        w = tokens(t)
+        for k in range(len(w) - 49):
+            seen[tuple(w[k : k + 50])].append((i, k))
+    return {(i, k + j) for v in seen.values() for i, k in v if (i, k) != min(v) for j in range(50)}
+
+
+def spans_of(spark, rows):
+    spans = suffix_dedup.repeated_spans(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    return [{(r["id"], k) for r in spans if r["removed"] == late for k in range(r["start_word"], r["end_word"])} for late in (False, True)]
+
+
+@pytest.mark.parametrize("heavy", [20_000, 5])
+def test_one_of_many_sharers_is_kept(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    shared = words(70, 999)
+    rows = [(i, words(40, 7000 + i) + " " + shared + " " + words(40, 9000 + i), "en", "s", 1) for i in range(120)]
+    rows += [(200 + i, " ".join(["same"] * 90 + [str(i)] + ["a b"] * 60), "en", "s", 1) for i in range(8)] + [(1000 + r[0], *r[1:]) for r in corpus(2, 12)]
+    every, late = spans_of(spark, rows)
+    assert late == removed_words(rows) and every == repeated_words(rows)
+    assert sum((i, 75) in every and (i, 75) not in late for i in range(1, 120)) == 0
+
+
 def test_spans_of_awkward_rows(awkward, empty):
     spans = [(r["id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_spans(awkward).where("NOT removed").collect()]
     found = Counter(i for i, *_ in spans)
