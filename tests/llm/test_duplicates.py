@@ -174,6 +174,19 @@ def test_one_of_many_sharers_is_kept(spark, monkeypatch, heavy):
     assert sum((i, 75) in every and (i, 75) not in late for i in range(1, 120)) == 0
 
 
+@pytest.mark.parametrize("heavy", [20_000, 5])
+def test_passage_behind_a_common_line_is_found(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    line = words(30, 31)
+    rows = [(i, words(45, 3000 + i) + " " + line + " " + words(45, 5000 + i), "en", "s", 1) for i in range(150)]
+    for p in range(20):
+        before = words(25, 800 + p)
+        rows += [(1000 + 2 * p + c, f"{words(30, 6000 + 2 * p + c)} {before} {line} {words(30, 8000 + 2 * p + c)}", "en", "s", 1) for c in range(2)]
+    every, late = spans_of(spark, rows)
+    assert every == repeated_words(rows) and late == removed_words(rows)
+    assert {i for i, _ in every} == set(range(1000, 1040)) and {i for i, _ in late} == set(range(1001, 1040, 2))
+
+
 def test_spans_of_awkward_rows(awkward, empty):
     spans = [(r["id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_spans(awkward).where("NOT removed").collect()]
     found = Counter(i for i, *_ in spans)
