@@ -7,8 +7,8 @@ nor take quadratic time. Positions are code points.
 
 Method: every distinct base value is a protected entity. The words within CONTEXT words of its occurrences are terms that
 may reveal it. Over the corpus, n(e, t) counts the distinct contexts in which term t stands beside entity e and n(t) the
-documents with t, or the distinct contexts with t where these are more. What t leaves unknown of e is IC(e) - PMI(e; t) = -log2(n(e, t) / n(t)) bits; with at least SUPPORT
-contexts and at most one bit left (2 n(e, t) >= n(t)) the term discloses the entity. Copies of a text make one context.
+distinct texts with t, or the distinct contexts with t where these are more. What t leaves unknown of e is IC(e) - PMI(e; t) = -log2(n(e, t) / n(t)) bits; with at least SUPPORT
+contexts and at most one bit left (2 n(e, t) >= n(t)) the term discloses the entity. Copies of a text count once on both sides.
 Disclosing terms are spans of the kind "term" wherever they occur, and sanitise() generalises them like base values.
 
 Everything is DataFrame expressions. Nulls and empty texts have no spans; rows of one id and text have equal results;
@@ -32,7 +32,9 @@ WORD = r"[\p{L}\p{N}_'-]++"
 CONTEXT = 5
 LEAST_LETTERS = 4
 SUPPORT = 3
+#: Characters in which the words are looked for first; where they hold too few, the whole side is read.
 _CONTEXT_CHARS = 120
+_FIRST = rf"^(?:[^\p{{L}}\p{{N}}_'-]*+{WORD}){{0,{CONTEXT}}}"
 
 
 def _digits(c: Column) -> Column:
@@ -106,11 +108,15 @@ def _term(c: Column) -> Column:
 def contexts(text: Column, base: Column) -> Column:
     """Array of (entity, context, terms) for each base span: a digest of the words on both sides, and these words."""
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    # the last word of a part may be cut, so one more than needed must be there
+    enough = lambda part, whole: F.when(F.size(part) > CONTEXT, F.slice(part, 1, CONTEXT)).otherwise(whole)
 
     def one(s: Column) -> Column:
         reach = F.greatest(s["start"] - _CONTEXT_CHARS, F.lit(0))
-        left = F.slice(F.reverse(words(text.substr(reach + 1, s["start"] - reach))), 1, CONTEXT)
-        right = F.slice(words(text.substr(s["end"] + 1, F.lit(_CONTEXT_CHARS))), 1, CONTEXT)
+        before = words(F.regexp_extract(F.reverse(text.substr(F.lit(1), s["start"])), _FIRST, 0))
+        left = enough(F.reverse(words(text.substr(reach + 1, s["start"] - reach))), F.transform(before, lambda w: F.reverse(w)))
+        after = words(F.regexp_extract(text.substr(s["end"] + 1, F.length(text)), _FIRST, 0))
+        right = enough(words(text.substr(s["end"] + 1, F.lit(_CONTEXT_CHARS))), after)
         terms = F.array_distinct(F.transform(F.concat(left, right), _term))
         return F.struct(
             F.concat_ws(":", s["kind"].cast("string"), s["value"]).alias("entity"),
@@ -139,7 +145,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     strongest = checkpoint(strongest.where(2 * F.col("together") >= F.col("contexts")).select("term", "together"))
     if strongest.isEmpty():
         return strongest.select("term")
-    spread = occurrences(docs, strongest).groupBy("term").agg(F.count("*").alias("n"))
+    spread = occurrences(docs, strongest).select("mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n"))
     return checkpoint(spread.join(strongest, "term").where(2 * F.col("together") >= F.col("n")).select("term"))
 
 

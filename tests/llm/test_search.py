@@ -70,6 +70,23 @@ def test_terms_that_stand_by_one_entity_are_found_everywhere(spark):
     assert "[EMAIL]" in clean[0]["text"] and "anzibarov" not in clean[0]["text"] and clean[41]["text"] is None
 
 
+def test_copies_of_a_text_do_not_hide_its_terms(spark):
+    texts = [f"{words(10, i)} Zanzibarov writes from z@z.org today {words(8, 50 + i)}" for i in range(3)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(10 + i, texts[0], "en", "s", 1) for i in range(40)]
+    found = {r["id"]: r["spans"] for r in pii.spans(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert all("term" in s for s in found.values())
+
+
+def test_words_beside_an_entity_are_read_whatever_their_length(spark):
+    def far(i):
+        return " ".join(f"{'long' * 20}{i}x{k}" for k in range(3))
+
+    rows = [(i, f"{words(5, i)} Zanzibarov {far(i)} z@z.org {far(9 + i)} Quillfeather {words(5, 50 + i)}", "en", "s", 1) for i in range(3)]
+    rows += [(40, "of zanzibarov", "en", "s", 1), (41, "of quillfeather", "en", "s", 1)]
+    found = {r["id"]: r["spans"] for r in pii.spans(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert found[40] == "term:3:13" and found[41] == "term:3:15"
+
+
 def test_personal_data_of_awkward_rows(spark, awkward, empty):
     assert pii.spans(awkward).count() == awkward.count()
     same = pii.sanitise(awkward)
