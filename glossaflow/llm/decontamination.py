@@ -232,7 +232,7 @@ def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int,
         item, known_words = space.item_words[i], space.item_sets[i]
         reach = len(item) + len(item) // 4
         least = PARAPHRASE * len(item)
-        best = (0.0, 0.0, 0)
+        best = None
         done = -1
         for s in sorted(set(at)):
             a = max(s - reach + STEP, int(w.bounds[r]), done)
@@ -246,8 +246,11 @@ def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int,
             begin = begin[held[np.minimum(begin + reach, b) - a] - held[begin - a] >= least]
             for lo in begin.tolist():
                 common, answer = common_subsequence(item.tolist(), w.hash[lo : min(lo + reach, b)].tolist())
-                best = max(best, (common / len(item), answer / min(ANSWER_WORDS, len(item)), lo - int(w.bounds[r])))
-        if best[0] >= NEAR or best[0] >= PARAPHRASE and best[1] >= ANSWER:
+                share, answered = common / len(item), answer / min(ANSWER_WORDS, len(item))
+                if share >= NEAR or share >= PARAPHRASE and answered >= ANSWER:
+                    one = (share, answered, lo - int(w.bounds[r]))
+                    best = one if best is None else max(best, one)
+        if best is not None:
             out.append((r, i, best[2], best[0], best[1]))
     return out
 

@@ -114,6 +114,15 @@ def test_leaks(spark, awkward, empty):
     assert decontamination.without_leaks(awkward, benchmark.where("false")).count() == awkward.count()
 
 
+def test_stretch_with_the_answer_counts_though_another_has_more_words(spark):
+    item, other = [f"item{i}" for i in range(40)], [f"other{i}" for i in range(49)]
+    # of the stretches of 50 words that at 0 holds 28 of the item's words without the answer, that at 10 holds 24 with 6 of its 8 words
+    text = item[:28] + other[:26] + item[32:] + other[26:]
+    docs = spark.createDataFrame([(1, " ".join(text), "en", "s", 1), (2, " ".join(item[:28] + other), "en", "s", 1)], COLUMNS)
+    got = decontamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id BIGINT, text STRING")).collect()
+    assert [(r["id"], r["item"]) for r in got] == [(1, 7)] and got[0]["common"] < 0.7 and got[0]["answer"] >= 0.75
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEMS", 3)
     items = [(i, words(30, 2000 + i)) for i in range(10)]
