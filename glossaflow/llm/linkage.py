@@ -1,6 +1,6 @@
 """Links between sets that share keys, and their connected components, with no all-pairs step inside a large list.
 
-A posting is (key, id, n): a set of n members has the key. Sets that can be similar share `least` keys. list_pairs()
+A posting is (key, id, n) or (key, id, n, many): a set of n members has the key, and occurs `many` times. Sets that can be similar share `least` keys. list_pairs()
 walks each list in the order of n: a list of up to SMALL_LIST sets gives all its pairs of fitting sizes; a longer one gives the
 pairs of neighbours, and its postings are kept. Pairs that come `least` times are verified, and give the first components; neighbours
 of near sizes join most of a group of near copies. Then, in STAR_ROUNDS rounds, the sets outside the largest component of a long
@@ -21,13 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, checkpoint
+from .wordhash import mix
 
 SMALL_LIST = 24
 STAR_ROUNDS = 2
 BLOCK = 256
 #: Edges (16 bytes each) that one task may hold.
 FEW_EDGES = 50_000
-BLOOM_BITS = 1 << 24
+#: Bits of a bitmap: from 8 kB up to 32 MB, by what it holds.
+LEAST_BITS = 1 << 16
+MOST_BITS = 1 << 28
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -79,7 +82,8 @@ def _state(e: DataFrame) -> tuple:
 
 
 def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(key, a, b, n): pairs a < b of short lists and neighbours in long ones, with a null key; postings (key, a, n) of long lists, with b null.
+    """(key, a, b, n): pairs a < b of short lists and neighbours in long ones, with a null key; postings (key, a, n) of long lists, with b
+    null; and a = b, with a null key, for a set that occurs several times.
 
     Sizes fit when the smaller is at least percent/100 of the larger. Memory is bounded by SMALL_LIST and one batch.
     """
@@ -95,12 +99,11 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 for y, m in held[i + 1 :]:
                     if 100 * n < percent * m:
                         break
-                    if x != y:
-                        pairs.append((min(x, y), max(x, y)))
+                    pairs.append((min(x, y), max(x, y)))
             held.clear()
 
         def beside(left: tuple[int, int], right: tuple[int, int]) -> None:
-            if left[0] != right[0] and 100 * left[1] >= percent * right[1]:
+            if 100 * left[1] >= percent * right[1]:
                 pairs.append((min(left[0], right[0]), max(left[0], right[0])))
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -112,36 +115,49 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 pairs.clear()
                 kept.clear()
 
-        for batch in batches:
-            key, ids, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(edge, len(key)))
+        def take(rows: list[np.ndarray]) -> None:
+            key, ids, n, many = rows
+            pairs.extend((x, x) for x in ids[many > 1].tolist())
             # lists of one set, wholly inside the batch, have no pairs
-            for at, many in zip(edge.tolist(), size.tolist(), strict=True):
-                k = int(key[at])
+            same = key[1:] == key[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            keep[[0, -1]] = True
+            for k, x, m in zip(key[keep].tolist(), ids[keep].tolist(), n[keep].tolist(), strict=True):
                 if k != state["key"]:
                     close()
                     state.update(key=k, long=False)
-                    if many == 1 and at + many < len(key):
-                        continue
-                for x, m in zip(ids[at : at + many].tolist(), n[at : at + many].tolist(), strict=True):
-                    if state["long"]:
-                        beside(state["last"], (x, m))
-                        state["last"] = (x, m)
-                        kept.append((k, x, m))
-                        continue
-                    held.append((x, m))
-                    if len(held) > SMALL_LIST:
-                        state.update(long=True, last=held[-1])
-                        for left, right in zip(held[:-1], held[1:], strict=True):
-                            beside(left, right)
-                        kept.extend((k, y, o) for y, o in held)
-                        held.clear()
+                if state["long"]:
+                    beside(state["last"], (x, m))
+                    state["last"] = (x, m)
+                    kept.append((k, x, m))
+                    continue
+                held.append((x, m))
+                if len(held) > SMALL_LIST:
+                    state.update(long=True, last=held[-1])
+                    for left, right in zip(held[:-1], held[1:], strict=True):
+                        beside(left, right)
+                    kept.extend((k, y, o) for y, o in held)
+                    held.clear()
+
+        wait = None  # the last set, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = rows if wait is None else [np.append(x, y) for x, y in zip(wait, rows, strict=True)]
+            new = np.flatnonzero(np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+            rows = [*[c[new] for c in rows[:3]], np.add.reduceat(rows[3], new)]
+            wait = [c[-1:] for c in rows]
+            if len(new) > 1:
+                take([c[:-1] for c in rows])
             yield from flush()
+        if wait is not None:
+            take(wait)
         close()
         yield from flush()
 
-    ordered = postings.select("key", "id", "n").repartition("key").sortWithinPartitions("key", "n", "id")
+    many = F.col("many") if "many" in postings.columns else F.lit(1).cast("bigint")
+    ordered = postings.select("key", "id", "n", many.alias("many")).repartition("key").sortWithinPartitions("key", "n", "id")
     return ordered.mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
 
 
@@ -184,8 +200,6 @@ def star_pairs(outside: DataFrame, percent: int, own: bool) -> DataFrame:
 
 def _with_keys(held: DataFrame, lists: DataFrame) -> DataFrame:
     """(id, keys): the sets of the lists, with the keys among theirs that a bitmap of the lists lets through."""
-    from .xxh import long_hash
-
     shared = held.sparkSession.sparkContext.broadcast(bloom(lists, "key"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -193,8 +207,7 @@ def _with_keys(held: DataFrame, lists: DataFrame) -> DataFrame:
             value = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             size = np.diff(batch.column(1).offsets.to_numpy())
             row = np.repeat(np.arange(len(size)), size)
-            spots = long_hash(np.full(len(value), 42, np.uint64), value.view(np.uint64)).view(np.int64) % BLOOM_BITS
-            keep = let_through(shared.value, spots)
+            keep = let_through(shared.value, value)
             left = np.bincount(row[keep], minlength=len(size))
             some = np.flatnonzero(left)
             offsets = pa.array(np.append(0, np.cumsum(left[some])), pa.int32())
@@ -273,18 +286,31 @@ def _common(left: list[bytes], right: list[bytes], columns: int = 1 << 14) -> tu
     return np.rint(out).astype(np.int64), sizes[: len(left)], sizes[len(left) :]
 
 
-def bloom(ids: DataFrame, column: str = "id", bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bitmap of hashed ids, of a fixed size (2 MB); it lets all the ids through and few others."""
-    spot = F.pmod(F.xxhash64(column), F.lit(bits))
-    rows = ids.select((spot / 32768).cast("int").alias("at"), (spot % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+def _spots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values.view(np.uint64), 3) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom(ids: DataFrame, column: str = "id", most_bits: int = MOST_BITS) -> np.ndarray:
+    """A bitmap of hashed 64-bit values; it lets all of them through and few others. Its size follows their counted number,
+    16 bits each, up to a fixed size; beyond that it lets more through, which costs time and no result."""
+    values = ids.select(F.col(column).cast("bigint").alias("x")).where("x IS NOT NULL")
+    bits = min(max(1 << int(16 * max(values.count(), 1) - 1).bit_length(), LEAST_BITS), most_bits)
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = np.unique(_spots(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((spot >> 15).astype(np.int32)), pa.array(spot & 32767)], ["at", "bit"])
+
+    rows = values.mapInArrow(place, "at int, bit bigint").groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def let_through(bitmap: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    """Which hashed ids (xxhash64 modulo the bits) the bitmap has."""
+def let_through(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values the bitmap has."""
+    spots = _spots(values, 8 * len(bitmap))
     return (bitmap[spots >> 3] >> (spots & 7)) & 1 > 0
 
 
@@ -310,10 +336,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, least: int = 1) -> DataFrame:
-    """(id, component) of every set with a link. sets_of(ids) gives (id, members) of at least the ids asked for."""
+def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, least: int = 1, repeats: bool = False) -> DataFrame:
+    """(id, component) of every set with a link, and, where asked for, of those that occur several times.
+
+    sets_of(ids) gives (id, members) of at least the ids asked for.
+    """
     found = checkpoint(list_pairs(postings, percent))
-    short = checkpoint(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("times")))
+    met = checkpoint(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("times")))
+    short = met.where("a <> b")
     labels = checkpoint(components(_verified(short.where(F.col("times") >= least), sets_of, percent)))
     kept = found.where("b IS NULL").select("key", F.col("a").alias("id"), "n")
     held = checkpoint(kept.groupBy("id").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")))
@@ -334,6 +364,9 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
                 fresh = checkpoint(cross_links(held, labels, lists, outside, sets_of, percent))
         if not fresh.isEmpty():
             labels = checkpoint(components(fresh.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))))
+    if repeats:
+        alone = met.where("a = b").select(F.col("a").alias("id")).join(labels, "id", "left_anti")
+        return labels.unionByName(alone.withColumn("component", F.col("id")))
     return labels
 
 

@@ -3,7 +3,7 @@
 Of the suffixes of every text only those at minimisers are kept: of each WINDOW runs of SEED words in a row, the one with the least
 hash. These runs are the words of one passage of LEAST_WORDS = SEED + WINDOW - 1 words, so equal passages keep the same suffix, at the same
 distance from their first word. The passages that keep one suffix begin at neighbouring words (WINDOW at most); together they are a
-piece, and pieces of equal words are a class. Suffixes whose first SEED words occur once are put aside with a bitmap of a fixed
+piece, and pieces of equal words are a class. Suffixes whose first SEED words occur once are put aside with a bitmap of a bounded
 size. Classes (counted, with their first occurrence by id, then place) are brought together by the first SEED words, and
 all the passages in them are counted by hash over the whole group, with the first occurrence of each. A group of more than
 HEAVY suffixes is not held in one task: its passages are counted by Spark's aggregation, one row for each class and passage.
@@ -28,14 +28,12 @@ from pyspark.sql import functions as F
 from . import linkage
 from .common import checkpoint, only
 from .wordhash import Words, column_buffers, mix, slices, window_hashes, words
-from .xxh import long_hash
 
 SEED = 16
 WINDOW = 35
 LEAST_WORDS = SEED + WINDOW - 1
 #: Suffixes of one group that a task may hold.
 HEAVY = 20_000
-BITS = 1 << 26
 
 _ODD = mix(np.arange(1, 7, dtype=np.uint64), 78) | np.uint64(1)
 
@@ -96,8 +94,7 @@ def pieces(docs: DataFrame, repeated, heavy, of_heavy: bool, whole: bool) -> Dat
                 at, value, inside, least = _windows(w)
                 chosen, begin, size = np.unique(least, return_index=True, return_counts=True)
                 seed = value[chosen].view(np.int64)
-                spots = long_hash(np.full(len(seed), 42, np.uint64), value[chosen]).view(np.int64) % BITS
-                keep = np.flatnonzero(linkage.let_through(repeated.value, spots) & (np.isin(seed, heavy.value) == of_heavy))
+                keep = np.flatnonzero(linkage.let_through(repeated.value, seed) & (np.isin(seed, heavy.value) == of_heavy))
                 seed, begin, size = seed[keep], begin[keep], size[keep]
                 # four runs hold all the words of a passage, the last one ending with it
                 passage = np.zeros(len(inside), np.uint64)
@@ -222,7 +219,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint")).where("id IS NOT NULL")
     again = checkpoint(seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
-    repeated = spark.sparkContext.broadcast(linkage.bloom(again, "seed", BITS))
+    repeated = spark.sparkContext.broadcast(linkage.bloom(again, "seed"))
     # no more than one in HEAVY of all suffixes
     large = np.sort(np.array([r["seed"] for r in again.where(F.col("n") > HEAVY).select("seed").collect()], np.int64))
     heavy = spark.sparkContext.broadcast(large)
