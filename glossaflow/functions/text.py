@@ -13,8 +13,8 @@ CJK = r"[㐀-䶿一-鿿豈-﫿]"
 HANGUL = r"[가-힯]"
 LATIN_WORD = r"[A-Za-z]{2,}"
 DETECTORS = {"ja": f"{KANA}|{CJK}", "en": LATIN_WORD, "ko": HANGUL, "zh": CJK}
-PATH_ENDINGS = "png jpg ogg wav mp3 json tscn tres gd gdc js webp ks tjs txt csv asset prefab"
-PATH_LIKE = r"(?iU)^(res|user|uid|https?|file)://|^[\w./\\-]+\.(" + "|".join(PATH_ENDINGS.split()) + r")\n?\z"
+PATH_ENDINGS = ("png", "jpg", "ogg", "wav", "mp3", "json", "tscn", "tres", "gd", "gdc", "js", "webp", "ks", "tjs", "txt", "csv", "asset", "prefab")
+PATH_LIKE = r"(?iU)^(res|user|uid|https?|file)://|^[\w./\\-]+\.(" + "|".join(PATH_ENDINGS) + r")\n?\z"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_.:/-]*\n?\z"
 BRACES = r"\{[^{}\n]*\}"
 PRINTF = r"%(?:\d+\$)?[-+0 #]*(?:\d+|\*)?(?:\.(?:\d+|\*))?[sdifxXocv]"
@@ -24,6 +24,40 @@ EDGE = r"[\s\u001c-\u001f]"
 ERRORS = ("empty", "nul", "tokens", "line_feeds", "tabs", "returns", "edge_space")
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """For each of an array of integers the sum of those before it. Arrays grow within blocks only, so long ones stay cheap."""
+    none = F.array().cast("array<int>")
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), none.alias("before"))
+        return F.aggregate(part, start, lambda s, v: F.struct((s["total"] + v).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+    parts = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / block).cast("int")), lambda b: sums(F.slice(values, b * block + 1, F.lit(block))))
+    shift = lambda p: F.flatten(F.zip_with(p, sums(F.transform(p, lambda x: x["total"]))["before"], lambda x, at: F.transform(x["before"], lambda v: v + at)))
+    return F.when(F.size(values) > 0, F.transform(F.array(parts), shift)[0]).otherwise(none)
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of all matches of a pattern, by the lengths of the stretches between them."""
+
+    def place(x: Column) -> Column:
+        lengths = F.transform(x, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0)))
+        found = F.zip_with(x, running_sums(lengths), lambda p, at: F.struct((at + F.length(p["gap"])).alias("start"), (at + F.length(p["gap"]) + F.length(p["value"])).alias("end"), p["value"].alias("value")))
+        return F.filter(found, lambda f: f["value"].isNotNull())
+
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    return F.transform(F.array(pairs), place)[0]
+
+
+def put_back(text: Column, edits: Column) -> Column:
+    """text with edits, an array of (start, end, put) without overlaps, in its place."""
+    ordered = F.array_sort(edits)
+    end = lambda x, i: F.when(i > 0, F.get(x, i - 1)["end"]).otherwise(0)
+    pieces = lambda x: F.concat_ws("", F.transform(x, lambda e, i: F.concat(F.substr(text, end(x, i) + 1, e["start"] - end(x, i)), e["put"])))
+    done = lambda x: F.concat(pieces(x), F.substr(text, F.element_at(x, -1)["end"] + 1, F.length(text)))
+    return F.when(F.size(edits) > 0, F.transform(F.array(ordered), done)[0]).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{EDGE}+|{EDGE}+\z", "")
 
@@ -190,11 +224,31 @@ def utf16_with_mark(text: Column) -> Column:
     return F.concat(F.lit(bytes.fromhex("FFFE")), F.encode(text, "UTF-16LE"))
 
 
-def decode_script(content: Column) -> Column:
-    """UTF-16 with its mark, else UTF-8 with or without its mark; null where neither holds (a legacy code page)."""
+def decode_script(content: Column, code_page: str = "cp932") -> Column:
+    """UTF-16 with its mark, else UTF-8 with or without its mark, else the code page; null where none holds."""
     wide = F.substring(content, 1, 2) == F.lit(bytes.fromhex("FFFE"))
-    plain = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
-    return F.when(wide, F.decode(content.substr(F.lit(3), F.octet_length(content)), "UTF-16LE")).otherwise(plain)
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    plain = F.regexp_replace(utf8, "^﻿", "")
+    # Spark's own decode knows no legacy code pages; only rows in one reach Python, in Arrow batches
+    legacy = F.when(utf8.isNull() & ~wide, content)
+    return F.when(wide, F.decode(content.substr(F.lit(3), F.octet_length(content)), "UTF-16LE")).otherwise(F.coalesce(plain, _code_page_text(code_page)(legacy)))
+
+
+def _code_page_text(code_page: str):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def one(raw) -> str | None:
+        try:
+            return None if raw is None else bytes(raw).decode(code_page)
+        except UnicodeDecodeError:
+            return None
+
+    @pandas_udf("string")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(one)
+
+    return decode
 
 
 def needs_code_page(content: Column) -> Column:

@@ -83,10 +83,10 @@ def bad_decisions(decisions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def apply_decisions(items: DataFrame, decisions: DataFrame, quarantine: DataFrame, allow_dual: bool = False) -> DataFrame:
-    """items after a whole batch of decisions; the last one on an id (by the column seq, if there is one) holds."""
+    """items after a whole batch of decisions; the last one on an id (by the column seq, else by usage and reason) holds."""
     if not bad_decisions(decisions, items).isEmpty():
         raise Rejected("invalid decisions")
-    order = F.col("seq") if "seq" in decisions.columns else F.lit(0)
+    order = F.col("seq") if "seq" in decisions.columns else F.struct("usage", "reason")
     last = decisions.groupBy("id").agg(F.max_by(F.struct("usage", F.trim("reason").alias("reason")), order).alias("new"))
     held = quarantine.select("id").distinct().withColumn("held", F.lit(True))
     joined = items.join(last, "id", "left").join(held, "id", "left")
@@ -129,7 +129,9 @@ def batches(items: DataFrame, size: int = 300, order: str = "seq") -> DataFrame:
 
     Rows are numbered by range partitions and the counts of the partitions before, not by one task.
     """
-    ordered = items.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    # a fixed number of ranges, which adaptive execution leaves alone, so both uses below number them alike
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = items.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
     counted = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
@@ -155,6 +157,19 @@ def status(items: DataFrame, glossary_conflicts: DataFrame, quarantine: DataFram
     return totals.crossJoin(extra)  # one row each
 
 
+def snapshot_counts(items: DataFrame, glossary_conflicts: DataFrame, quarantine: DataFrame, now: float) -> DataFrame:
+    """One row of totals for a progress display; unlike in status(), leases that have ended at `now` do not count as leased."""
+    running = F.col("worker").isNotNull() & F.coalesce(F.col("expires") > now, F.lit(False))
+    open_ = F.col("released") & F.col("target").isNull()
+    counts = {
+        "pending_audit": F.col("usage") == "pending", "released": F.col("released"), "translated": F.col("released") & F.col("target").isNotNull(),
+        "pending_translation": open_, "leased": open_ & running,
+    }
+    totals = items.agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    extra = quarantine.agg(F.count("*").alias("quarantined")).crossJoin(glossary_conflicts.agg(F.count("*").alias("glossary_conflicts")))
+    return totals.crossJoin(extra)  # one row each
+
+
 def worker_counts(items: DataFrame) -> DataFrame:
     """(worker, done, owned) of released items."""
     return items.where("released AND worker IS NOT NULL").groupBy("worker").agg(F.count("target").alias("done"), F.count_if(F.col("target").isNull()).alias("owned"))
@@ -192,10 +207,10 @@ def merge_terms(glossary: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataF
     """
     old = glossary.withColumn("seq", F.lit(-1).cast("bigint"))
     every = old.unionByName(terms.select(*old.columns))
-    first = F.min_by("target", "seq").over(Window.partitionBy("source"))
-    seen = every.withColumn("first", first).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("seq")))
-    merged = seen.where("rank = 1").select("source", "target", "category", "worker")
-    conflicts = seen.where("target <> first").select("source", F.col("first").alias("old"), F.col("target").alias("new"), "worker")
+    # aggregates combine before the shuffle, so a source with very many terms is no large group
+    merged = every.groupBy("source").agg(F.min_by(F.struct("target", "category", "worker"), "seq").alias("first")).select("source", "first.*")
+    firsts = merged.select("source", F.col("target").alias("old"))
+    conflicts = terms.join(firsts, "source").where("target <> old").select("source", "old", F.col("target").alias("new"), "worker")
     return merged, conflicts
 
 
@@ -228,7 +243,7 @@ def import_rows(items: DataFrame, rows: DataFrame, quarantine: DataFrame, allow_
     after = apply_decisions(items, decided.select("id", "usage", "reason"), quarantine, allow_dual)
     targets = known.where("target IS NOT NULL").select("id", "source", F.col("target").alias("new"))
     judged = targets.withColumn("ok", F.size(text.target_errors(F.col("source"), F.col("new"), extra_tokens)) == 0)
-    good = judged.where("ok").groupBy("id").agg(F.first("new").alias("new"))
+    good = judged.where("ok").groupBy("id").agg(F.max("new").alias("new"))  # of several the last by text
     joined = after.join(good, "id", "left")
     use = F.col("released") & F.col("new").isNotNull()
     out = joined.withColumn("target", F.when(use, F.col("new")).otherwise(F.col("target")))

@@ -33,13 +33,31 @@ def archive_precedence(path: Column) -> Column:
     return F.struct(rank.alias("rank"), F.when(patch, F.coalesce(number.try_cast("int"), F.lit(1))).otherwise(0).alias("number"), name.alias("name"))
 
 
-def engine_scores(listing: DataFrame, rules: DataFrame, root_col: str = "root") -> DataFrame:
+def engine_scores(listing: DataFrame, rules: DataFrame, root_col: str = "root", most_rules: int = 1_000) -> DataFrame:
     """(root, engine, score) of a listing (root, path), the best first: the highest score of an engine's rules
-    (engine, pattern, score) that some path matches; engines without a match are left out, ties go by name, last first."""
-    hits = listing.join(F.broadcast(rules), listing["path"].rlike(rules["pattern"]))  # a few dozen rules
+    (engine, pattern, score) that some path matches; engines without a match are left out, ties go by name, last first.
+
+    Rules are tests of the program, a few dozen; more than most_rules are an error. Paths are looked at once, without a join.
+    """
+    known = rules.select("engine", "pattern", "score").limit(most_rules + 1).collect()
+    if len(known) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    tests = [F.when(F.col("path").rlike(r["pattern"]), F.struct(F.lit(r["engine"]).alias("engine"), F.lit(r["score"]).alias("score"))) for r in known]
+    none = F.array().cast("array<struct<engine:string,score:int>>")
+    hits = listing.select(root_col, F.explode(F.array_compact(F.array(*tests)) if tests else none).alias("hit")).select(root_col, "hit.*")
     return hits.groupBy(root_col, "engine").agg(F.max("score").alias("score")).where("score > 0").orderBy(root_col, F.desc("score"), F.desc("engine"))
 
 
+def read_records(lines: DataFrame, schema: str, name_col: str = "name", value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, warnings) of one JSON object a row (name, value): the fields of schema with the name, and the names (name, problem) of
+    those that are no object or have a field of another type."""
+    parsed = F.from_json(value_col, f"{schema}, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    seen = lines.select(F.col(name_col).alias("name"), parsed.alias("x"), F.schema_of_variant(F.try_parse_json(value_col)).alias("kind"))
+    fine = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)) & F.col("x._broken").isNull()
+    records = seen.where(fine).select("name", "x.*").drop("_broken")
+    return records, seen.where(~fine).select("name", F.lit("unreadable record").alias("problem"))
+
+
 def task_snapshot(tasks: DataFrame, stale_seconds: float, now: float, most: int = 30) -> DataFrame:
     """Task records (id, state, started, updated), active ones first, then the latest; a task that is active but has not been
     heard of for stale_seconds is interrupted."""
@@ -51,8 +69,8 @@ def task_snapshot(tasks: DataFrame, stale_seconds: float, now: float, most: int
 
 def worker_states(workers: DataFrame, started: float) -> DataFrame:
     """The last record of each worker (worker, at, state) since a task started."""
-    place = F.row_number().over(Window.partitionBy("worker").orderBy(F.desc("at")))
-    return workers.where(F.col("at") >= started).withColumn("_place", place).where("_place = 1").drop("_place")
+    last = workers.where(F.col("at") >= started).groupBy("worker").agg(F.max_by(F.struct(*workers.columns), "at").alias("last"))
+    return last.select("last.*")
 
 
 def failure_streaks(batches: DataFrame, most: int = 3) -> DataFrame:
@@ -85,7 +103,8 @@ def read_dictionary(lines: DataFrame) -> DataFrame:
     shown = lines.select(F.regexp_replace("value", "^﻿", "").alias("value"))
     shown = shown.where(~text.is_blank(F.col("value")) & ~F.col("value").rlike(r"^(//|s?r:)"))
     left, right = text.split_entry(F.col("value"))
-    return shown.select(text.unescape_entry(left).alias("source"), text.unescape_entry(right).alias("target")).where("source IS NOT NULL")
+    sides = shown.select(left.alias("left"), right.alias("right")).where("left IS NOT NULL")
+    return sides.select(text.unescape_entry(F.col("left")).alias("source"), text.unescape_entry(F.col("right")).alias("target"))
 
 
 def screen_lines(recognised: DataFrame, least: int = 2) -> DataFrame:

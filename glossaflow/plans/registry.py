@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, leasing, messages, quality
+from ..operators import catalog, leasing, listing, messages, quality
 from ..session import table
 from ..sources import json_walk, scripts
 
@@ -283,18 +283,234 @@ def json_leaves(spark, sf_dir):
     return json_walk.leaves(docs).select("file", "path", "text")
 
 
-@query()
+LINES_SQL = "SELECT seq, unnest(string_split(body, chr(10))) AS line_text, unnest(range(len(string_split(body, chr(10))))) AS line FROM scripts"
+
+
+@query(rf"""WITH scripts AS (SELECT conv_id * 1000 + turn AS seq, '#' || role || chr(10) || text AS body FROM conversations),
+    lines AS (SELECT seq, line::INT AS line, line_text AS t, trim(line_text) AS bare FROM ({LINES_SQL})),
+    kinds AS (SELECT *, CASE WHEN bare[1] = '#' THEN 'speaker' ELSE 'text' END AS kind, length(t) - length(ltrim(t)) AS lead, length(rtrim(t)) AS fin FROM lines
+              WHERE bare <> '' AND bare[1] NOT IN (';', '*', '@') AND (bare[1] = '#' OR trim(regexp_replace(bare, '\[[^\]\n]*\]', '', 'g')) <> ''))
+    SELECT seq, line, kind, (lead + (kind = 'speaker')::INT)::INT AS start, fin::INT AS "end", substr(t, lead + (kind = 'speaker')::INT + 1, fin - lead - (kind = 'speaker')::INT) AS source
+    FROM kinds WHERE kind = 'text' OR trim(bare[2:]) <> ''""")
 def scenario_units(spark, sf_dir):
-    lines = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS seq", "concat('#', role, '\n', text) AS text")
-    return scripts.scenario_units(spark, lines)
+    return scripts.scenario_units(table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS seq", "concat('#', role, '\n', text) AS text"))
+
 
+LITERALS_SQL = r"""'//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|@?"(?:\\(?s:.)|[^"\\\n])*"?|@?\x27(?:\\(?s:.)|[^\x27\\\n])*\x27?'"""
 
-@query()
+
+@query(rf"""WITH found AS (SELECT page_id AS seq, unnest(regexp_extract_all(html, {LITERALS_SQL})) AS v, unnest(regexp_split_to_array(html, {LITERALS_SQL})[:-2]) AS gap,
+      unnest(range(1, len(regexp_extract_all(html, {LITERALS_SQL})) + 1)) AS n FROM pages),
+    placed AS (SELECT seq, v, sum(length(v) + length(gap)) OVER (PARTITION BY seq ORDER BY n) AS fin FROM found)
+    SELECT seq, (fin - length(v) + 1)::INT AS start, (fin - 1)::INT AS "end", v[1] AS quote, v[2:-2] AS source FROM placed
+    WHERE regexp_full_match(v, '"(?:\\(?s:.)|[^"\\\n])*"|\x27(?:\\(?s:.)|[^\x27\\\n])*\x27')""")
 def page_literals(spark, sf_dir):
-    return scripts.string_literals(spark, table(spark, sf_dir, "pages").selectExpr("page_id AS seq", "html AS text"))
+    return scripts.string_literals(table(spark, sf_dir, "pages").selectExpr("page_id AS seq", "html AS text"))
 
 
-@query()
+@query("""WITH RECURSIVE hits AS (SELECT d.doc_id, b.text AS source, 'item ' || b.item_id::VARCHAR AS target, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.text) DESC, b.item_id) AS k
+      FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    steps AS (SELECT doc_id, 0::BIGINT AS k, text FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)
+      UNION ALL SELECT s.doc_id, h.k, replace(s.text, h.source, h.target) FROM steps s JOIN hits h ON h.doc_id = s.doc_id AND h.k = s.k + 1)
+    SELECT d.doc_id AS seq, r.target FROM documents d LEFT JOIN (SELECT doc_id, arg_max(text, k) AS target FROM steps GROUP BY 1) r USING (doc_id)""")
 def message_rewrite(spark, sf_dir):
     pairs = table(spark, sf_dir, "benchmark").selectExpr("item_id AS pair_id", "text AS source", "concat('item ', item_id) AS target")
-    return messages.rewrite(table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text"), pairs)
+    return messages.rewrite(table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text"), pairs).select("seq", "target")
+
+
+@query("""SELECT item_id * 10 + n AS seq, CASE n WHEN 0 THEN 'item ' || item_id || ' of 7 costs ' || length(text) || ' gold' WHEN 1 THEN 'You took ' || item_id END AS target
+    FROM benchmark, (SELECT unnest([0, 1, 2]) AS n)""")
+def template_rewrite(spark, sf_dir):
+    """Placeholders: numbers are captured, repeated names must be equal (they are not in the third text)."""
+    pairs = spark.createDataFrame(
+        [(1, "Pay %d coins for {thing}: %d sold", "item {thing} of %d costs %d gold"), (2, "{who} is taken by {who}", "never"), (3, "Taken by you: {thing}", "You took {thing}")],
+        "pair_id BIGINT, source STRING, target STRING",
+    )
+    shown = "CASE n WHEN 0 THEN concat('Pay 7 coins for ', item_id, ': ', length(text), ' sold') WHEN 1 THEN concat('Taken by you: ', item_id) ELSE concat(item_id, ' is taken by x', item_id) END AS text"
+    texts = table(spark, sf_dir, "benchmark").selectExpr("item_id", "text", "explode(array(0, 1, 2)) AS n").selectExpr("item_id * 10 + n AS seq", shown)
+    return messages.rewrite(texts, pairs).select("seq", "target")
+
+
+@query("""SELECT doc_id AS seq, 'a [color={__style_0_ink}]' || lang || '[/color] [bgcolor={__style_1_bg}][color={__style_1_ink}][font_size={__style_1_size}] ' || source
+      || ' [/font_size][/color][/bgcolor]' AS markup, '[color={__narration}]' || lang || '[/color]「' || source || '」' AS narration FROM documents""")
+def display_aliases(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "concat('a **', lang, '** [[', source, ']]') AS m", "concat(lang, '「', source, '」') AS q")
+    return docs.select("seq", messages.markup_alias(F.col("m")).alias("markup"), messages.narration_alias(F.col("q")).alias("narration"))
+
+
+@query("""WITH t AS (SELECT doc_id AS seq, unnest(['{a}', '%d', '{name}'] || list_transform(range(doc_id % 4), lambda i: '{a}') || ['%d']) AS token,
+      unnest(range(5 + doc_id % 4)) AS place FROM documents)
+    SELECT seq, place::INT AS place, token, (row_number() OVER (PARTITION BY seq, token ORDER BY place) - 1)::INT AS ordinal FROM t WHERE token IS NOT NULL""")
+def token_ordinals(spark, sf_dir):
+    shown = F.expr("concat(replace(replace(text, '%', ''), '{', ''), ' {a} %d {name}', repeat(' {a}', cast(doc_id % 4 AS INT)), '%d')")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("seq"), F.coalesce(shown, F.expr("concat('{a} %d {name}', repeat(' {a}', cast(doc_id % 4 AS INT)), '%d')")).alias("text"))
+    return docs.select("seq", F.posexplode(messages.token_ordinals(F.col("text"))).alias("place", "x")).select("seq", "place", "x.token", "x.ordinal")
+
+
+@query("""SELECT source AS root, 'one' AS engine, max(CASE WHEN lang = 'fr' THEN 90 ELSE 60 END)::INT AS score FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1
+    UNION ALL SELECT source, 'two', 80 FROM documents WHERE doc_id % 10 = 7 GROUP BY 1""")
+def engine_scores(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").selectExpr("source AS root", "concat('data/', doc_id, '.', lang) AS path")
+    rules = spark.createDataFrame([("one", r"\.en$", 60), ("one", r"\.fr$", 90), ("two", r"7\.", 80), ("none", "^x", 50)], "engine STRING, pattern STRING, score INT")
+    return listing.engine_scores(files, rules)
+
+
+@query("SELECT text AS source, 'item=' || item_id AS target FROM benchmark")
+def dictionary_round_trip(spark, sf_dir):
+    """A dictionary file written and read again, with comments and rules between its lines."""
+    pairs = table(spark, sf_dir, "benchmark").selectExpr("text AS source", "concat('item=', item_id) AS target")
+    noise = spark.createDataFrame([("// note=x",), ("r:a=b",), ("sr:a=b",), ("",), ("no equals",)], "value STRING")
+    return listing.read_dictionary(listing.dictionary_file(pairs).unionByName(noise))
+
+
+@query("""SELECT lower(lang) || (doc_id % 50)::VARCHAR || '.ks' AS key, max(doc_id) AS doc_id, count(*)::BIGINT AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
+def overlay_entries(spark, sf_dir):
+    entries = table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id", "concat('p', doc_id % 7, '/', upper(lang), doc_id % 50, '.KS') AS path", "doc_id AS precedence")
+    counts = listing.clashes(entries).select("key", "n")
+    return listing.overlay(entries).join(counts, "key", "left").select("key", "doc_id", F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 4 = 2 THEN 2 ELSE 3 END AS rank,
+    CASE WHEN doc_id % 4 < 3 THEN 0 WHEN doc_id % 8 = 3 THEN 1 ELSE doc_id END::INT AS number FROM documents""")
+def archive_order(spark, sf_dir):
+    name = "CASE doc_id % 4 WHEN 0 THEN 'loose.ks' WHEN 1 THEN 'Data.xp3' WHEN 2 THEN concat('voice', doc_id, '.xp3') ELSE concat('patch', CASE WHEN doc_id % 8 = 3 THEN '' ELSE cast(doc_id AS STRING) END, '.xp3') END AS path"
+    found = table(spark, sf_dir, "documents").selectExpr("doc_id", name).select("doc_id", listing.archive_precedence(F.col("path")).alias("p"))
+    return found.select("doc_id", "p.rank", "p.number")
+
+
+@query("""WITH b AS (SELECT user_id::VARCHAR AS worker, event_id AS n, (event_id % 3 > 0 OR value < 20)::INT AS empty FROM events),
+    runs AS (SELECT *, sum(1 - empty) OVER (PARTITION BY worker ORDER BY n) AS run FROM b),
+    s AS (SELECT worker, n, sum(empty) OVER (PARTITION BY worker, run ORDER BY n)::BIGINT AS streak FROM runs) SELECT *, streak >= 3 AS blocked FROM s""")
+def failure_streaks(spark, sf_dir):
+    batches = table(spark, sf_dir, "events").selectExpr("cast(user_id AS STRING) AS worker", "event_id AS n", "CASE WHEN event_id % 3 > 0 OR value < 20 THEN 0 ELSE 5 END AS accepted")
+    return listing.failure_streaks(batches)
+
+
+@query("""SELECT source AS log, bool_or((doc_id % 3 = 0 OR doc_id % 3 = 1) AND lang = 'fr') AS marked FROM documents GROUP BY 1""")
+def log_markers(spark, sf_dir):
+    """JSON lines with a stop reason, plain lines with the word, and JSON lines that only mention it."""
+    line = """CASE doc_id % 3 WHEN 0 THEN concat('{"message": {"stopReason": "error", "t": "lang=', lang, '"}}') WHEN 1 THEN concat('ERROR in LANG=', upper(lang))
+      ELSE concat('{"message": {"stopReason": "end"}, "t": "error lang=', lang, '"}') END AS line"""
+    return listing.log_markers(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("source AS log", line), ["lang=fr"])
+
+
+@query("""SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 4 = 0 THEN 'complete' WHEN value < 30 THEN 'interrupted' ELSE 'running' END AS state
+    FROM events ORDER BY (event_id % 4 > 0 AND value >= 30) DESC, epoch_us(ts) / 1e6 DESC, event_id::VARCHAR LIMIT 30""")
+def task_snapshot(spark, sf_dir):
+    """The latest 30 tasks: the limit is the report's own."""
+    at = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D AS started"
+    tasks = table(spark, sf_dir, "events").selectExpr("cast(event_id AS STRING) AS id", "CASE WHEN event_id % 4 = 0 THEN 'complete' ELSE 'running' END AS state", at, "CASE WHEN value < 30 THEN 0.0D ELSE 100.0D END AS updated")
+    return listing.task_snapshot(tasks, 30.0, 110.0).select("id", "state")
+
+
+@query("""SELECT user_id::VARCHAR AS worker, arg_max(event_type, event_id) AS state FROM events WHERE event_id >= 100 GROUP BY 1""")
+def worker_states(spark, sf_dir):
+    records = table(spark, sf_dir, "events").selectExpr("cast(user_id AS STRING) AS worker", "cast(event_id AS DOUBLE) AS at", "event_type AS state")
+    return listing.worker_states(records, 100.0).select("worker", "state")
+
+
+LEASED_SQL = f"""
+    held AS (SELECT id, seq, source, usage, released, CASE WHEN seq % 5 = 0 THEN 'done ' || id END AS target, CASE WHEN seq % 3 = 0 THEN 'w' || (seq % 7)::VARCHAR END AS worker,
+             CASE WHEN seq % 3 = 0 THEN 'l' || (seq % 2)::VARCHAR END AS lease, CASE WHEN seq % 3 = 0 THEN (seq % 100)::DOUBLE END AS expires FROM items)
+"""
+
+
+def leased_items(spark, sf_dir) -> DataFrame:
+    """Items with translations and leases by their order, some of them ended at time 50."""
+    leased = "seq % 3 = 0"
+    return (
+        items_of(spark, sf_dir)
+        .withColumn("target", F.expr("CASE WHEN seq % 5 = 0 THEN concat('done ', id) END"))
+        .withColumn("worker", F.expr(f"CASE WHEN {leased} THEN concat('w', seq % 7) END"))
+        .withColumn("lease", F.expr(f"CASE WHEN {leased} THEN concat('l', seq % 2) END"))
+        .withColumn("expires", F.expr(f"CASE WHEN {leased} THEN cast(seq % 100 AS DOUBLE) END"))
+    )
+
+
+@query(f"WITH {ITEMS_SQL}, {LEASED_SQL} SELECT worker, count(target)::BIGINT AS done, count_if(target IS NULL)::BIGINT AS owned FROM held WHERE released AND worker IS NOT NULL GROUP BY 1")
+def worker_counts(spark, sf_dir):
+    return catalog.worker_counts(leased_items(spark, sf_dir))
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}
+    SELECT count(*)::BIGINT AS total, count_if(usage = 'pending')::BIGINT AS pending_audit, count_if(released)::BIGINT AS released, count_if(released AND target IS NOT NULL)::BIGINT AS translated,
+           count_if(released AND target IS NULL)::BIGINT AS pending_translation, count_if(released AND target IS NULL AND worker IS NOT NULL AND expires > 50)::BIGINT AS leased,
+           (SELECT count(*) FROM labels)::BIGINT AS quarantined, 0::BIGINT AS glossary_conflicts FROM held""")
+def snapshot_counts(spark, sf_dir):
+    conflicts = spark.createDataFrame([], "source STRING, old STRING, new STRING, worker STRING")
+    return catalog.snapshot_counts(leased_items(spark, sf_dir), conflicts, table(spark, sf_dir, "labels"), 50.0)
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}
+    SELECT id, CASE WHEN released AND target IS NULL AND worker = 'w3' AND lease = 'l1' AND expires > 50 THEN source ELSE target END AS target,
+           CASE WHEN worker = 'w3' AND lease = 'l1' AND target IS NULL AND NOT (released AND expires > 50) THEN 1850.0 ELSE expires END AS expires FROM held""")
+def submit_batch(spark, sf_dir):
+    """A worker hands in all that its lease holds; its other rows on the lease get more time."""
+    items = leased_items(spark, sf_dir)
+    batch = items.where("released AND target IS NULL AND worker = 'w3' AND lease = 'l1' AND expires > 50").select("id", F.col("source").alias("target"))
+    return leasing.submit(items, batch, "w3", "l1", 50.0).select("id", "target", "expires")
+
+
+@query(f"WITH {ITEMS_SQL}, {LEASED_SQL} SELECT id, CASE WHEN worker = 'w3' AND target IS NULL AND lease = 'l1' THEN NULL ELSE worker END AS worker FROM held")
+def release_lease(spark, sf_dir):
+    return leasing.release(leased_items(spark, sf_dir), "w3", "l1").select("id", "worker")
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}
+    SELECT h.id, CASE WHEN h.usage = 'pending' THEN 'display' ELSE h.usage END AS usage, h.released OR h.usage = 'pending' AS released,
+           CASE WHEN (h.released OR h.usage = 'pending') AND trim(h.source) <> '' AND h.seq % 2 = 0 THEN h.source ELSE h.target END AS target FROM held h""")
+def import_rows(spark, sf_dir):
+    """Decisions for all pending items, and their own texts as translations of every second item."""
+    items = leased_items(spark, sf_dir)
+    rows = items.select("source", F.expr("CASE WHEN usage = 'pending' THEN 'display' END AS usage"), F.lit("import").alias("reason"), F.expr("CASE WHEN seq % 2 = 0 THEN source END AS target"))
+    after, _ = catalog.import_rows(items, rows, no_quarantine(spark), False)
+    return after.select("id", "usage", "released", "target")
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, t AS (SELECT count_if(usage = 'pending') AS a, count_if(released AND target IS NULL) AS b FROM held)
+    SELECT [x FOR x IN [CASE WHEN a > 0 THEN 'pending' END, CASE WHEN b > 0 THEN 'untranslated' END, 'conflicts', 'no manifest'] IF x IS NOT NULL] AS problems FROM t""")
+def build_gate(spark, sf_dir):
+    items = leased_items(spark, sf_dir).withColumn("target", F.when(F.col("target").isNotNull(), F.col("source")))
+    return quality.gate(items, spark.createDataFrame([("a", "b")], "source STRING, new STRING"), None)
+
+
+@query(r"""SELECT page_id, regexp_replace(html, '\[[^\]\n]*\]', '', 'g') = html AS untagged, least(300, 30 * 2 ** least(greatest(page_id % 9 - 1, 0), 4))::INT AS delay,
+    NOT (contains(url, ':') OR contains(url, chr(92))) AND len(list_filter(string_split(url, '/'), lambda p: p IN ('', '.', '..'))) = 0 AS safe,
+    regexp_full_match(url, '(?s).*\.html') OR regexp_full_match(url, '(?s)[0-9].*') OR regexp_full_match(string_split(url, '/')[-1], '(?s)[0-9].*') AS matched FROM pages""")
+def text_functions(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(
+        "page_id", (text.strip_tags(F.col("html")) == F.col("html")).alias("untagged"), text.retry_delay((F.col("page_id") % 9).cast("int")).alias("delay"),
+        text.is_safe_path(F.col("url")).alias("safe"), text.matches_any(F.col("url"), ["*.html", "[0-9]*"]).alias("matched"),
+    )
+
+
+@query("""SELECT doc_id AS seq, 1::INT AS line, lang || chr(10) || 'x y' AS source FROM documents WHERE lang IS NOT NULL
+    UNION ALL SELECT doc_id, 2, 'two words' FROM documents WHERE lang IS NOT NULL""")
+def script_strings(spark, sf_dir):
+    body = r"""concat('say("', lang, '\\nx y", 12)\nreturn \'two words\' + "a1"') AS text"""
+    return scripts.script_strings(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en").select("seq", "line", "source")
+
+
+@query("""SELECT doc_id AS seq, 'text' AS property, 'Go to ' || lang AS source, 'display' AS hint FROM documents WHERE lang IS NOT NULL""")
+def scene_texts(spark, sf_dir):
+    body = r"""concat('[node]\ntext = "Go to ', lang, '"\nname = "Not shown here"\ntitle = "ident_1"') AS text"""
+    return scripts.scene_texts(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en")
+
+
+@query("""SELECT doc_id AS seq, 19::INT AS start, 'Shown ' || lang AS source, 'protected' AS hint FROM documents WHERE lang IS NOT NULL""")
+def plugin_parameters(spark, sf_dir):
+    body = """concat('{"a_key": "{ x y}","', 'Shown ', lang, '"}') AS text"""
+    return scripts.plugin_parameters(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en")
+
+
+@query("""SELECT source AS file, source || ':' || (doc_id % 3 + 1) AS ref, CASE WHEN doc_id % 3 = 0 THEN 'speaker' ELSE 'text' END AS context, count(*)::BIGINT AS n
+    FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2, 3""")
+def scenario_occurrences(spark, sf_dir):
+    """Scenarios of one speaker and lines of text; the tables have no Japanese, so English words stand in."""
+    files = table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr(
+        "doc_id", "source AS path", r"concat(repeat('\n', cast(doc_id % 3 AS INT)), CASE WHEN doc_id % 3 = 0 THEN '【Some one】' ELSE 'Some [r]text' END, '\n; note\n@cmd x') AS text"
+    )
+    named = files.select(F.concat_ws("#", "path", "doc_id").alias("path"), "text")
+    found = scripts.scenario_occurrences(named, "en").select(F.substring_index("ref", "#", 1).alias("file"), F.element_at(F.split("ref", ":"), -1).alias("line"), "context")
+    return found.groupBy("file", F.concat_ws(":", "file", "line").alias("ref"), "context").agg(F.count("*").alias("n"))

@@ -1,103 +1,120 @@
 """Text units of scenario scripts and literals of program scripts, with their places, and putting translations back.
 
-The scanners are table functions over one file's text; everything after them is joins.
+Everything is column expressions over one row for each file: a regular expression divides a text into units, and the lengths of the
+stretches give their places.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from ..functions.text import is_candidate, is_safe_literal, json_literal, strip, unescape_source
+from ..functions.text import base_name, is_candidate, is_safe_literal, json_literal, located, put_back, strip, unescape_source
 
 # Tags, the attributes that hold text, and blocks of code in scenario scripts.
-TAG = re.compile(r"\[[^\]\n]*\]")
-ATTRIBUTE = re.compile(r"""\b(text|jname)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))""")
-CODE = {"[iscript]": "[endscript]", "[html]": "[endhtml]", "@iscript": "@endscript"}
-#: Comments, then strings (a quote after @ begins an embedded expression, which is skipped), then anything else.
-LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(@?)([\"'])((?:\\.|(?!\2)[^\\\n])*)(\2|\n|\Z|\\\Z)", re.S)
-
-
-def _line_units(line: str) -> Iterator[tuple[str, int, int, str]]:
-    bare = line.strip()
-    body, lead = line.rstrip(), len(line) - len(line.lstrip())
-    if bare.startswith("#"):
-        if body[lead + 1 :].strip():
-            yield "speaker", lead + 1, len(body), body[lead + 1 :]
-    elif TAG.sub("", bare).strip():
-        yield "text", lead, len(body), body[lead:]
-    else:
-        for tag in TAG.finditer(body):
-            for m in ATTRIBUTE.finditer(tag[0]):
-                value = next(n for n in (2, 3, 4) if m[n] is not None)
-                yield f"attr:{m[1]}", tag.start() + m.start(value), tag.start() + m.end(value), m[value]
-
-
-@udtf(returnType="line INT, kind STRING, start INT, end INT, source STRING")
-class ScenarioUnits:
-    """Speakers, text lines and attribute values of a scenario; code blocks, comments, labels and commands are skipped."""
-
-    def eval(self, text: str):
-        closing = None
-        for number, line in enumerate((text or "").split("\n")):
-            low = line.strip().lower()
-            if closing:
-                closing = None if low.startswith(closing) else closing
-                continue
-            closing = next((end for start, end in CODE.items() if low.startswith(start)), None)
-            if closing and closing not in low:
-                continue
-            closing = None
-            if low and low[0] not in ";*@":
-                for unit in _line_units(line):
-                    yield number, *unit
-
-
-@udtf(returnType="start INT, end INT, quote STRING, source STRING")
-class StringLiterals:
-    """String literals of a program script, with their escapes as written; unended ones are skipped."""
-
-    def eval(self, text: str):
-        at = 0
-        text = text or ""
-        while (m := LITERAL.search(text, at)) is not None:
-            at = m.end()
-            if m[2] and m[4] == m[2] and not m[1]:
-                yield m.start(3), m.end(3), m[2], m[3]
-
-
-def scenario_units(spark, texts: DataFrame) -> DataFrame:
-    """(seq, line, kind, start, end, source) of texts (seq, text)."""
-    spark.udtf.register("scenario_units", ScenarioUnits)
-    texts.createOrReplaceTempView("_scenarios")
-    return spark.sql("SELECT seq, u.* FROM _scenarios, LATERAL scenario_units(text) u")
-
-
-def string_literals(spark, texts: DataFrame) -> DataFrame:
-    """(seq, start, end, quote, source) of texts (seq, text)."""
-    spark.udtf.register("string_literals", StringLiterals)
-    texts.createOrReplaceTempView("_scripts")
-    return spark.sql("SELECT seq, u.* FROM _scripts, LATERAL string_literals(text) u")
-
-
-def put_back(text: Column, edits: Column) -> Column:
-    """text with edits, an array of (start, end, put) without overlaps, in its place."""
-
-    def step(state: Column, e: Column) -> Column:
-        piece = F.array(F.substr(text, state["at"] + 1, e["start"] - state["at"]), e["put"])
-        return F.struct(e["end"].alias("at"), F.concat(state["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.array_sort(edits), start, step, lambda s: F.concat(F.concat_ws("", s["out"]), F.substr(text, s["at"] + 1, F.length(text))))
-
-
-def apply_units(spark, texts: DataFrame, translations: DataFrame) -> DataFrame:
+TAG = r"\[[^\]\n]*\]"
+ATTRIBUTE = r"""\b(?:text|jname)\s*=\s*(?:"[^"\]\n]*"|'[^'\]\n]*'|[^\s\]"']+)"""
+CODE = (("[iscript]", "[endscript]"), ("[html]", "[endhtml]"), ("@iscript", "@endscript"))
+SPEAKER = r"^【[^】\n]+】\z"
+#: Scripts that run before translated ones can take their place.
+EARLY_SCRIPTS = ("startup.tjs", "initialize.tjs")
+#: Comments, embedded expressions and strings with their quotes, ended or not.
+LITERAL = r"""//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|@?"(?s:\\.|[^"\\\n])*+"?|@?'(?s:\\.|[^'\\\n])*+'?"""
+WHOLE_STRING = r"""^(?:"(?s:\\.|[^"\\\n])*+"|'(?s:\\.|[^'\\\n])*+')\z"""
+
+
+def _quoted(mark: str) -> str:
+    return "".join("\\" + c if c in "[]" else c for c in mark)
+
+
+def _stretches() -> str:
+    """A pattern of blocks of code, from the line that opens one to the line that begins with its end, and of single lines."""
+    blank = r"[^\S\n]*"
+    blocks = [rf"^{blank}{_quoted(o)}(?![^\n]*{_quoted(c)})[^\n]*+(?s:.*?)(?:\n{blank}{_quoted(c)}[^\n]*+|\z)" for o, c in CODE]
+    return "(?im)" + "|".join([*blocks, r"^[^\n]*+$"])
+
+
+def scenario_lines(texts: DataFrame) -> DataFrame:
+    """(seq, line, body, code) of texts (seq, text): each line outside code, and each block of code as one row."""
+    # a carriage return must not count as a line end to ^ and $
+    parts = texts.where("text <> ''").select("seq", F.posexplode(F.regexp_extract_all("text", F.lit("(?d)" + _stretches()), F.lit(0))).alias("n", "body"))
+    feeds = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1
+    before = F.sum(feeds).over(Window.partitionBy("seq").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    low = F.lower(strip(F.col("body")))
+    opens = [low.startswith(o) & ~F.contains(F.substring_index(low, "\n", 1), F.lit(c)) for o, c in CODE]
+    return parts.select("seq", F.coalesce(before, F.lit(0)).cast("int").alias("line"), "body", reduce(lambda a, b: a | b, opens).alias("code"))
+
+
+def scenario_units(texts: DataFrame) -> DataFrame:
+    """(seq, line, kind, start, end, source) of texts (seq, text): speakers (#name), lines with text outside tags, and the text attributes of
+    other tags; code, comments (;), labels (*) and commands (@) are passed over. Places count from the line's beginning."""
+    lines = scenario_lines(texts).where("NOT code").drop("code").withColumn("bare", strip(F.col("body"))).where("bare <> '' AND bare NOT RLIKE '^[;*@]'")
+    lead, end = F.length("body") - F.length(F.regexp_replace("body", r"(?U)^[\s\u001c-\u001f]+", "")), F.length(F.regexp_replace("body", r"(?U)[\s\u001c-\u001f]+\z", ""))
+    kind = F.when(F.col("bare").startswith("#"), "speaker").when(strip(F.regexp_replace("bare", TAG, "")) != "", "text")
+    named = lines.select("seq", "line", "body", kind.alias("kind"), lead.alias("lead"), end.alias("end"))
+    start = F.col("lead") + F.when(F.col("kind") == "speaker", 1).otherwise(0)
+    plain = named.where("kind IS NOT NULL").select("seq", "line", "kind", start.alias("start"), "end", F.substr("body", start + 1, F.col("end") - start).alias("source"))
+    tags = named.where("kind IS NULL").select("seq", "line", F.explode(located(F.col("body"), ATTRIBUTE)).alias("x"))
+    value = F.regexp_replace("x.value", r"^\w+\s*=\s*", "")
+    inner = F.when(value.rlike("^[\"']"), 1).otherwise(0)
+    attributes = tags.select(
+        "seq", "line", F.concat(F.lit("attr:"), F.regexp_extract("x.value", r"^\w+", 0)).alias("kind"), (F.col("x.end") - F.length(value) + inner).alias("start"),
+        (F.col("x.end") - inner).alias("end"), F.substr(value, inner + 1, F.length(value) - 2 * inner).alias("source"),
+    )
+    return plain.where("kind = 'text' OR trim(source) <> ''").unionByName(attributes)
+
+
+def string_literals(texts: DataFrame) -> DataFrame:
+    """(seq, start, end, quote, source) of texts (seq, text): string literals of a program script, with their escapes as written.
+    Comments, embedded expressions (@ before the quote) and strings without an end are passed over."""
+    found = texts.select("seq", F.explode(F.filter(located(F.col("text"), LITERAL), lambda x: x["value"].rlike(WHOLE_STRING))).alias("x"))
+    body = F.substr("x.value", F.lit(2), F.length("x.value") - 2)
+    return found.select("seq", (F.col("x.start") + 1).alias("start"), (F.col("x.end") - 1).alias("end"), F.substring("x.value", 1, 1).alias("quote"), body.alias("source"))
+
+
+def scenario_occurrences(files: DataFrame, lang: str = "ja", attributes_shown: bool = False) -> DataFrame:
+    """(source, surface, ref, context, hint) of the candidates in scenarios (path, text). Lines of text are display; other units are unknown, or,
+    where attributes are shown as they are, only speakers. A name alone in brackets is a speaker by context."""
+    units = scenario_units(files.select(F.col("path").alias("seq"), "text"))
+    visible = strip(F.regexp_replace("source", TAG, ""))
+    shown = F.col("kind") != "speaker" if attributes_shown else F.col("kind") == "text"
+    context = F.when(visible.rlike(SPEAKER), "speaker").otherwise(F.col("kind"))
+    fit = units.where(is_candidate(visible, lang))
+    return fit.select("source", F.lit("scenario").alias("surface"), F.concat_ws(":", "seq", F.col("line") + 1).alias("ref"), context.alias("context"), F.when(shown, "display").otherwise("unknown").alias("hint"))
+
+
+def literal_occurrences(files: DataFrame, lang: str = "ja") -> DataFrame:
+    """(source, surface, ref, context, hint) of the candidates among the literals of program scripts (path, text): unknown, and protected in
+    EARLY_SCRIPTS, whose translation would come too late."""
+    found = string_literals(files.select(F.col("path").alias("seq"), "text")).where(is_candidate(F.col("source"), lang))
+    early = F.lower(base_name(F.col("seq"))).isin(*EARLY_SCRIPTS)
+    kind = F.lit("literal")
+    return found.select("source", kind.alias("surface"), F.concat_ws("@", "seq", "start").alias("ref"), kind.alias("context"), F.when(early, "protected").otherwise("unknown").alias("hint"))
+
+
+#: Scripts of the engine itself, and event commands whose parameters are code.
+ENGINE_SCRIPTS = ("rpg_core.js", "rpg_managers.js", "rpg_objects.js", "rpg_scenes.js", "rpg_sprites.js", "rpg_windows.js")
+CODE_COMMANDS = (111, 122, 355, 356, 655)
+
+
+def script_corpus(files: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(text): a game's own scripts (path, text), and the strings in the parameters of event commands with code, from json_walk.leaves()."""
+    name = base_name(F.col("path"))
+    own = files.where(name.endswith(".js") & ~name.isin(*ENGINE_SCRIPTS) & ~name.startswith("rmmz_") & F.col("text").isNotNull()).select("text")
+    if leaves is None:
+        return own
+    at = lambda pattern: F.regexp_extract("path", pattern, 1)
+    code, parameter = r"^(.*?)/?code$", r"^(.*?)/?parameters/.*$"
+    coded = leaves.where(F.col("path").rlike(code) & F.col("text").try_cast("int").isin(*CODE_COMMANDS)).select("file", at(code).alias("at"))
+    held = leaves.where((F.col("kind") == "STRING") & F.col("path").rlike(parameter)).select("file", at(parameter).alias("at"), "text")
+    return own.unionByName(held.join(coded, ["file", "at"], "left_semi").select("text"))
+
+
+def apply_units(texts: DataFrame, translations: DataFrame) -> DataFrame:
     """(seq, text, n_edits): scenarios (seq, text) with units translated (source, target) in place."""
-    edits = scenario_units(spark, texts).join(translations.where("source <> target"), "source")
+    edits = scenario_units(texts).join(translations.where("source <> target"), "source")
     per_line = edits.groupBy("seq", "line").agg(F.collect_list(F.struct("start", "end", F.col("target").alias("put"))).alias("edits"))
     lines = texts.select("seq", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     changed = lines.join(per_line, ["seq", "line"], "left").select("seq", "line", F.coalesce(put_back(F.col("body"), F.col("edits")), "body").alias("body"), F.coalesce(F.size("edits"), F.lit(0)).alias("n"))
@@ -105,10 +122,10 @@ def apply_units(spark, texts: DataFrame, translations: DataFrame) -> DataFrame:
     return changed.groupBy("seq").agg(F.concat_ws("\n", ordered).alias("text"), F.sum(F.greatest("n", F.lit(0))).alias("n_edits"))
 
 
-def apply_literals(spark, texts: DataFrame, translations: DataFrame, allowed: Column | None = None) -> DataFrame:
+def apply_literals(texts: DataFrame, translations: DataFrame, allowed: Column | None = None) -> DataFrame:
     """(seq, text, n_edits, n_unsafe): literals translated in place, unless a translation cannot stand in a literal:
     n_unsafe counts these, and a caller should take any as an error."""
-    found = string_literals(spark, texts).join(translations.where("source <> target"), "source")
+    found = string_literals(texts).join(translations.where("source <> target"), "source")
     found = found.where(allowed) if allowed is not None else found
     judged = found.withColumn("safe", is_safe_literal(F.col("target"), F.col("quote")))
     edits = judged.groupBy("seq").agg(F.collect_list(F.when(F.col("safe"), F.struct("start", "end", F.col("target").alias("put")))).alias("edits"), F.count_if(~F.col("safe")).alias("n_unsafe"))
@@ -118,27 +135,17 @@ def apply_literals(spark, texts: DataFrame, translations: DataFrame, allowed: Co
 
 
 # Literals of a plug-in configuration, display properties of a scene, and strings in a line of a script.
-PLUGIN_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"')
+PLUGIN_LITERAL = r'"(?:[^"\\]|\\.)*+"'
 SCENE_PROPERTIES = ("text", "tooltip_text", "placeholder_text", "title", "dialog_text", "ok_button_text", "cancel_button_text")
 SCRIPT_STRING = r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
 MOST_PARAMETER = 200
 
 
-@udtf(returnType="start INT, body STRING")
-class PluginLiterals:
-    """Double-quoted literals with the place of their opening quote."""
-
-    def eval(self, text: str):
-        for m in PLUGIN_LITERAL.finditer(text or ""):
-            yield m.start(), m[1]
-
-
-def plugin_parameters(spark, texts: DataFrame, lang: str = "ja") -> DataFrame:
+def plugin_parameters(texts: DataFrame, lang: str = "ja") -> DataFrame:
     """(seq, start, source, hint) of the short literals in plug-in configurations (seq, text) that could be shown; all are
     protected, as plug-ins may look things up by them. Nested objects and lists are left out."""
-    spark.udtf.register("plugin_literals", PluginLiterals)
-    texts.createOrReplaceTempView("_plugins")
-    found = spark.sql("SELECT seq, u.start, u.body FROM _plugins, LATERAL plugin_literals(text) u").withColumn("source", json_literal(F.col("body")))
+    found = texts.select("seq", F.explode(located(F.col("text"), PLUGIN_LITERAL)).alias("x"))
+    found = found.select("seq", F.col("x.start").alias("start"), json_literal(F.substr("x.value", F.lit(2), F.length("x.value") - 2)).alias("source"))
     fit = is_candidate(F.col("source"), lang) & (F.length("source") < MOST_PARAMETER) & ~strip(F.col("source")).rlike(r"^[{\[]")
     return found.where(fit).select("seq", "start", "source", F.lit("protected").alias("hint"))
 

@@ -62,19 +62,19 @@ SCENARIO = "#Hero\nHello [r]there\n; note\n*label\n[iscript]\nvar a = 'x';\n[end
 
 def test_scenario_units_and_putting_back(spark):
     texts = spark.createDataFrame([(1, SCENARIO), (2, None)], "seq BIGINT, text STRING")
-    got = sorted((r["line"], r["kind"], r["start"], r["end"], r["source"]) for r in scripts.scenario_units(spark, texts).collect())
+    got = sorted((r["line"], r["kind"], r["start"], r["end"], r["source"]) for r in scripts.scenario_units(texts).collect())
     assert got == [(0, "speaker", 1, 5, "Hero"), (1, "text", 0, 14, "Hello [r]there"), (7, "attr:jname", 28, 29, "N"), (7, "attr:text", 14, 19, "Go on"), (9, "text", 2, 8, "Spaced")]
     known = spark.createDataFrame([("Hero", "Held"), ("Go on", "Weiter"), ("N", "M"), ("Spaced", "Spaced")], "source STRING, target STRING")
-    row = scripts.apply_units(spark, texts.where("seq = 1"), known).first()
+    row = scripts.apply_units(texts.where("seq = 1"), known).first()
     assert row["text"] == SCENARIO.replace("Hero", "Held").replace("Go on", "Weiter").replace("'N'", "'M'") and row["n_edits"] == 3
 
 
 def test_literals(spark):
     code = "var a = \"one\"; // \"no\"\nb = 'tw\\'o' /* \"x\" */ + @\"skip\" + \"open\n + \"three\";"
     texts = spark.createDataFrame([(1, code)], "seq BIGINT, text STRING")
-    assert [r["source"] for r in scripts.string_literals(spark, texts).orderBy("start").collect()] == ["one", "tw\\'o", "three"]
+    assert [r["source"] for r in scripts.string_literals(texts).orderBy("start").collect()] == ["one", "tw\\'o", "three"]
     known = spark.createDataFrame([("one", "uno"), ("three", 'bad"')], "source STRING, target STRING")
-    row = scripts.apply_literals(spark, texts, known).first()
+    row = scripts.apply_literals(texts, known).first()
     assert row["text"] == code.replace("one", "uno") and (row["n_edits"], row["n_unsafe"]) == (1, 1)
 
 
@@ -107,3 +107,86 @@ def test_message_rules(spark):
     texts = spark.createDataFrame([(1, "Bob found 3 coins"), (2, "Open the door"), (3, "Now: Open the door!"), (4, "nothing"), (5, "Hi A and A"), (6, "Hi A and B"), (7, None)], "seq BIGINT, text STRING")
     got = {r["seq"]: r["target"] for r in messages.rewrite(texts, pairs).collect()}
     assert got == {1: "Bob fand 3 Münzen", 2: "Öffne die Tür", 3: "Now: Öffne die Tür!", 4: None, 5: "Hallo A", 6: None, 7: None}
+
+
+def test_scenario_blocks_and_awkward_lines(spark):
+    text = "[html]<b>\n#no\n[endscript]\n[endhtml] rest\n[iscript] x [endscript]\n  #  \n#A b \r\n[a][b text='q ]' jname=\"\"]\n\n@iscript\nopen to the end"
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, "\n\nlast line")], "seq BIGINT, text STRING")
+    got = sorted((r["seq"], r["line"], r["kind"], r["start"], r["end"], r["source"]) for r in scripts.scenario_units(texts).collect())
+    assert got == [
+        (1, 4, "text", 0, 23, "[iscript] x [endscript]"), (1, 6, "speaker", 1, 4, "A b"), (1, 7, "text", 0, 26, "[a][b text='q ]' jname=\"\"]"), (3, 2, "text", 0, 9, "last line"),
+    ]
+    long = "\n".join(["[iscript]", *["code();"] * 30_000, "[endscript]", *[f"line {i}" for i in range(3_000)]])
+    found = scripts.scenario_units(spark.createDataFrame([(1, long)], "seq BIGINT, text STRING")).agg(F.count("*"), F.min("line"), F.max("line")).first()
+    assert tuple(found) == (3_000, 30_002, 33_001)
+
+
+def test_occurrences_of_scripts(spark):
+    files = spark.createDataFrame([("data/a.ks", "#太郎\n【花子】\n本文[r]です\n[b text='選択']\nplain"), ("x/Startup.tjs", 'a = "開始"; b = "abc";'), ("x/main.tjs", "c = '設定'")], "path STRING, text STRING")
+    got = {(r["source"], r["ref"], r["context"], r["hint"]) for r in scripts.scenario_occurrences(files.where("path LIKE '%.ks'")).collect()}
+    assert got == {("太郎", "data/a.ks:1", "speaker", "unknown"), ("【花子】", "data/a.ks:2", "speaker", "display"), ("本文[r]です", "data/a.ks:3", "text", "display"), ("選択", "data/a.ks:4", "attr:text", "unknown")}
+    assert {r["hint"] for r in scripts.scenario_occurrences(files.where("path LIKE '%.ks'"), attributes_shown=True).where("context LIKE 'attr%'").collect()} == {"display"}
+    got = {(r["source"], r["ref"], r["hint"]) for r in scripts.literal_occurrences(files.where("path LIKE '%.tjs'")).collect()}
+    assert got == {("開始", "x/Startup.tjs@5", "protected"), ("設定", "x/main.tjs@5", "unknown")}
+
+
+def test_script_corpus(spark):
+    files = spark.createDataFrame([("js/rpg_core.js", "no"), ("js/rmmz_x.js", "no"), ("js/plugins/A.js", "own"), ("data/x.json", "no")], "path STRING, text STRING")
+    events = {"list": [{"code": 355, "parameters": ["Hero()"]}, {"code": 401, "parameters": ["shown"]}, {"code": 122, "parameters": [1, ["deep"]]}]}
+    leaves = json_walk.leaves(spark.createDataFrame([("Map1", json.dumps(events))], "file STRING, text STRING").select("file", json_walk.parsed(F.col("text")).alias("value")))
+    assert sorted(r["text"] for r in scripts.script_corpus(files, leaves).collect()) == ["Hero()", "deep", "own"]
+
+
+def test_running_sums_and_edits(spark):
+    numbers = list(range(1000))
+    got = spark.range(1).select(text.running_sums(F.lit(numbers).cast("array<int>"), 7).alias("x"), text.running_sums(F.array().cast("array<int>")).alias("none")).first()
+    assert got["x"] == [sum(numbers[:i]) for i in numbers] and got["none"] == []
+    value = "é1 b22 " * 2000
+    found = one(spark, lambda c: text.located(c, "[0-9]+"), value)
+    assert [(x["start"], x["end"], x["value"]) for x in found][:2] == [(1, 2, "1"), (4, 6, "22")] and len(found) == 4000
+    assert all(value[x["start"] : x["end"]] == x["value"] for x in found)
+    put = one(spark, lambda c: text.put_back(c, F.transform(text.located(c, "[0-9]+"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("#").alias("put")))), value)
+    assert put == "é# b# " * 2000
+
+
+def test_aliases(spark):
+    assert one(spark, messages.markup_alias, "a **b** [[c]]((d))") == (
+        "a [color={__style_0_ink}]b[/color] [bgcolor={__style_1_bg}][color={__style_1_ink}][font_size={__style_1_size}] c [/font_size][/color][/bgcolor]"
+        "[bgcolor={__style_2_bg}][color={__style_2_ink}][font_size={__style_2_size}] d [/font_size][/color][/bgcolor]"
+    )
+    tone = messages.NARRATION
+    assert one(spark, messages.narration_alias, "x「y」z\n“q”") == f"{tone}x[/color]「y」{tone}z[/color]\n“q”"
+    assert one(spark, messages.narration_alias, "plain") == "plain"
+    pairs = spark.createDataFrame([(0, "a **b**", "A **B**"), (1, "plain", "Plain"), (2, "he「hi」", "no quotes")], "pair_id BIGINT, source STRING, target STRING")
+    got = {(r["pair_id"] // messages.ALIAS_STEP, r["target"]) for r in messages.with_aliases(pairs, ("double_markup", "quote_narration")).where("pair_id > 9").collect()}
+    assert got == {(1, "A [color={__style_0_ink}]B[/color]"), (2, f"{tone}no quotes[/color]")}
+    shown = spark.createDataFrame([(1, "a [color=#fff]b[/color]")], "seq BIGINT, text STRING")
+    assert messages.rewrite(shown, pairs, ("double_markup",)).first()["target"] == "A [color=#fff]B[/color]"
+
+
+def test_display_rewrite(spark):
+    pairs = [
+        ("剣", "Sword"), ("盾", "Shield"), ("炎の剣", "Flame Sword"), ("{name}は{item}を手に入れた", "{name} got {item}"), ("%d個", "%d pcs"), ("攻撃", "Attack"), ("剣・盾", "Arms"),
+        ("勇者", "Hero"), ("開始", "Start"), ("100%%{x}まで", "up to 100%% {x}"),
+    ]
+    df = spark.createDataFrame([(n, s, t) for n, (s, t) in enumerate(pairs)], "pair_id BIGINT, source STRING, target STRING")
+    cases = {
+        "剣": "Sword",
+        "勇者は剣を手に入れた": "Hero got Sword",
+        "[color=red]勇者[/color]は炎の剣を手に入れた": "[color=red]Hero[/color] got Flame Sword",
+        "[img]剣[/img]　盾": "[img]剣[/img]　Shield",
+        "開\n始": None,  # two lines are no word written downwards
+        "勇\n者": None,
+        "炎\nの\n剣": "F\nl\na\nm\ne\n \nS\nw\no\nr\nd",
+        "> 開始": "> Start",
+        "剣・盾・炎の剣": "Arms・Flame Sword",
+        "剣・未知": None,
+        "3個": "3 pcs",
+        "100%終わりまで": None,  # the anchor is the doubled sign, which shown text lacks
+        "勇者は剣を手に入れた\n未知\n盾": "Hero got Sword\n未知\nShield",
+        "nothing here": None,
+        "": None,
+    }
+    texts = spark.createDataFrame([*enumerate(cases), (99, None)], "seq BIGINT, text STRING")
+    got = {r["text"]: r["target"] for r in messages.rewrite(texts, df, prefixes=("> ",)).collect()}
+    assert got == cases | {None: None}

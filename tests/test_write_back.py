@@ -34,7 +34,7 @@ def test_overrides(spark):
 def test_plugin_parameters(spark):
     text = r'{"name":"見出し","a":"{\"x\":\"なか\"}","b":"あい","c":"plain"}'
     texts = spark.createDataFrame([(1, text), (2, None)], "seq BIGINT, text STRING")
-    got = scripts.plugin_parameters(spark, texts).orderBy("start").collect()
+    got = scripts.plugin_parameters(texts).orderBy("start").collect()
     assert [(r["source"], r["hint"]) for r in got] == [("見出し", "protected"), ("あい", "protected")]
     assert [text[r["start"]] for r in got] == ['"', '"']
 
