@@ -101,8 +101,8 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_BASE}),
 sides AS (
   SELECT k::VARCHAR || ':' || v AS entity,
-         list_reverse(regexp_extract_all(substr(t, greatest(s - 120, 0)::BIGINT + 1, least(s, 120)::BIGINT), '{_TERM_WORD}'))[1:{pii.CONTEXT}] AS lw,
-         regexp_extract_all(substr(t, e::BIGINT + 1, 120), '{_TERM_WORD}')[1:{pii.CONTEXT}] AS rw
+         list_reverse(regexp_extract_all(substr(t, 1, s::BIGINT), '{_TERM_WORD}'))[1:{pii.CONTEXT}] AS lw,
+         regexp_extract_all(substr(t, e::BIGINT + 1), '{_TERM_WORD}')[1:{pii.CONTEXT}] AS rw
   FROM base JOIN t USING (doc_id)),
 near AS (
   SELECT DISTINCT entity, array_to_string(lw, chr(10)) || chr(10) || chr(10) || array_to_string(rw, chr(10)) AS context,
@@ -111,8 +111,8 @@ long AS (SELECT * FROM near WHERE length(term) >= {pii.LEAST_LETTERS}),
 beside AS (SELECT term, max(n) AS together FROM (SELECT entity, term, count(*) AS n FROM long GROUP BY 1, 2 HAVING count(*) >= {pii.SUPPORT}) GROUP BY 1),
 spread AS (SELECT term, count(DISTINCT context) AS contexts FROM long GROUP BY 1),
 likely AS (SELECT term, together FROM beside JOIN spread USING (term) WHERE 2 * together >= contexts),
-held AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '{_TERM_WORD}')) AS term FROM t) JOIN likely USING (term)),
-terms AS (SELECT term FROM (SELECT term, count(*) AS n FROM held GROUP BY 1) JOIN likely USING (term) WHERE 2 * together >= n),
+held AS (SELECT DISTINCT doc_id, t, term FROM (SELECT doc_id, t, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '{_TERM_WORD}')) AS term FROM t) JOIN likely USING (term)),
+terms AS (SELECT term FROM (SELECT term, count(DISTINCT t) AS n FROM held GROUP BY 1) JOIN likely USING (term) WHERE 2 * together >= n),
 marked AS (SELECT * FROM t WHERE doc_id IN (SELECT doc_id FROM held JOIN terms USING (term))),
 extra AS (
   SELECT doc_id, 4 AS k, s, e, v FROM {_located(_TERM_WORD, "marked")} x

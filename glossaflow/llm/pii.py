@@ -11,8 +11,9 @@ distinct texts with t, or the distinct contexts with t where these are more. Wha
 contexts and at most one bit left (2 n(e, t) >= n(t)) the term discloses the entity. Copies of a text count once on both sides.
 Disclosing terms are spans of the kind "term" wherever they occur, and sanitise() generalises them like base values.
 
-Everything is DataFrame expressions. Nulls and empty texts have no spans; rows of one id and text have equal results;
-other columns are left behind by spans() and kept by sanitise().
+Everything is DataFrame expressions. Nulls and empty texts have no spans; an empty table gives an empty result; very long texts are read
+whole, in time about linear in their length. Rows of one id and text have equal results, a null id is an id like others. Other columns,
+whatever their names, are left behind by spans() and kept by sanitise().
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only
+from ..functions.text import located, put_back
+from .common import checkpoint, fresh, only
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -61,22 +63,6 @@ def _phone_valid(c: Column) -> Column:
     return F.length(_digits(c)).between(9, 15)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches, from the lengths of the stretches between them."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(between.alias("gap"), matches.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.when(x["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["found"], one).alias("found")))
-
-    return F.aggregate(pairs, start, add, lambda s: s["found"])
-
-
 def _kind_spans(text: Column, kind: int, pattern: str, may: Column, valid=None) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     found = located(text, pattern)
@@ -89,16 +75,13 @@ def with_base_spans(df: DataFrame, text_col: str = "text", out: str = "base") ->
     """df with the column `out`: array of (start, kind, end, value) in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
-    parts = df.withColumns(
-        {
-            "_pii_0": _kind_spans(text, 0, EMAIL, text.contains("@")),
-            "_pii_1": _kind_spans(text, 1, IP, text.contains(".") & digit & text.rlike(r"[0-9]\.[0-9]"), _ip_valid),
-            "_pii_2": _kind_spans(text, 2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), _card_valid),
-            "_pii_3": _kind_spans(text, 3, PHONE, text.contains("+") & digit, _phone_valid),
-        }
-    )
-    found = [f"_pii_{k}" for k in range(4)]
-    return parts.withColumn(out, F.array_sort(F.concat(*found))).drop(*found)
+    kinds = [
+        _kind_spans(text, 0, EMAIL, text.contains("@")),
+        _kind_spans(text, 1, IP, text.contains(".") & digit & text.rlike(r"[0-9]\.[0-9]"), _ip_valid),
+        _kind_spans(text, 2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), _card_valid),
+        _kind_spans(text, 3, PHONE, text.contains("+") & digit, _phone_valid),
+    ]
+    return df.withColumn(out, F.array_sort(F.concat(*kinds)))
 
 
 def _term(c: Column) -> Column:
@@ -165,6 +148,16 @@ def _term_spans(text: Column, held: Column) -> Column:
     return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
+def held_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, mark, held): the terms that each (id, text) has."""
+    return occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("held"))
+
+
+def _same(left: str, right: str) -> Column:
+    """Rows of one id, which may be null, and one text."""
+    return F.col(f"{left}.id").eqNullSafe(F.col(f"{right}.id")) & (F.col(f"{left}.mark") == F.col(f"{right}.mark"))
+
+
 def all_spans(docs: DataFrame) -> DataFrame:
     """(id, mark, base, terms) for each row of (id, text); terms as base, without those that a base span covers."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
@@ -172,10 +165,10 @@ def all_spans(docs: DataFrame) -> DataFrame:
     terms = disclosing_terms(docs, small)
     if terms.isEmpty():
         return small.select("id", "mark", "base", none.alias("terms"))
-    held = occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("held"))
-    texts = docs.withColumn("mark", F.xxhash64("text")).join(held, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    held = held_terms(docs, terms)
+    texts = docs.withColumn("mark", F.xxhash64("text")).alias("d").join(held.alias("h"), _same("d", "h")).select("h.id", "h.mark", "text", "held").dropDuplicates(["id", "mark"])
     found = texts.select("id", "mark", _term_spans(F.col("text"), F.col("held")).alias("terms"))
-    joined = small.select("id", "mark", "base").join(found, ["id", "mark"], "left")
+    joined = small.alias("s").join(found.alias("f"), _same("s", "f"), "left").select("s.id", "s.mark", "base", "terms")
     free = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("id", "mark", "base", free.alias("terms"))
 
@@ -200,15 +193,18 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def redact(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets; of overlapping spans the first gives the name."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
 
     def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.array(text.substr(state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"])))
-        out = F.when(s["start"] >= state["at"], fresh).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        last = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("put"))
+        covered = F.struct(F.element_at(state, -1)["start"].alias("start"), F.greatest(F.element_at(state, -1)["end"], s["end"]).alias("end"), F.element_at(state, -1)["put"].alias("put"))
+        overlaps = (F.size(state) > 0) & (s["start"] < F.coalesce(F.try_element_at(state, F.lit(-1))["end"], F.lit(0)))
+        return F.when(overlaps, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(covered))).otherwise(F.concat(state, F.array(last)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.concat_ws("", s["out"]), text.substr(s["at"] + 1, F.length(text) - s["at"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    # most texts have no spans that overlap; only those that have are merged one by one
+    apart = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("put")))
+    clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size(spans) - 1, F.lit(1))), lambda i: F.coalesce(F.get(spans, i)["start"] < F.get(spans, i - 1)["end"], F.lit(False)))
+    return put_back(text, F.when(clash, F.aggregate(spans, none, step)).otherwise(apart))
 
 
 def sanitise(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -218,17 +214,22 @@ def sanitise(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     """
     docs = only(df, id=id_col, text=text_col)
     terms = disclosing_terms(docs, based(docs))
-    own, text = df.columns, F.col(text_col)
+    row = fresh(df, "row")  # a column of its own beside which no name can clash
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
+    wide = wide.select(row, F.col(row)[id_col].alias("id"), F.col(row)[text_col].alias("text"), F.xxhash64(F.col(row)[text_col]).alias("mark"))
+    found = with_base_spans(wide)
     if terms.isEmpty():
-        found = with_base_spans(df, text_col, "_pii_spans")
+        found = found.withColumn("spans", F.col("base"))
     else:
-        held = occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("_pii_held"))
-        held = held.select(F.col("id").alias("_pii_id"), F.col("mark").alias("_pii_mark"), "_pii_held")
-        joined = df.join(held, (df[id_col] == held["_pii_id"]) & (F.xxhash64(df[text_col]) == held["_pii_mark"]), "left")
-        every = F.array_sort(F.concat("_pii_base", _term_spans(text, F.col("_pii_held"))))
-        spans = F.when(F.col("_pii_held").isNull(), F.col("_pii_base")).otherwise(every)
-        found = with_base_spans(joined, text_col, "_pii_base").withColumn("_pii_spans", spans)
-    clean = found.withColumn(text_col, redact(text, F.col("_pii_spans")))
-    if "n_chars" in own:
-        clean = clean.withColumn("n_chars", F.when(F.size("_pii_spans") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast("bigint")))
-    return clean.select(*own)
+        found = found.alias("d").join(held_terms(docs, terms).alias("h"), _same("d", "h"), "left").select(f"d.{row}", "d.text", "base", "held")
+        found = found.withColumn("spans", F.when(F.col("held").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(F.col("text"), F.col("held"))))))
+    found = found.withColumn("clean", redact(F.col("text"), F.col("spans")))
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("clean")
+        if c == "n_chars":
+            return F.when(F.size("spans") == 0, F.col(row)[c]).otherwise(F.length("clean").cast("bigint"))
+        return F.col(row)[c]
+
+    return found.select(*[column(c).alias(c) for c in df.columns])

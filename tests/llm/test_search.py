@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from glossaflow.llm import decontamination, html_model, pii
 
 from .conftest import COLUMNS, words
@@ -177,3 +179,26 @@ def test_pages(spark):
     assert by[2] == by[3] == by[7] == "" and by[1].startswith("Head & line")
     none = pages.where("false")
     assert html_model.extract(none, html_model.train(none)).count() == 0
+
+
+def test_null_ids_long_texts_and_clashing_names_keep_no_term(spark):
+    rows = [(i, f"a note about zanzibarov number {i} only z@z.org here", "en", "s", 1) for i in range(4)]
+    rows += [(None, "a note about zanzibarov only z@z.org", "en", "s", 1), (None, "nothing", "en", "s", 1), (None, None, "en", "s", 1)]
+    rows += [(9, "word " * 60_000 + "zanzibarov " + "other " * 40_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for name in ("row", "id", "mark", "base", "held", "spans", "clean", "_pii_0", "_pii_id", "_pii_held"):
+        docs = docs.withColumn(name, F.lit("extra"))
+    found = [(r["id"], r["spans"]) for r in pii.spans(docs).collect()]
+    assert len(found) == 8 and sum("term:13:23" in s for i, s in found if i is None) == 1
+    assert [s for i, s in found if i == 9] == ["term:300000:300010"]
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns
+    got = clean.collect()
+    assert len(got) == 8 and all("zanzibarov" not in (r["text"] or "") and "z@z.org" not in (r["text"] or "") and r["held"] == "extra" for r in got)
+    assert {r["text"] for r in got if r["doc_id"] is None} == {"a note [TERM] [TERM] [TERM] [EMAIL]", "nothing", None}  # "about" and "only" stand nowhere else
+
+
+def test_redaction_of_overlapping_spans(spark):
+    df = spark.createDataFrame([("+1 234 567 8901.2.3.4 x 1.2.3.4 5.6.7.8",)], "text STRING")
+    spans = F.expr("array(struct(0 AS start, 3 AS kind, 15 AS end), struct(11 AS start, 1 AS kind, 21 AS end), struct(24 AS start, 1 AS kind, 31 AS end))")
+    assert df.select(pii.redact(F.col("text"), spans).alias("x")).first()["x"] == "[PHONE] x [IP] 5.6.7.8"
