@@ -12,12 +12,15 @@ Around a candidate window, the longest common subsequence of the words with the
 in order are a leak; from PARAPHRASE on, it is one if the answer is there too: ANSWER of the last ANSWER_WORDS words of the
 item, in order. (The benchmark table has no answer column; an item ends with its answer.)
 
-Items come in blocks of ITEMS at most, so what is broadcast is bounded, and a larger benchmark takes more passes.
-Nulls and empty texts, and items without words, leak nothing. Repeated rows are each reported. Other columns are left behind.
+Items come in blocks of ITEMS at most, each with a space of its own; one pass over the documents serves BLOCKS_AT_ONCE of them, so
+what is broadcast is bounded, and only a benchmark of more than 32,000 items takes more passes.
+Nulls and empty texts, and items without words, leak nothing; an empty table gives an empty result. Very long texts are read whole. Repeated
+rows are each reported; of equally good stretches of one item the last one is named. Other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,8 @@ WINDOW, STEP = 32, 8
 PASSAGE = 24
 RANK = 192
 ITEMS = 2_000
+#: Blocks of items for which one pass over the documents is made (some 20 MB each in every task).
+BLOCKS_AT_ONCE = 16
 CANDIDATE = 0.5
 NEAR, PARAPHRASE, ANSWER = 0.8, 0.55, 0.75
 ANSWER_WORDS = 8
@@ -109,7 +114,7 @@ class Space:
     item_words: list[np.ndarray]
 
     def __post_init__(self) -> None:
-        self.item_sets = [np.unique(x) for x in self.item_words]
+        self.item_sets = [np.unique(x, return_counts=True) for x in self.item_words]
 
 
 def _sparse(bins: bytes, place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +208,10 @@ def common_subsequence(item: list[int], text: list[int]) -> tuple[int, int]:
     return found.bit_count(), (found >> max(len(item) - ANSWER_WORDS, 0)).bit_count()
 
 
-def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int, int, float, float]]:
-    """(row, item, start word, common share, answer share) of the leaks in the words of a slice."""
-    if not len(w):
-        return []
-    weight = space.idf[bins].astype(np.float64)
-    known = space.place[bins] >= 0
-    energy, inside = np.append(0, np.cumsum(weight**2)), np.append(0, np.cumsum(weight**2 * known))
-    starts, ends = [], []
+def _windows(space: Space, w: Words, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of the windows that can reach CANDIDATE: most of their weight is on words of the items."""
+    weight = space.idf[bins].astype(np.float64) ** 2
+    energy, inside = np.append(0, np.cumsum(weight)), np.append(0, np.cumsum(weight * (space.place[bins] >= 0)))
     count = np.diff(w.bounds)
     steps = np.maximum(-(-(count - WINDOW) // STEP), 0) + 1
     steps[count == 0] = 0
@@ -219,32 +220,65 @@ def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int,
     end = np.minimum(start + WINDOW, w.bounds[row + 1])
     can = (inside[end] - inside[start]) >= CANDIDATE**2 * (energy[end] - energy[start]) * 0.999
     can &= inside[end] > inside[start]
-    starts, ends, row = start[can], end[can], row[can]
-    near: dict[tuple[int, int], list[int]] = {}
-    for lo in range(0, len(starts), 256):
-        some = slice(lo, lo + 256)
-        latent = np.stack([(weight[s:e][k := known[s:e]].astype(np.float32)) @ space.directions[space.place[bins[s:e][k]]] for s, e in zip(starts[some], ends[some], strict=True)])
-        cosine = latent @ space.latent.T / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        for i, p in zip(*np.nonzero(cosine >= CANDIDATE), strict=True):
-            near.setdefault((int(row[lo + i]), int(space.item_of[p])), []).append(int(starts[lo + i]))
+    return row[can], start[can]
+
+
+def _near_passages(space: Space, w: Words, bins: np.ndarray, row: np.ndarray, start: np.ndarray, at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of windows and of the passages of items whose cosine with them reaches CANDIDATE.
+
+    Windows overlap, so the latent vectors are summed by stretches of STEP words, each once, and then by the stretches of a window.
+    """
+    place = space.place[bins]
+    for lo in range(0, len(start), at_once):
+        some, of = start[lo : lo + at_once], row[lo : lo + at_once]
+        ahead = some[:, None] + np.arange(0, WINDOW, STEP)
+        stretch, back = np.unique(np.minimum(ahead, w.bounds[of + 1][:, None]), return_inverse=True)
+        ends = np.minimum(stretch + STEP, w.bounds[np.minimum(np.searchsorted(w.bounds, stretch, "right"), len(w.bounds) - 1)])
+        word = stretch[:, None] + np.arange(STEP)
+        inside = word < ends[:, None]
+        word = np.where(inside, word, 0)
+        known = inside & (place[word] >= 0)
+        weight = np.where(known, space.idf[bins[word]], np.float32(0))
+        sums = np.zeros((len(stretch) + 1, space.directions.shape[1]), np.float32)
+        np.matmul(weight[:, None, :], space.directions[np.where(known, place[word], 0)], out=sums[:-1, None, :])
+        # a stretch at the end of its row is empty
+        back = np.where(ahead < w.bounds[of + 1][:, None], back.reshape(ahead.shape), len(stretch))
+        latent = sums[back].sum(axis=1)
+        cosine = latent @ space.latent.T
+        hits = np.nonzero(cosine >= CANDIDATE * np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))
+        yield lo + hits[0], hits[1]
+
+
+def _row_leaks(space: Space, w: Words, bins: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+    """(row, item, start word, common share, answer share) of the leaks in the words of a slice."""
+    if not len(w):
+        return []
+    row, starts = _windows(space, w, bins)
+    near: dict[tuple[int, int], set[int]] = {}
+    for window, passage in _near_passages(space, w, bins, row, starts):
+        for r, i, s in zip(row[window].tolist(), space.item_of[passage].tolist(), starts[window].tolist(), strict=True):
+            near.setdefault((r, i), set()).add(s)
     out = []
     for (r, i), at in near.items():
-        item, known_words = space.item_words[i], space.item_sets[i]
+        item, (known_words, times) = space.item_words[i], space.item_sets[i]
         reach = len(item) + len(item) // 4
         least = PARAPHRASE * len(item)
         best = None
         done = -1
-        for s in sorted(set(at)):
+        for s in sorted(at):
             a = max(s - reach + STEP, int(w.bounds[r]), done)
             b = min(s + WINDOW + reach, int(w.bounds[r + 1]))
             done = max(done, s)
             # stretches of a length near the item's, so that common words strewn over a long text do not add up
             begin = np.arange(a, max(b - reach, a) + 1, max(len(item) // 8, 1))
             place = np.minimum(np.searchsorted(known_words, w.hash[a:b]), len(known_words) - 1)
-            held = np.append(0, np.cumsum(known_words[place] == w.hash[a:b]))
-            # a stretch has no longer common subsequence than words of the item
-            begin = begin[held[np.minimum(begin + reach, b) - a] - held[begin - a] >= least]
-            for lo in begin.tolist():
+            same = known_words[place] == w.hash[a:b]
+            held = np.append(0, np.cumsum(same))
+            # a stretch has no longer common subsequence than words of the item, each as often as the item has it
+            for lo in begin[held[np.minimum(begin + reach, b) - a] - held[begin - a] >= least].tolist():
+                inside = slice(lo - a, min(lo + reach, b) - a)
+                if np.minimum(np.bincount(place[inside][same[inside]], minlength=len(times)), times).sum() < least:
+                    continue
                 common, answer = common_subsequence(item.tolist(), w.hash[lo : min(lo + reach, b)].tolist())
                 share, answered = common / len(item), answer / min(ANSWER_WORDS, len(item))
                 if share >= NEAR or share >= PARAPHRASE and answered >= ANSWER:
@@ -267,24 +301,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seen, total = passage_counts(texts)
     idf = np.log((total + 1) / (seen + 1.0)).astype(np.float32)
     blocks = -(-n_items // ITEMS)
+    spaces = [fit(mine, idf) for block in range(blocks) if not (mine := passages.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)).isEmpty()]
     found = None
-    for block in range(blocks):
-        mine = passages.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        if mine.isEmpty():
-            continue
-        part = _search(texts, fit(mine, idf), schema)
+    for lo in range(0, len(spaces), BLOCKS_AT_ONCE):
+        part = _search(texts, spaces[lo : lo + BLOCKS_AT_ONCE], schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(texts: DataFrame, space: Space, schema: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(space)
+def _search(texts: DataFrame, spaces: list[Space], schema: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(spaces)
 
     def run(batches):
         for batch in batches:
-            found = [(lo + r, *rest) for lo, w in _words(batch.column(1)) for r, *rest in _row_leaks(shared.value, w, _bins(w))]
-            at, item, start, common, answer = zip(*found, strict=True) if found else ((),) * 5
-            items = [shared.value.items[i] for i in item]
+            found = []
+            for lo, w in _words(batch.column(1)):
+                bins = _bins(w)
+                found += [(lo + r, space.items[i], *rest) for space in shared.value for r, i, *rest in _row_leaks(space, w, bins)]
+            at, items, start, common, answer = zip(*found, strict=True) if found else ((),) * 5
             columns = [pa.array(items, pa.int64()), pa.array(start, pa.int64()), pa.array(common, pa.float64()), pa.array(answer, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["id", "item", "start_word", "common", "answer"])
 
