@@ -8,8 +8,9 @@ pages that mark their article themselves (one article or main element). Its elem
 in ASIDE within it; everything else is not. The counts start from PRIORS, so pages without such marks, and an empty table,
 work as well.
 
-Nulls and empty pages have the empty text. Unclosed and stray tags are taken as browsers take them, in the main. Repeated
-rows are alike; other columns are left behind.
+Nulls and empty pages have the empty text; an empty table gives an empty result. Unclosed and stray tags are taken as browsers take
+them, in the main. Very long pages are read whole, in time linear in their length. Repeated rows are alike; an element as likely content
+as not is kept. Other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 from .common import only
 
 FIT_PAGES = 1_500
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag: with quoted values, or, in a page with a quote that nothing closes, up to the next bracket.
+REST = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
+LOOSE_REST = re.compile(r"([^>]*)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-DROPPED = RAW | {"head", "noscript", "template", "svg", "math", "canvas", "object", "select", "button", "datalist"}
+DROPPED = RAW | {"head", "noscript", "template", "svg", "select", "button", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -62,36 +66,68 @@ class Node:
     linked: int = 0
 
 
+class _Open:
+    """The open elements: their nodes, the block that each lies in, and how many of each tag there are."""
+
+    def __init__(self, nodes: list[Node]) -> None:
+        self.nodes, self.stack, self.holders, self.count = nodes, [0], [0], Counter({"html": 1})
+
+    def push(self, i: int) -> None:
+        tag = self.nodes[i].tag
+        self.stack.append(i)
+        self.holders.append(i if tag in BLOCK else self.holders[-1])
+        self.count[tag] += 1
+        self.count["dropped"] += tag in DROPPED
+
+    def pop(self) -> str:
+        tag = self.nodes[self.stack.pop()].tag
+        self.holders.pop()
+        self.count[tag] -= 1
+        self.count["dropped"] -= tag in DROPPED
+        return tag
+
+    def depth_of(self, tags: set[str], bounds: set[str] = frozenset()) -> int:
+        """Depth of the innermost open element of these tags, unless one of the bounds lies within it; 0 if there is none."""
+        if any(self.count[t] for t in tags):
+            for d in range(len(self.stack) - 1, 0, -1):
+                tag = self.nodes[self.stack[d]].tag
+                if tag in tags:
+                    return d
+                if tag in bounds:
+                    return 0
+        return 0
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in page order, the root first, and blocks of text with the element that holds each."""
-    nodes, stack = [Node("html", -1)], [0]
+    nodes = [Node("html", -1)]
+    still = _Open(nodes)
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
-    state = {"owner": 0}
+    state = {"owner": 0, "text": False, "loose": False}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
+        state["text"] = False
         if text:
             blocks.append((state["owner"], text))
 
     def pop_to(depth: int) -> None:
-        while len(stack) > max(depth, 1):
-            if nodes[stack.pop()].tag in BLOCK:
+        while len(still.stack) > max(depth, 1):
+            if still.pop() in BLOCK:
                 flush()
 
     def text_at(chunk: str) -> None:
-        if not chunk:
-            return
-        if any(nodes[i].tag in DROPPED for i in stack):
+        if not chunk or still.count["dropped"]:
             return
-        holder = next(i for i in reversed(stack) if nodes[i].tag in BLOCK)
-        if not run or not "".join(run).strip():
-            state["owner"] = holder
+        holder = still.holders[-1]
+        if not state["text"]:
+            state.update(owner=holder, text=bool(chunk.strip()))
         run.append(chunk)
         length = len(chunk.strip())
         nodes[holder].own += length
-        if any(nodes[i].tag == "a" for i in stack):
+        if still.count["a"]:
             nodes[holder].linked += length
 
     at = 0
@@ -99,11 +135,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         text_at(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag or (tag == "html" and not m[1]):
+        if not tag:
+            continue
+        rest = None if state["loose"] else REST.match(page, at)
+        if rest is None:
+            state["loose"] = True
+            rest = LOOSE_REST.match(page, at)
+        at = rest.end()
+        if tag == "html" and not m[1]:
             continue
         if m[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), 0)
-            if depth and (tag in BLOCK or not any(nodes[stack[d]].tag in BLOCK for d in range(depth + 1, len(stack)))):
+            depth = still.depth_of({tag}, set() if tag in BLOCK else BLOCK)
+            if depth:
                 pop_to(depth)
             continue
         if tag in VOID:
@@ -114,21 +157,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in BLOCK:
             flush()
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag in BLOCK), 0)
-            if depth and nodes[stack[depth]].tag == "p":
-                pop_to(depth)
-        if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            for d in range(len(stack) - 1, 0, -1):
-                if nodes[stack[d]].tag in ends:
-                    pop_to(d)
-                    break
-                if nodes[stack[d]].tag in bounds:
-                    break
+            if nodes[still.holders[-1]].tag == "p":
+                pop_to(still.depth_of({"p"}))
+        if tag in CLOSES and (depth := still.depth_of(*CLOSES[tag])):
+            pop_to(depth)
         if tag in ("td", "th"):
             run.append(" ")
-        node = Node(tag, next(i for i in reversed(stack) if nodes[i].tag in BLOCK))
-        for name, *values in ATTRIBUTE.findall(m[3]):
+        node = Node(tag, still.holders[-1])
+        for name, *values in ATTRIBUTE.findall(rest[1]):
             value = "".join(values).lower()
             if name.lower() in ("hidden", "aria-hidden"):
                 node.names += ["hidden"] * (value != "false")
@@ -136,10 +172,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.names += [("role=" if name.lower() == "role" else "name=") + x for x in NAME.findall(value)]
         nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif not m[3].endswith("/"):
-            stack.append(len(nodes) - 1)
+        elif not rest[1].endswith("/"):
+            still.push(len(nodes) - 1)
     text_at(page[at:])
     flush()
     for node in nodes:
@@ -234,9 +270,13 @@ def page_counts(page: str | None) -> Counter:
 
 
 def train(pages: DataFrame, html_col: str = "html", most: int = FIT_PAGES) -> Model:
-    """Counts over at most `most` pages that mark their article, those with the least hashes; added up by Spark."""
-    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)\b")).select(F.col(html_col).alias("html"))
-    chosen = marked.select("html", F.xxhash64("html").alias("spot")).orderBy("spot").limit(most)
+    """Counts over at most `most` different pages that mark their article, those with the least hashes; added up by Spark.
+
+    The hashes alone are sorted; no page moves but the chosen ones.
+    """
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)\b")).select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("spot"))
+    last = marked.select("spot").distinct().orderBy("spot").limit(most).agg(F.max("spot")).first()[0]
+    chosen = marked.where(F.col("spot") <= F.lit(last)).dropDuplicates(["spot"])
 
     def run(batches):
         for batch in batches:
