@@ -6,7 +6,8 @@ w0 + sum w_i x_i + (1/2) sum over factors of ((sum v_if x_i)^2 - sum v_if^2 x_i^
 It is fitted by AdaGrad on at most FIT_ROWS labelled rows outside the held-out fifth and then scores every row.
 
 Nulls and empty texts have no words, and get the score of their statistics. A table without labels of both kinds gives
-their share, or 0.5 without labels. Repeated rows get equal scores; other columns are left behind.
+their share, or 0.5 without labels; an empty table gives an empty result. Very long texts are read whole. Repeated rows get equal scores, and
+rows of training that are alike count as often as they are there. Other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations

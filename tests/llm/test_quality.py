@@ -88,11 +88,64 @@ def test_scores_of_awkward_rows_and_missing_labels(spark, awkward, empty):
         assert make(empty, none).count() == 0
 
 
-def test_folding_and_exceptions():
+def test_folding_and_exceptions(spark):
     rows = [(f"you are an idiot {i} word{i}", 1) for i in range(30)] + [(f"a calm text {i} word{i}", 0) for i in range(60)]
     rows += [(f"village idiot festival number {i}", 0) for i in range(1)]
-    lexicon = toxicity.learn(rows, frozenset({"village idiot"}))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text STRING, label INT"), frozenset({"village idiot"}))
     assert lexicon.score("what an 1d1ot here") > 0.5
     assert lexicon.score("what an іdіоt here") > 0.5  # Cyrillic letters
+    assert lexicon.score("what an ｉ𝐝ｉｏｔ here") > 0.5  # wide and mathematical letters
     assert lexicon.score("the village idiot festival") < 0.5
     assert lexicon.score(None) == lexicon.score("") < 0.5
+
+
+def test_matches_equal_a_plain_search(spark):
+    """Every term and exception phrase looked for one by one at every place."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    parts = ["idiot", "idiocy", "moron", "the", "village", "fool", "foolish", "of", "ass", "assign"]
+    weights = {"idio": 1.5, "moron ": 2.0, "fool": 1.25, "ass ": 3.0, "foolish ": 0.5}
+    lexicon = toxicity.Lexicon(weights, frozenset({"village idiot", "fool of", "of fool of"}))
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        folded = toxicity.fold(text)
+        spans = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        total = 0.0
+        for t, w in weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(" " + t, i) and not any(a <= i and i + len(t) <= b + 1 for a, b in spans):
+                    total += w
+        assert lexicon.signals(text) == (math.log1p(total), 100 * total / max(folded.count(" ") - 1, 1)), text
+
+
+def test_counts_of_terms_equal_plain_counts(spark):
+    from .conftest import words
+
+    rows = [(words(30, i) + (" scumbag" if i % 2 else ""), i % 2) for i in range(60)]
+    got = {(r["term"], r["label"]): r["n"] for r in toxicity._counted(spark.createDataFrame(rows, "text STRING, label INT").repartition(3), toxicity._terms_of, toxicity.TERMS).collect()}
+    plain = Counter((t, label) for text, label in rows for t in {t for w in set(toxicity.fold(text).split()) for t in toxicity.beginnings(w)})
+    assert got == plain
+
+
+def test_identity_equals_the_sum_over_pairs():
+    """The sum-of-squares identity against the double loop over pairs of features."""
+    import numpy as np
+    import pyarrow as pa
+
+    from glossaflow.llm.wordhash import column_buffers
+
+    from .conftest import words
+
+    data, offsets = column_buffers(pa.array([words(12, 1), "", words(7, 2) + "\n# !", None, "one"]))
+    x = quality_model.features(data, offsets, 0, 5)
+    rng = np.random.default_rng(1)
+    size = quality_model.WORD_BINS + quality_model.STATS
+    m = quality_model.Machine(0.3, rng.normal(size=size).astype(np.float32), rng.normal(size=(size, quality_model.FACTORS)).astype(np.float32))
+    expected = []
+    for a, b in zip(x.bounds[:-1], x.bounds[1:], strict=True):
+        i, v = x.index[a:b], x.value[a:b].astype(float)
+        pairs = sum(float(m.factors[i[p]].astype(float) @ m.factors[i[q]].astype(float)) * v[p] * v[q] for p in range(len(i)) for q in range(p))
+        expected.append(0.3 + float(m.weights[i].astype(float) @ v) + pairs)
+    assert np.allclose(m.raw(x), expected, rtol=1e-4, atol=1e-4)
