@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PRINTF, located, put_back, strip
+from ..functions.text import PRINTF, located, put_back, strip, two_characters
 from .catalog import Rejected
 
 PLACEHOLDER = r"\{[^{}\n]+\}|" + PRINTF
@@ -32,13 +32,6 @@ def visible_parts(source: Column) -> Column:
     return F.flatten(F.transform(F.split(source, TAG, -1), lambda s: F.split(s, PLACEHOLDER, -1)))
 
 
-def two_characters(text: Column) -> Column:
-    """Neighbouring characters, two by two, in time linear in the text."""
-    letters = F.split(text, "")
-    pairs = F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
-    return F.array_compact(pairs)
-
-
 def bigrams(source: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(visible_parts(source), two_characters)))
 

@@ -29,27 +29,64 @@ def _inner_words(c: Column) -> Column:
     return F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
 
 
+#: Parts that every task may hold to look for all of them at once: how many, and their characters.
+MOST_PARTS = 200_000
+MOST_CHARACTERS = 32_000_000
+
+
 def containing(texts: DataFrame, parts: DataFrame, text_col: str = "text", part_col: str = "part") -> DataFrame:
-    """Pairs (seq, part) of texts (seq, text) that contain a part.
+    """Pairs (seq, part) of texts (seq, text) that contain a part. Empty parts and null texts have none.
 
-    A part with inner words (three words or more) is looked up by one of them, the one that the fewest parts have, among the
-    distinct words of the texts, then the whole part is compared. Other parts are compared with each text, so they
-    should be few.
+    Parts that are counted to fit are looked for together, in one pass over the texts and without a shuffle. More of them are
+    joined by an anchor: a word with white space on both sides where a part has one, else two neighbouring characters (or its only
+    one), of those the one that the fewest parts have; then the whole part is compared.
     """
     named = parts.select(F.col(part_col).alias("part")).where(F.length("part") > 0).distinct()
-    inner = F.size(_inner_words(F.col("part"))) > 0
-    long, short = named.where(inner), named.where(~inner)
-    words = long.select("part", F.explode(_inner_words(F.col("part"))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n"))
-    # rare among the parts, and of equals the longest, which is rare among the texts too
-    rank = F.struct("n", -F.length("word"), "word")
-    anchors = words.join(often, "word").groupBy("part").agg(F.min_by("word", rank).alias("word"))
     held = texts.select("seq", F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    looked = held.select("seq", F.explode(F.array_distinct(F.split("text", r"\s+", -1))).alias("word")).join(anchors, "word").select("seq", "part")
-    found = looked.join(held, "seq").where(F.contains("text", "part")).select("seq", "part").distinct()
-    if short.isEmpty():
-        return found
-    return found.unionByName(held.join(short, F.contains("text", "part")).select("seq", "part"))
+    n, characters = named.agg(F.count("*"), F.coalesce(F.sum(F.length("part")), F.lit(0))).first()
+    if n <= MOST_PARTS and characters <= MOST_CHARACTERS:
+        return _looked_up(held, [r["part"] for r in named.collect()])
+    pieces = F.concat(text.two_characters(F.col("part")), F.when(F.length("part") == 1, F.array("part")).otherwise(F.array().cast("array<string>")))
+    inner = F.size(_inner_words(F.col("part"))) > 0
+    by_word = _anchored(named.where(inner), _inner_words(F.col("part")))
+    by_piece = _anchored(named.where(~inner), F.array_distinct(pieces))
+    found = None
+    for anchors, of_text in ((by_word, F.split("text", r"\s+", -1)), (by_piece, F.concat(text.two_characters(F.col("text")), F.split("text", "")))):
+        looked = held.select("seq", F.explode(F.array_distinct(of_text)).alias("anchor")).join(anchors, "anchor").select("seq", "part")
+        some = looked.join(held, "seq").where(F.contains("text", "part")).select("seq", "part").distinct()
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def _anchored(parts: DataFrame, pieces: Column) -> DataFrame:
+    """(part, anchor): of the pieces the one that the fewest parts have, and of equals the longest, which is rare among texts too."""
+    each = parts.select("part", F.explode(pieces).alias("anchor"))
+    often = each.groupBy("anchor").agg(F.count("*").alias("n"))
+    return each.join(often, "anchor").groupBy("part").agg(F.min_by("anchor", F.struct("n", -F.length("anchor"), "anchor")).alias("anchor"))
+
+
+def _looked_up(held: DataFrame, parts: list[str]) -> DataFrame:
+    """(seq, part) by an automaton of all parts in each task."""
+    import ahocorasick
+    import pyarrow as pa
+
+    shared = held.sparkSession.sparkContext.broadcast(sorted(parts))
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for part in shared.value:
+            automaton.add_word(part, part)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for row, value in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
+                hits = {part for _, part in automaton.iter(value)}
+                at += [row] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["seq", "part"])
+
+    return held.mapInArrow(run, f"seq {held.schema['seq'].dataType.simpleString()}, part string")
 
 
 def residual_kana(texts: DataFrame, allow: DataFrame | None = None) -> DataFrame:

@@ -28,7 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only where none is named (tests)."""
+    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only in local mode (tests). On a cluster, where a local
+    folder would not be shared, none is an error."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossaflow-checkpoint-"))

@@ -46,9 +46,10 @@ def leaves(docs: DataFrame) -> DataFrame:
         inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         flat = level.where(~inner).select("file", "path", kind.alias("kind"), F.variant_get("value", "$", "string").alias("text"))
         out = flat if out is None else out.unionByName(flat)
-        level.where(inner).createOrReplaceTempView("_level")
+        held = level.where(inner)
+        # the frame is an argument of the query, so no view of the session is overwritten
         level = docs.sparkSession.sql(
-            "SELECT file, concat(path, '/', coalesce(e.key, cast(e.pos AS STRING))) AS path, e.value AS value FROM _level, LATERAL variant_explode(_level.value) e"
+            "SELECT file, concat(path, '/', coalesce(e.key, cast(e.pos AS STRING))) AS path, e.value AS value FROM {held} h, LATERAL variant_explode(h.value) e", held=held
         )
         level = level.checkpoint()
         if level.isEmpty():

@@ -39,6 +39,8 @@ def _step(state: tuple, event) -> tuple[tuple, str]:
     if event.action == "submit":
         if not isinstance(event.target, str) or not event.target.strip():
             return now, "empty"
+        if "\0" in event.target:
+            return now, "nul"
         return (worker, expires, event.target), "accepted"
     return now, "unknown action"
 
@@ -49,7 +51,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     for event in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples():
         current, outcome = _step(current, event)
         rows.append((key[0], event.seq, event.at, event.worker, event.action, outcome, current[1], current[2]))
-    state.update(current)
+    if current[0] is None and current[2] is None:
+        if state.exists:
+            state.remove()  # a free item is as good as one that was never seen
+    else:
+        state.update(current)
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
