@@ -56,7 +56,7 @@ q AS (
 f AS (SELECT level, lang, source, rate, least, every, {_FLOOR.format("b50")} AS mid, {_FLOOR.format("b10")} AS low FROM q),
 limits AS (SELECT level, lang, source, rate, every, mid + {quality_rules.SPREAD} * greatest(mid - low, least) AS most FROM f),
 verdict AS (
-  SELECT r.doc_id, bool_and(r.v <= CASE WHEN a.every >= {quality_rules.MIN_GROUP} THEN a.most WHEN b.every >= {quality_rules.MIN_GROUP} THEN b.most ELSE c.most END) AS fine
+  SELECT r.doc_id, bool_and(r.v <= (a.most * a.every + {quality_rules.PRIOR} * ((b.most * b.every + {quality_rules.PRIOR} * c.most) // (b.every + {quality_rules.PRIOR}))) // (a.every + {quality_rules.PRIOR})) AS fine
   FROM r JOIN limits a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source AND a.rate = r.rate
          JOIN limits b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM r.lang AND b.rate = r.rate
          JOIN limits c ON c.level = 0 AND c.rate = r.rate

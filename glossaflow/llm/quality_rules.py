@@ -4,12 +4,13 @@ Counts are taken over every whole text. Four rates (thousandths) go into quantil
 with the value (an eighth of a power of two each), so sketches of any two sets of rows merge by adding the counts, and
 a third of all rows under one key is added up on the map side. From the sketch of a (lang, source) come its median and
 tenth percentile; a document is rejected where a rate lies above
-median + SPREAD * max(median - tenth percentile, least spread). A (lang, source) with fewer than MIN_GROUP documents uses
-the merged sketch of its language, and a small language that of all documents.
+median + SPREAD * max(median - tenth percentile, least spread). This limit of a (lang, source) of n documents is blended with that of its
+language, as if from PRIOR more documents, and a language's in the same way with that of all documents, so small groups lean on wider
+ones and nothing changes at any one size.
 
 Nulls: a null text has no words and fails the base rule; null languages and sources are groups like any other. Repeated
 rows count as often as they occur. An empty table gives an empty result. Other columns of the input are passed on by
-add_counts() unless they have a name of its own columns, which are replaced.
+add_counts() unless they have a name of its own columns, which are replaced. Very long texts are read whole; a rate that equals its limit passes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ RATES = (
     ("bang_rate", "n_bangs", "n_words", 10),
 )
 SPREAD = 6
-MIN_GROUP = 200
+PRIOR = 200
 MIN_WORDS = 50
 
 
@@ -174,8 +175,9 @@ def thresholds(counted: DataFrame, groups: tuple[str, ...] = ("lang", "source"))
     level = lambda n: wide.where(F.col("level") == n).select("lang", "source", F.struct("all", *names).alias(f"l{n}"))
     by_lang, everything = level(1).select(F.col("lang").alias("lang1"), "l1"), level(0).select("l0")
     joined = level(2).join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(everything)  # one row
-    use = F.when(F.col("l2.all") >= MIN_GROUP, F.col("l2")).when(F.col("l1.all") >= MIN_GROUP, F.col("l1")).otherwise(F.col("l0"))
-    return joined.select("lang", "source", use.alias("use")).select("lang", "source", *[F.col(f"use.{n}").alias(f"most_{n}") for n in names])
+    blend = lambda own, of, wider: f"({own} * {of} + {PRIOR} * {wider}) div ({of} + {PRIOR})"
+    by_language = {n: blend(f"l1.{n}", "l1.all", f"l0.{n}") for n in names}
+    return joined.select("lang", "source", *[F.expr(blend(f"l2.{n}", "l2.all", f"({by_language[n]})")).alias(f"most_{n}") for n in names])
 
 
 def small_enough(limits: DataFrame, most_rows: int = 20_000) -> DataFrame:
