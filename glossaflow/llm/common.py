@@ -75,3 +75,9 @@ def stage_folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
     return f"{top}/stage-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stage_folder(), on whatever file system it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -11,8 +11,8 @@ HEAVY suffixes is not held in one task: its passages are counted by Spark's aggr
 A passage with another occurrence marks its words as repeated; marks are merged to spans, and every occurrence of a passage
 but the first is a removal. Both are exact but for equal 64-bit hashes of different words.
 
-Words are A-Z as a-z. Nulls and texts of fewer words have no spans. Repeated rows are repeats of each other, but as spans go
-by id, a place of one id is never removed for the same place of a repeated row. Null ids are left out, and so are other columns.
+Words are A-Z as a-z. Nulls, empty tables and texts of fewer words have no spans; very long texts are read whole. Repeated rows are repeats of each other, but as spans go
+by id, a place of one id is never removed for the same place of a repeated row. Null ids are left out, and so are other columns, whatever their names. Of equal occurrences the one with the least id, then the first place is the first.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WINDOW = 35
 LEAST_WORDS = SEED + WINDOW - 1
 #: Suffixes of one group that a task may hold.
 HEAVY = 20_000
+#: Groups that are handled apart; where more have over HEAVY suffixes, only those with over one in so many of all suffixes are.
+MOST_HEAVY = 1_000_000
 
 _ODD = mix(np.arange(1, 7, dtype=np.uint64), 78) | np.uint64(1)
 
@@ -220,8 +222,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint")).where("id IS NOT NULL")
     again = checkpoint(seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
     repeated = spark.sparkContext.broadcast(linkage.bloom(again, "seed"))
-    # no more than one in HEAVY of all suffixes
-    large = np.sort(np.array([r["seed"] for r in again.where(F.col("n") > HEAVY).select("seed").collect()], np.int64))
+    # at most MOST_HEAVY seeds, whatever the input
+    heavy = max(HEAVY, (again.agg(F.sum("n")).first()[0] or 0) // MOST_HEAVY)
+    large = np.sort(np.array([r["seed"] for r in again.where(F.col("n") > heavy).select("seed").collect()], np.int64))
     heavy = spark.sparkContext.broadcast(large)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     spans = None
