@@ -202,3 +202,40 @@ def test_redaction_of_overlapping_spans(spark):
     df = spark.createDataFrame([("+1 234 567 8901.2.3.4 x 1.2.3.4 5.6.7.8",)], "text STRING")
     spans = F.expr("array(struct(0 AS start, 3 AS kind, 15 AS end), struct(11 AS start, 1 AS kind, 21 AS end), struct(24 AS start, 1 AS kind, 31 AS end))")
     assert df.select(pii.redact(F.col("text"), spans).alias("x")).first()["x"] == "[PHONE] x [IP] 5.6.7.8"
+
+
+def test_leaks_equal_an_exhaustive_search(spark):
+    """Every stretch of every document against every item, without the latent space."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    split = lambda text: re.sub("[.,;:!?()\\[\\]{}\"']", " ", (text or "").lower()).split()
+    truth = set()
+    for doc in docs.collect():
+        w = split(doc["text"])
+        for item, text in items:
+            x = split(text)
+            reach = len(x) + len(x) // 4
+            for at in range(0, max(len(w) - reach, 0) + 1, max(len(x) // 8, 1)):
+                piece = w[at : at + reach]
+                if sum(map(set(x).__contains__, piece)) >= 0.55 * len(x):
+                    common, answer = decontamination.common_subsequence(x, piece)
+                    if common >= 0.8 * len(x) or common >= 0.55 * len(x) and answer >= 0.75 * min(8, len(x)):
+                        truth.add((doc["doc_id"], item))
+    got = {(r["id"], r["item"]) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id BIGINT, text STRING")).collect()}
+    assert truth and got >= truth and len(got - truth) <= 0.05 * len(truth)  # stretches begin elsewhere, so the edge of the rule may differ
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    model = html_model.learn(html_model.Counter())
+    pages = ["<a \"" * 20_000, "<p>x<a '>" * 20_000, "<b>x</b> " * 40_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<span>x" * 20_000 + "</i>" * 20_000, "<![CDATA[" * 20_000, "<script></script" * 20_000]
+    began = time.time()
+    for page in pages:
+        html_model.main_text(page, model)
+    assert time.time() - began < 60
+
+
+def test_formulas_and_objects_of_an_article_stay():
+    page = f"<article><h1>Title</h1><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>fallback</object></p><button>Send</button></article>"
+    assert html_model.main_text(page, html_model.learn(html_model.Counter())).split("\n\n") == ["Title", f"{BODY} x=1 and fallback"]
