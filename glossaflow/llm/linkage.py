@@ -28,6 +28,8 @@ STAR_ROUNDS = 2
 BLOCK = 256
 #: Edges (16 bytes each) that one task may hold.
 FEW_EDGES = 50_000
+#: Lists (some 50 bytes each) whose leaders are broadcast.
+FEW_LISTS = 100_000
 #: Bits of a bitmap: from 8 kB up to 32 MB, by what it holds.
 LEAST_BITS = 1 << 16
 MOST_BITS = 1 << 28
@@ -178,7 +180,13 @@ def mixed_lists(known: DataFrame) -> DataFrame:
 
 def outsiders(known: DataFrame, lists: DataFrame) -> DataFrame:
     """known postings of mixed lists that are not of the list's largest component, with its lead."""
-    return known.join(lists, "key").where("component <> major")
+    return known.join(_few(lists), "key").where("component <> major")
+
+
+def _few(lists: DataFrame) -> DataFrame:
+    """Broadcast a row for each list only when counted to be few, so that a long list is not gathered in one task; beyond that
+    Spark picks a shuffled join and divides skewed keys."""
+    return F.broadcast(lists) if lists.limit(FEW_LISTS + 1).count() <= FEW_LISTS else lists
 
 
 def _fits(percent: int) -> Column:
@@ -194,7 +202,7 @@ def star_pairs(outside: DataFrame, percent: int, own: bool) -> DataFrame:
     """(a, b, times) of each list's leader and its sets outside the largest component; own: with a leader from outside."""
     if own:
         leaders = outside.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("degree", "id")).alias("lead"))
-        outside = outside.drop("lead").join(leaders, "key")
+        outside = outside.drop("lead").join(_few(leaders), "key")
     return _tallied(outside.where(_fits(percent) & (F.col("component") != F.col("lead.component"))))
 
 
