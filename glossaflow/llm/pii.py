@@ -215,8 +215,8 @@ def sanitise(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     docs = only(df, id=id_col, text=text_col)
     terms = disclosing_terms(docs, based(docs))
     row = fresh(df, "row")  # a column of its own beside which no name can clash
-    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
-    wide = wide.select(row, F.col(row)[id_col].alias("id"), F.col(row)[text_col].alias("text"), F.xxhash64(F.col(row)[text_col]).alias("mark"))
+    others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    wide = df.select(F.struct(*others).alias(row), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
     found = with_base_spans(wide)
     if terms.isEmpty():
         found = found.withColumn("spans", F.col("base"))
