@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, table
 
-__all__ = ["arrow_rows", "checkpoint", "documents", "fresh", "held_out", "map_batches", "only", "table"]
+__all__ = ["arrow_rows", "checkpoint", "documents", "fresh", "held_out", "map_batches", "only", "stored", "table"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,10 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of stage_folder(), on whatever file system it lies."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df by way of a table in the shared folder: its lineage is cut, and it is computed once."""
+    path = stage_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, pii, quality_rules
+from . import jaccard_join, phrase_mining, pii, quality_rules
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -128,3 +128,25 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN told USING (doc_id)
 """
+
+PHRASE_MINING = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM runs GROUP BY ALL),
+every AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= {phrase_mining.LEAST_COUNT}),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lft, array_to_string(ws[k + 1:], ' ') AS rgt FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lft JOIN f y ON y.lang = cuts.lang AND y.phrase = rgt),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < {phrase_mining.PERCENT} * lowest.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, every.n AS n, score::BIGINT AS score
+FROM kept JOIN every USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {phrase_mining.MOST_PHRASES}
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, phrase_mining, pii, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -63,6 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of each language."""
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -74,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality_model": op9_quality_model,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op4_pii": oracles.PII,
     "op10_jaccard_join": oracles.JACCARD_JOIN,
+    "op13_phrases": oracles.PHRASE_MINING,
 }
