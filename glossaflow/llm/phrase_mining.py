@@ -32,7 +32,9 @@ LEAST_COUNT = 10
 PERCENT = 50
 MOST_PHRASES = 2000
 #: Bytes of text to a shard; a longer text is a shard of its own.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
+#: Rows to an Arrow batch that a task gives.
+ROWS = 1 << 16
 #: Positions of the first words that are followed at once.
 BLOCK = 1 << 16
 #: A bitmap is kept as machine words when more than one position in so many is set.
@@ -125,11 +127,14 @@ def _sums(batches) -> Iterator[pa.RecordBatch]:
         value = shard.hashes(lang)
         pairs, n = np.unique(shard.pairs(value)[1], return_counts=True)
         counts = np.bincount(shard.code, minlength=len(value))
-        yield _batch({"key": np.concatenate([value, pairs]).view(np.int64), "n": np.concatenate([counts, n]).astype(np.int64)})
+        yield from _batches({"key": np.concatenate([value, pairs]).view(np.int64), "n": np.concatenate([counts, n]).astype(np.int64)})
 
 
-def _batch(columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+def _batches(columns: dict) -> Iterator[pa.RecordBatch]:
+    """Equally long columns as batches of up to ROWS rows."""
+    whole = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    for lo in range(0, whole.num_rows, ROWS):
+        yield whole.slice(lo, ROWS)
 
 
 class Bitmaps:
@@ -233,7 +238,7 @@ def _mined(bitmap) -> callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
             n, value = len(shard.code), shard.hashes(lang)
-            yield _batch({"lang": [lang], "k": np.zeros(1, np.int32), "phrase": [""], "n": np.array([n], np.int64)})
+            yield from _batches({"lang": [lang], "k": np.zeros(1, np.int32), "phrase": [""], "n": np.array([n], np.int64)})
             frequent = linkage.let_through(bitmap.value, value)
             at, pair = shard.pairs(value)
             held = frequent[shard.code[at]] & frequent[shard.code[at + 1]]
@@ -241,9 +246,11 @@ def _mined(bitmap) -> callable:
             leads = np.zeros(n, bool)
             leads[at[linkage.let_through(bitmap.value, pair)]] = True
             for phrase, count in Bitmaps(shard, frequent, leads).phrases():
-                names = [shard.vocabulary.take(pa.array(w)) for w in phrase]
-                joined = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())).cast(pa.string()) if len(names) > 1 else names[0].cast(pa.string())
-                yield _batch({"lang": pa.array([lang]).take(pa.array(np.zeros(len(count), np.int8))), "k": np.full(len(count), len(phrase), np.int32), "phrase": joined, "n": count.astype(np.int64)})
+                for lo in range(0, len(count), ROWS):
+                    names = [shard.vocabulary.take(pa.array(w[lo : lo + ROWS])) for w in phrase]
+                    joined = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())) if len(names) > 1 else names[0]
+                    n = count[lo : lo + ROWS].astype(np.int64)
+                    yield from _batches({"lang": pa.repeat(lang, len(n)), "k": np.full(len(n), len(phrase), np.int32), "phrase": joined.cast(pa.string()), "n": n})
 
     return run
 
