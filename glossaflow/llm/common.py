@@ -83,8 +83,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared folder: its lineage is cut, and it is computed once."""
-    path = stage_folder(df.sparkSession)
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df by way of a table in the shared folder (path: a stage_folder()): its lineage is cut, and it is computed once."""
+    path = path or stage_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, phrase_mining, pii, quality_rules
+from . import jaccard_join, phrase_mining, pii, prefix_trie, quality_rules
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -150,3 +150,35 @@ kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, every.n AS n, score::BIGINT AS score
 FROM kept JOIN every USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {phrase_mining.MOST_PHRASES}
 """
+
+# the CRC-32 of a decimal id: each byte is XORed in, then eight shifts follow
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"
+)
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % {prefix_trie.HEADS} AS h, conv_id - conv_id % {prefix_trie.FAMILY} AS base FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT conv_id, h, base, least(h, coalesce(n, 0)) AS took FROM c LEFT JOIN n USING (base)),
+r AS (
+  SELECT p.conv_id, t.i AS depth, role, text FROM p JOIN t ON t.conv_id = p.base AND t.i <= p.h
+  UNION ALL SELECT p.conv_id, p.took + t.i - p.h, role, text FROM p JOIN t ON t.conv_id = p.conv_id AND t.i > p.h),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, ';' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node FROM r),
+steps AS (
+  SELECT conv_id, 0 AS depth, 0 AS chars, '' AS node FROM c UNION ALL SELECT conv_id, depth, chars, node FROM paths),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM steps),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM linked GROUP BY 1),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+full_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT top AS node, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM below JOIN full_ USING (node) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums USING (node) LEFT JOIN nodes up ON up.node = f.parent
+"""

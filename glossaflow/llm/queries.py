@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, phrase_mining, pii, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, phrase_mining, pii, prefix_trie, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -63,6 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first collocations of each language."""
     return phrase_mining.collocations(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality_model": op9_quality_model,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_phrases": op13_phrases,
 }
 
@@ -86,5 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op4_pii": oracles.PII,
     "op10_jaccard_join": oracles.JACCARD_JOIN,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
     "op13_phrases": oracles.PHRASE_MINING,
 }
