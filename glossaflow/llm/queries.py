@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_model, jaccard_join, oracles, paragraph_dedup, phrase_mining, pii, prefix_trie, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontamination, html_model, jaccard_join, license_scan, oracles, paragraph_dedup, phrase_mining, pii, prefix_trie, quality_model, quality_rules, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -63,6 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and notices of every document."""
+    return license_scan.licences(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie of the rebuilt conversations."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality_model": op9_quality_model,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_licences": op11_licences,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_phrases": op13_phrases,
 }

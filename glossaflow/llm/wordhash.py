@@ -76,15 +76,16 @@ class Words:
         return len(self.row)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, breaks: bytes = b"", accents: bool = False) -> Words:
-    """The words of rows lo to hi. fold: A-Z count as a-z; accents: so do U+00C0 to U+00DE. breaks: more bytes that end words."""
+def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: bool = True, breaks: bytes = b"", accents: bool = False, letters: np.ndarray | None = None) -> Words:
+    """The words of rows lo to hi. fold: A-Z count as a-z; accents: so do U+00C0 to U+00DE. breaks: more bytes that end words.
+    letters: by byte, what words are made of, in place of all but white space."""
     base = int(offsets[lo])
     raw = data[base : int(offsets[hi])]
     text = LOWER[raw] if fold else raw
     if accents and len(raw):
         wide = np.append(False, raw[:-1] == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
         text[wide] += 32
-    inside = ~SPACE[text]
+    inside = ~SPACE[text] if letters is None else letters[text]
     for b in breaks:
         inside &= text != b
     n = len(text)
