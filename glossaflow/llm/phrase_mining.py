@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import only, stored
+from .common import arrow_rows, only, stored
 from .wordhash import LOWER, column_buffers, mix, slices, words
 
 LEAST_COUNT = 10
@@ -32,7 +32,9 @@ LEAST_COUNT = 10
 PERCENT = 50
 MOST_PHRASES = 2000
 #: Bytes of text to a shard; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Texts to an Arrow batch that a task reads.
+TEXTS = 500
 #: Rows to an Arrow batch that a task gives.
 ROWS = 1 << 16
 #: Positions of the first words that are followed at once.
@@ -261,10 +263,13 @@ def counted(df: DataFrame, least: int = LEAST_COUNT, text_col: str = "text", lan
     texts = only(df, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
     # words and pairs that fall together by their hash only add to each other, so none that reaches `least` is lost
     keys = texts.mapInArrow(_sums, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-    bitmap = df.sparkSession.sparkContext.broadcast(linkage.bloom(stored(keys), "key"))  # 32 MB at most
+    with arrow_rows(df.sparkSession, TEXTS):
+        keys = stored(keys)
+    bitmap = df.sparkSession.sparkContext.broadcast(linkage.bloom(keys, "key"))  # 32 MB at most
     found = texts.mapInArrow(_mined(bitmap), "lang string, k int, phrase string, n bigint")
-    found = found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return stored(found.where((F.col("n") >= least) | (F.col("k") == 0)))
+    found = found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
+    with arrow_rows(df.sparkSession, TEXTS):
+        return stored(found)
 
 
 def _parts(lang_phrase: DataFrame) -> DataFrame:
