@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 USAGES = ("pending", "display", "dual", "protected", "excluded")
 FIXED_HINTS = ("display", "protected", "excluded")
 CATEGORIES = ("person", "place", "special")
@@ -129,9 +131,9 @@ def batches(items: DataFrame, size: int = 300, order: str = "seq") -> DataFrame:
 
     Rows are numbered by range partitions and the counts of the partitions before, not by one task.
     """
-    # a fixed number of ranges, which adaptive execution leaves alone, so both uses below number them alike
     parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = items.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    # checkpointed, as ranges that are drawn anew after a lost executor may have other bounds
+    ordered = checkpoint(items.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
     counted = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
@@ -231,23 +233,29 @@ def quarantined(items: DataFrame, quarantine: DataFrame, reports: DataFrame, wor
     return changed.select(*items.columns), quarantine.unionByName(fresh)
 
 
-def import_rows(items: DataFrame, rows: DataFrame, quarantine: DataFrame, allow_dual: bool, extra_tokens: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(items, report) after rows (source, usage, reason, target): decisions first, then valid targets of released items.
+def import_rows(
+    items: DataFrame, rows: DataFrame, quarantine: DataFrame, allow_dual: bool, now: float, extra_tokens: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(items, report) after rows (seq, source, usage, reason, target): decisions first, then valid targets of released items.
 
-    The report has applied, rejected and unknown counts in one row.
+    Rows hold in the order of seq, so of several for one source the last decision and the last valid target stay. A null or empty usage is
+    no decision, a null or empty reason is `imported`, a null target none; a decision that breaks a rule rejects the batch. Items with a
+    new target lose their lease and have `now` as updated. The report is one row: usage_applied, applied and rejected (targets of
+    known sources, valid or not, whether released or not) and unknown (rows without an item).
     """
     from ..functions import text
 
     known = rows.join(items.select("id", "source"), "source")
-    decided = known.where("usage IS NOT NULL")
-    after = apply_decisions(items, decided.select("id", "usage", "reason"), quarantine, allow_dual)
-    targets = known.where("target IS NOT NULL").select("id", "source", F.col("target").alias("new"))
+    decided = known.where("usage <> ''").select("id", "usage", F.expr("coalesce(nullif(reason, ''), 'imported') AS reason"), "seq")
+    after = apply_decisions(items, decided, quarantine, allow_dual)
+    targets = known.where("target IS NOT NULL").select("id", "source", F.col("target").alias("new"), "seq")
     judged = targets.withColumn("ok", F.size(text.target_errors(F.col("source"), F.col("new"), extra_tokens)) == 0)
-    good = judged.where("ok").groupBy("id").agg(F.max("new").alias("new"))  # of several the last by text
+    good = judged.where("ok").groupBy("id").agg(F.max_by("new", "seq").alias("new"))
     joined = after.join(good, "id", "left")
     use = F.col("released") & F.col("new").isNotNull()
-    out = joined.withColumn("target", F.when(use, F.col("new")).otherwise(F.col("target")))
+    out = joined.withColumn("target", F.when(use, F.col("new")).otherwise(F.col("target"))).withColumn("updated", F.when(use, F.lit(float(now))).otherwise(F.col("updated")))
     for c in ("worker", "lease", "expires"):
         out = out.withColumn(c, F.when(~use, F.col(c)))
-    report = judged.agg(F.count_if("ok").alias("applied"), F.count_if(~F.col("ok")).alias("rejected")).crossJoin(unknown_sources(rows, items).agg(F.count("*").alias("unknown")))
+    counts = judged.agg(F.count_if("ok").alias("applied"), F.count_if(~F.col("ok")).alias("rejected"))
+    report = decided.agg(F.count("*").alias("usage_applied")).crossJoin(counts).crossJoin(unknown_sources(rows, items).agg(F.count("*").alias("unknown")))  # one row each
     return out.select(*items.columns), report

@@ -456,15 +456,39 @@ def release_lease(spark, sf_dir):
     return leasing.release(leased_items(spark, sf_dir), "w3", "l1").select("id", "worker")
 
 
-@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}
-    SELECT h.id, CASE WHEN h.usage = 'pending' THEN 'display' ELSE h.usage END AS usage, h.released OR h.usage = 'pending' AS released,
-           CASE WHEN (h.released OR h.usage = 'pending') AND trim(h.source) <> '' AND h.seq % 2 = 0 THEN h.source ELSE h.target END AS target FROM held h""")
+IMPORT_SQL = f"""
+    rows AS (SELECT doc_id AS seq, substr(sha1(text), 1, 16) AS id, text AS s, text || ' v' || doc_id AS t,
+                    CASE doc_id % 4 WHEN 0 THEN 'display' WHEN 1 THEN '' WHEN 3 THEN 'excluded' END AS usage, CASE doc_id % 3 WHEN 0 THEN 'row ' || doc_id WHEN 1 THEN '' END AS reason,
+                    doc_id % 2 = 0 AS given FROM documents WHERE text IS NOT NULL),
+    decided AS (SELECT id, arg_max(usage, seq) AS usage, arg_max(coalesce(nullif(reason, ''), 'imported'), seq) AS reason FROM rows WHERE usage <> '' GROUP BY 1),
+    judged AS (SELECT id, t, seq, trim(t) <> '' AND {TOKENS_SQL.format("s")} = {TOKENS_SQL.format("t")} AND NOT {EDGES_SQL.format("s", "t")} AS ok FROM rows WHERE given),
+    good AS (SELECT id, arg_max(t, seq) AS t FROM judged WHERE ok GROUP BY 1),
+    after AS (SELECT h.*, d.id IS NOT NULL AS changed, coalesce(d.usage, h.usage) AS usage_, coalesce(d.reason, 'adapter:' || surface) AS reason_, CASE WHEN d.id IS NULL THEN h.released ELSE d.usage = 'display' END AS released_, g.t
+              FROM held h JOIN firsts USING (source) LEFT JOIN decided d ON d.id = h.id LEFT JOIN good g ON g.id = h.id)
+"""
+
+
+def import_tables(spark, sf_dir):
+    """Items with leases, and rows for every document: decisions, reasons and targets come and lack by turns, copies of a text bring several."""
+    usage = "CASE doc_id % 4 WHEN 0 THEN 'display' WHEN 1 THEN '' WHEN 3 THEN 'excluded' END AS usage"
+    reason = "CASE doc_id % 3 WHEN 0 THEN concat('row ', doc_id) WHEN 1 THEN '' END AS reason"
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = docs.selectExpr("doc_id AS seq", "text AS source", usage, reason, "CASE WHEN doc_id % 2 = 0 THEN concat(text, ' v', doc_id) END AS target")
+    return catalog.import_rows(leased_items(spark, sf_dir), rows, no_quarantine(spark), False, 1000.0)
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, {IMPORT_SQL}
+    SELECT id, usage_ AS usage, CASE WHEN changed OR usage_ <> 'pending' THEN reason_ END AS reason, released_ AS released, md5(CASE WHEN released_ AND t IS NOT NULL THEN t ELSE target END) AS target_md5,
+           CASE WHEN released_ AND t IS NOT NULL OR (changed AND NOT released_ AND target IS NULL) THEN NULL ELSE worker END AS worker, CASE WHEN released_ AND t IS NOT NULL THEN 1000.0::DOUBLE END AS updated FROM after""")
 def import_rows(spark, sf_dir):
-    """Decisions for all pending items, and their own texts as translations of every second item."""
-    items = leased_items(spark, sf_dir)
-    rows = items.select("source", F.expr("CASE WHEN usage = 'pending' THEN 'display' END AS usage"), F.lit("import").alias("reason"), F.expr("CASE WHEN seq % 2 = 0 THEN source END AS target"))
-    after, _ = catalog.import_rows(items, rows, no_quarantine(spark), False)
-    return after.select("id", "usage", "released", "target")
+    after, _ = import_tables(spark, sf_dir)
+    return after.select("id", "usage", "reason", "released", F.md5(F.col("target").cast("binary")).alias("target_md5"), "worker", "updated")
+
+
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, {IMPORT_SQL}
+    SELECT (SELECT count(*) FROM rows WHERE usage <> '')::BIGINT AS usage_applied, count_if(ok)::BIGINT AS applied, count_if(NOT ok)::BIGINT AS rejected, 0::BIGINT AS unknown FROM judged""")
+def import_report(spark, sf_dir):
+    return import_tables(spark, sf_dir)[1]
 
 
 @query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, t AS (SELECT count_if(usage = 'pending') AS a, count_if(released AND target IS NULL) AS b FROM held)

@@ -94,6 +94,24 @@ def test_glossary_and_quarantine(spark, world):
     assert not by_source(after, "released")["second one"] and [r["reason"] for r in held.collect()] == ["unclear"]
 
 
+IMPORT = "seq BIGINT, source STRING, usage STRING, reason STRING, target STRING"
+
+
+def test_import_holds_the_last_row(spark, world):
+    _, items, _, none = world
+    first, second, *_ = [r["source"] for r in items.orderBy("seq").collect()]
+    rows = [(4, first, "display", "aaa last", "last"), (1, first, "excluded", "z first", "zzz first"), (2, first, "", None, " bad "), (3, second, "display", None, None), (5, second, None, "no decision", "x"), (6, "unknown", "display", "r", "t")]
+    after, report = catalog.import_rows(items, spark.createDataFrame(rows, IMPORT), none, False, 77.0)
+    got = {r["source"]: r for r in after.collect()}
+    assert (got[first]["usage"], got[first]["reason"], got[first]["target"], got[first]["updated"]) == ("display", "aaa last", "last", 77.0)
+    assert (got[second]["reason"], got[second]["target"]) == ("imported", "x")
+    assert report.first().asDict() == {"usage_applied": 3, "applied": 3, "rejected": 1, "unknown": 1}
+    with pytest.raises(catalog.Rejected):
+        catalog.import_rows(items, spark.createDataFrame([(1, first, "display", "  ", None)], IMPORT), none, False, 77.0)
+    same, empty = catalog.import_rows(items, spark.createDataFrame([], IMPORT), none, False, 77.0)
+    assert same.count() == items.count() and set(empty.first()) == {0}
+
+
 def test_residual_scan(spark):
     texts = spark.createDataFrame([(1, "設定"), (2, "ボス"), (3, "plain"), (4, "名：設定"), (5, " "), (6, "デバッグ x")], "seq BIGINT, text STRING")
     known = spark.createDataFrame([("設定",), ("x",)], "source STRING")
