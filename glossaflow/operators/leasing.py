@@ -28,25 +28,33 @@ def reclaim(items: DataFrame, now: float) -> DataFrame:
     return _set(items, ended, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double"))
 
 
+def pick(items: DataFrame, worker: str, limit: int = MOST_ITEMS) -> tuple[DataFrame, str | None]:
+    """(rows, lease) that a claim gives out: a worker's open rows, whatever the limit, and their lease, else up to `limit` free ones in
+    order and none. Ended leases must have been taken back."""
+    if not WORKER.fullmatch(worker) or not 1 <= limit <= MOST_ITEMS:
+        raise Rejected("invalid worker or limit")
+    waiting = items.where("released AND target IS NULL")
+    own = waiting.where(F.col("worker") == worker)
+    first = own.orderBy("seq").select("lease").head()
+    return (own, first["lease"]) if first else (waiting.where("worker IS NULL").orderBy("seq").limit(limit), None)
+
+
+def mark(items: DataFrame, ids: DataFrame, worker: str, lease: str, now: float) -> DataFrame:
+    """items with the rows of the ids leased to a worker from now on."""
+    marked = items.join(ids.select("id").withColumn("_mine", F.lit(True)), "id", "left")
+    return _set(marked, F.col("_mine").isNotNull(), F.lit(worker), F.lit(lease), F.lit(now + LEASE_SECONDS)).select(*items.columns)
+
+
 def claim(items: DataFrame, refs: DataFrame, worker: str, lease: str, now: float, limit: int = MOST_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(items, batch): a worker's open rows with a fresh expiry, whatever the limit, else up to `limit` free ones in order.
 
     lease is used for a new batch; open rows keep the one they have. batch: (id, source, refs, lease, expires).
     """
-    if not WORKER.fullmatch(worker) or not 1 <= limit <= MOST_ITEMS:
-        raise Rejected("invalid worker or limit")
     current = reclaim(items, now)
-    waiting = current.where("released AND target IS NULL")
-    own = waiting.where(F.col("worker") == worker)
-    first = own.orderBy("seq").select("lease").head()
-    chosen = own if first else waiting.where("worker IS NULL").orderBy("seq").limit(limit)
-    lease = first["lease"] if first else lease
-    ids = chosen.select("id").withColumn("_mine", F.lit(True))
-    marked = current.join(ids, "id", "left")
-    end = F.lit(now + LEASE_SECONDS)
-    after = _set(marked, F.col("_mine").isNotNull(), F.lit(worker), F.lit(lease), end).select(*items.columns)
-    batch = with_refs(chosen.select("seq", "id", "source"), refs, 4).select("seq", "id", "source", "refs", F.lit(lease).alias("lease"), end.alias("expires"))
-    return after, batch.orderBy("seq").drop("seq")
+    chosen, held = pick(current, worker, limit)
+    lease = held or lease
+    batch = with_refs(chosen.select("seq", "id", "source"), refs, 4).select("seq", "id", "source", "refs", F.lit(lease).alias("lease"), F.lit(now + LEASE_SECONDS).alias("expires"))
+    return mark(current, chosen, worker, lease, now), batch.orderBy("seq").drop("seq")
 
 
 def remaining(items: DataFrame) -> DataFrame:

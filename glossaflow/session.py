@@ -41,3 +41,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that the cluster names."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+class Files:
+    """Whole files and folders on whatever file system a path names, by the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._system = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._system.exists(self._path(path))
+
+    def folder(self, path: str) -> None:
+        self._system.mkdirs(self._path(path))
+
+    def mark(self, path: str) -> None:
+        """An empty file; one that is there already is an error."""
+        self._system.create(self._path(path), False).close()
+
+    def remove(self, path: str) -> None:
+        self._system.delete(self._path(path), True)
+
+    def names(self, path: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._system.listStatus(self._path(path))) if self.exists(path) else []
