@@ -112,8 +112,6 @@ def screen_lines(recognised: DataFrame, least: int = 2) -> DataFrame:
     return recognised.where(F.regexp_count("text", F.lit(r"[ぁ-ヿ㐀-鿿가-힯]|[A-Za-z]{2,}")) >= least)
 
 
-def checksums(files: DataFrame, root: str) -> DataFrame:
-    """(value): lines "sha256  path" of a binaryFile scan, by path."""
-    from .quality import record_manifest
-
-    return record_manifest(files, root).orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("value"))
+def checksums(manifest: DataFrame) -> DataFrame:
+    """(value): lines "sha256  path" of a manifest (path, sha256), by path."""
+    return manifest.orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("value"))

@@ -134,13 +134,6 @@ def manifest_diff(expected: DataFrame, actual: DataFrame, deep: bool = False, ex
     return a.join(b, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def record_manifest(files: DataFrame, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, size, mtime_ns, sha256) of a binaryFile scan; paths are relative to root, times to the microsecond."""
-    relative = F.regexp_replace(F.col("path"), f"^(?:[a-z]+:/*)?/?{root.strip('/')}/", "")
-    named = files.select(relative.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"))
-    return named.where(~text.matches_any(F.col("path"), exclude)) if exclude else named
-
-
 def invalid_targets(items: DataFrame, extra_tokens: tuple[str, ...] = ()) -> DataFrame:
     """Released items whose translation breaks a format rule, with its errors."""
     held = items.where("released AND target IS NOT NULL")
