@@ -232,13 +232,15 @@ def utf16_with_mark(text: Column) -> Column:
 
 
 def decode_script(content: Column, code_page: str = "cp932") -> Column:
-    """UTF-16 with its mark, else UTF-8 with or without its mark, else the code page; null where none holds."""
-    wide = F.substring(content, 1, 2) == F.lit(bytes.fromhex("FFFE"))
+    """UTF-16 of the byte order that its mark tells, else UTF-8 with or without its mark, else the code page; null where none holds."""
+    little, big = (F.substring(content, 1, 2) == F.lit(bytes.fromhex(m)) for m in ("FFFE", "FEFF"))
+    wide = little | big
     utf8 = F.try_validate_utf8(content.cast("string"))
     plain = F.regexp_replace(utf8, "^﻿", "")
     # Spark's own decode knows no legacy code pages; only rows in one reach Python, in Arrow batches
     legacy = F.when(utf8.isNull() & ~wide, content)
-    return F.when(wide, F.decode(content.substr(F.lit(3), F.octet_length(content)), "UTF-16LE")).otherwise(F.coalesce(plain, _code_page_text(code_page)(legacy)))
+    rest = content.substr(F.lit(3), F.octet_length(content))
+    return F.when(little, F.decode(rest, "UTF-16LE")).when(big, F.decode(rest, "UTF-16BE")).otherwise(F.coalesce(plain, _code_page_text(code_page)(legacy)))
 
 
 def _code_page_text(code_page: str):

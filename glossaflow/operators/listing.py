@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Scripts that are written without spaces.
+EAST_ASIAN = "[\u3000-\u30ff\u3400-\u9fff\uff00-\uffef]"
 ACTIVE = ("running", "pausing", "paused", "cancelling")
 
 
@@ -107,6 +109,25 @@ def read_dictionary(lines: DataFrame) -> DataFrame:
     return sides.select(text.unescape_entry(F.col("left")).alias("source"), text.unescape_entry(F.col("right")).alias("target"))
 
 
+def read_recognised(lines: DataFrame) -> DataFrame:
+    """(file, place, text, error) of recognition results, one JSON object a line (value): {file, lines} gives a row for each line, in which a
+    space between East Asian characters goes, {file, error} one row. Blank lines are skipped; one that is neither is an error `unreadable`."""
+    value = F.regexp_replace("value", "^\ufeff", "")
+    seen = lines.where(~text.is_blank(value)).select(F.from_json(value, "file STRING, lines ARRAY<STRING>, error STRING").alias("x"), F.schema_of_variant(F.try_parse_json(value)).alias("kind"))
+    seen = seen.select("x.*", F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)).alias("known"))
+    error = F.when(~F.col("known") | (F.col("lines").isNull() & F.col("error").isNull()), "unreadable").otherwise(F.col("error"))
+    seen = seen.select("file", error.alias("error"), F.posexplode_outer(F.when(error.isNull(), F.col("lines"))).alias("place", "text"))
+    shown = seen.where("error IS NOT NULL OR text IS NOT NULL")
+    return shown.select("file", "place", F.regexp_replace("text", f"(?<={EAST_ASIAN}) (?={EAST_ASIAN})", "").alias("text"), "error")
+
+
+def recognition_report(recognised: DataFrame, residuals: DataFrame) -> DataFrame:
+    """One row: errors, lines with enough words, residuals, and whether a scan of them says nothing, as there are no lines."""
+    lines = screen_lines(recognised.where("error IS NULL")).agg(F.count("*").alias("n_lines"))
+    counts = recognised.agg(F.count("error").alias("n_errors")).crossJoin(lines).crossJoin(residuals.agg(F.count("*").alias("n_residuals")))  # one row each
+    return counts.withColumn("says_nothing", F.col("n_lines") == 0)
+
+
 def screen_lines(recognised: DataFrame, least: int = 2) -> DataFrame:
     """Recognised lines (text) with at least so many word units: a character of an East Asian script, or two Latin letters or more."""
     return recognised.where(F.regexp_count("text", F.lit(r"[ぁ-ヿ㐀-鿿가-힯]|[A-Za-z]{2,}")) >= least)
