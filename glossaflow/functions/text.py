@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -244,16 +245,13 @@ def decode_script(content: Column, code_page: str = "cp932") -> Column:
 
 
 def _code_page_text(code_page: str):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def one(raw) -> str | None:
         try:
             return None if raw is None else bytes(raw).decode(code_page)
         except UnicodeDecodeError:
             return None
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
         return column.map(one)
 

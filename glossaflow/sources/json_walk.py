@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_candidate, strip
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint
 
 # Display fields of the engine's data files.
 DATABASE_FIELDS = {
@@ -24,7 +24,8 @@ SYSTEM_LISTS = ("elements", "skillTypes", "weaponTypes", "armorTypes", "equipTyp
 TERM_LISTS = ("basic", "commands", "params")
 #: Command codes, the parameter that holds the text, the context's name and the kind.
 COMMANDS = ((401, 0, "event:401", "text"), (405, 0, "event:405", "text"), (320, 1, "event:320", "text"), (324, 1, "event:324", "text"), (325, 1, "event:325", "text"), (101, 4, "event:101:speaker", "name"), (402, 1, "event:402:choice-branch", "text"))
-MOST_LEVELS = 64
+#: Levels that one pass goes down.
+LEVELS = 8
 
 
 def parsed(text: Column) -> Column:
@@ -32,31 +33,42 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(F.regexp_replace(text, "^﻿", ""))
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """(file, path, kind, text) of every scalar of documents (file, value VARIANT); path is keys and places joined by /.
+def _walked(docs: DataFrame, start: str, down: str) -> DataFrame:
+    """(file, path, value, kind) of every scalar and every empty object or array of documents (file, value VARIANT).
 
-    All documents go one level down at a time, so the rounds are as many as the deepest document has levels. Each level is
-    checkpointed, so none is computed twice.
+    start is the path of a document, down what a part `e` (key, pos) makes of its holder's path. A round goes LEVELS levels down in one pass
+    over the rows: what has parts gives a row for each, a scalar stays as it is. Only rows that still have parts after that go into
+    another round, so documents of any depth are walked, and flat ones take one pass.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    level = docs.select("file", F.lit("").alias("path"), "value")
-    out = None
-    for _ in range(MOST_LEVELS):
-        kind = F.schema_of_variant("value")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.where(~inner).select("file", "path", kind.alias("kind"), F.variant_get("value", "$", "string").alias("text"))
+    rows, out = docs.select("file", F.expr(start).alias("path"), "value"), None
+    while True:
+        for _ in range(LEVELS):
+            # the frame is an argument of the query, so no view of the session is overwritten
+            rows = docs.sparkSession.sql(
+                f"SELECT file, CASE WHEN e.value IS NULL THEN path ELSE {down} END AS path, coalesce(e.value, h.value) AS value FROM {{held}} h, LATERAL variant_explode_outer(h.value) e", held=rows
+            )
+        rows = checkpoint(rows.where("value IS NOT NULL").withColumn("kind", F.schema_of_variant("value")))
+        inner = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        # nulls alone have the same kind as nothing
+        empty = F.col("kind").isin("OBJECT<>", "ARRAY<VOID>") & F.to_json("value").isin("{}", "[]")
+        flat = rows.where(~inner | empty)
         out = flat if out is None else out.unionByName(flat)
-        held = level.where(inner)
-        # the frame is an argument of the query, so no view of the session is overwritten
-        level = docs.sparkSession.sql(
-            "SELECT file, concat(path, '/', coalesce(e.key, cast(e.pos AS STRING))) AS path, e.value AS value FROM {held} h, LATERAL variant_explode(h.value) e", held=held
-        )
-        level = level.checkpoint()
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"documents of more than {MOST_LEVELS} levels")
-    return out.withColumn("path", F.substring("path", 2, 1 << 30))
+        rows = rows.where(inner & ~empty).select("file", "path", "value")
+        if rows.isEmpty():
+            return out
+
+
+def leaves(docs: DataFrame) -> DataFrame:
+    """(file, path, kind, text) of every scalar of documents (file, value VARIANT); path is keys and places joined by /."""
+    found = _walked(docs, "''", "concat(path, '/', coalesce(e.key, cast(e.pos AS STRING)))").where("NOT (kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%')")
+    return found.select("file", F.substring("path", 2, 1 << 30).alias("path"), "kind", F.variant_get("value", "$", "string").alias("text"))
+
+
+def steps(docs: DataFrame) -> DataFrame:
+    """(file, path, json) of every scalar and every empty object or array: path is an array of (key, pos), one of them null; json is the value's text."""
+    step = "named_struct('key', e.key, 'pos', e.pos)"
+    found = _walked(docs, "cast(array() AS ARRAY<STRUCT<key: STRING, pos: INT>>)", f"concat(path, array({step}))")
+    return found.select("file", "path", F.to_json("value").alias("json"))
 
 
 def string_leaves(docs: DataFrame, lang: str | None = None) -> DataFrame:
