@@ -66,7 +66,7 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 def steps(docs: DataFrame) -> DataFrame:
     """(file, path, json) of every scalar and every empty object or array: path is an array of (key, pos), one of them null; json is the value's text."""
-    step = "named_struct('key', e.key, 'pos', e.pos)"
+    step = "named_struct('key', e.key, 'pos', CASE WHEN e.key IS NULL THEN e.pos END)"
     found = _walked(docs, "cast(array() AS ARRAY<STRUCT<key: STRING, pos: INT>>)", f"concat(path, array({step}))")
     return found.select("file", "path", F.to_json("value").alias("json"))
 

@@ -63,8 +63,8 @@ def plain_merge(base, over):
 
 
 def test_merge(spark):
-    base = [*values(), {"a": {"b": 1}}, {"a": 1}, {"a": {}}, {"a": {}}, {"a": {"b": 1}}, {"a": [1, 2]}, {"a": {"x": 1}}, {}, {"a": 1}]
-    over = [*values()[::-1], {"a": 5}, {"a": {"b": 2}}, {"a": {}}, {"a": {"c": 1}}, {"a": {}}, {"a": [3]}, {"a": []}, {"a": 1}, {}]
+    base = [*values(), {"a": {"b": 1}}, {"a": 1}, {"a": {}}, {"a": {}}, {"a": {"b": 1}}, {"a": [1, 2]}, {"a": {"x": 1}}, {}, {"a": 1}, {"a": {"l": 1, "n": 2}}]
+    over = [*values()[::-1], {"a": 5}, {"a": {"b": 2}}, {"a": {}}, {"a": {"c": 1}}, {"a": {}}, {"a": [3]}, {"a": []}, {"a": 1}, {}, {"a": {"n": 3}}]
     found = json_build.merge_documents(frame(spark, base), frame(spark, over))
     assert {r["file"]: json.loads(r["text"]) for r in found.collect()} == {i: plain_merge(b, o) for i, (b, o) in enumerate(zip(base, over, strict=True))}
     one = json_build.merge_documents(frame(spark, [1, {"a": 2}]), frame(spark, [{}]).where("file < 0"))
