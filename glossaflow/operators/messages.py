@@ -8,15 +8,16 @@ pass of a Rewriter, which holds the rules (counted to fit, see Rewriter) in ever
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PRINTF, located, put_back, strip, two_characters
+from ..functions.text import PRINTF, strip, two_characters
 from .catalog import Rejected
+from .display_forms import FORMS
 
 PLACEHOLDER = r"\{[^{}\n]+\}|" + PRINTF
 TAG = r"\[[^\]]*\]"
@@ -82,59 +83,17 @@ def _quoted(literal: Column) -> Column:
     return F.regexp_replace(literal, r"[\\.^$|?*+()\[\]{}]", r"\\$0")
 
 
-# Aliases: forms in which a game shows a pair after its own mark-up. Each makes (source, target) of (source, target).
-MARKUP = r"\*\*.+?\*\*|\[\[.+?\]\]|\(\(.+?\)\)"
-QUOTED = "「[^」]*」|“[^”]*”"
-NARRATION = "[color={__narration}]"
-
-
-def markup_alias(text: Column) -> Column:
-    """Emphasis as colour tags; colours and sizes are placeholders, numbered by the place of the emphasis in the text."""
-
-    def shown(found: Column, i: Column) -> Column:
-        body, n = F.substr(found["value"], F.lit(3), F.length(found["value"]) - 4), i.cast("string")
-        key = lambda what: F.concat(F.lit("{__style_"), n, F.lit(f"_{what}}}"))
-        ink = F.concat(F.lit("[color="), key("ink"), F.lit("]"))
-        boxed = F.concat(F.lit("[bgcolor="), key("bg"), F.lit("]"), ink, F.lit("[font_size="), key("size"), F.lit("] "), body, F.lit(" [/font_size][/color][/bgcolor]"))
-        put = F.when(found["value"].startswith("**"), F.concat(ink, body, F.lit("[/color]"))).otherwise(boxed)
-        return F.struct(found["start"].alias("start"), found["end"].alias("end"), put.alias("put"))
-
-    return put_back(text, F.transform(located(text, MARKUP), shown))
-
-
-def narration_alias(text: Column) -> Column:
-    """Texts with quoted speech: what stands outside the quotes of a line gets a colour tag."""
-    toned = lambda gap: F.when((gap == "") | gap.rlike("^[「“]"), gap).otherwise(F.concat(F.lit(NARRATION), gap, F.lit("[/color]")))
-
-    def line(x: Column) -> Column:
-        parts = F.zip_with(F.split(x, QUOTED, -1), F.regexp_extract_all(x, F.lit(QUOTED), F.lit(0)), lambda gap, quote: F.concat(toned(gap), F.coalesce(quote, F.lit(""))))
-        return F.concat_ws("", parts)
-
-    return F.when(text.rlike("[「“]"), F.concat_ws("\n", F.transform(F.split(text, "\n", -1), line))).otherwise(text)
-
-
-def _narration_pair(source: Column, target: Column) -> tuple[Column, Column]:
-    """The target's narration is coloured too; a target without any is coloured whole."""
-    one, other = narration_alias(source), narration_alias(target)
-    lacks = F.contains(one, F.lit(NARRATION)) & ~F.contains(other, F.lit(NARRATION))
-    return one, F.when(lacks, F.concat(F.lit(NARRATION), other, F.lit("[/color]"))).otherwise(other)
-
-
-ALIASES: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
-    "double_markup": lambda source, target: (markup_alias(source), markup_alias(target)),
-    "quote_narration": _narration_pair,
-}
 #: Ids of the pairs of one alias begin at multiples of this.
 ALIAS_STEP = 1 << 40
 
 
 def with_aliases(pairs: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
-    """pairs and, behind them, their forms under the named ALIASES where these change the source."""
-    if unknown := set(names) - set(ALIASES):
+    """pairs and, behind them, their forms under the named FORMS where these change the source."""
+    if unknown := set(names) - set(FORMS):
         raise Rejected(f"unknown aliases: {sorted(unknown)}")
     out = pairs.select("pair_id", "source", "target")
     for n, name in enumerate(names, 1):
-        source, target = ALIASES[name](F.col("source"), F.col("target"))
+        source, target = FORMS[name].pair(F.col("source"), F.col("target"))
         more = pairs.select((F.col("pair_id") + n * ALIAS_STEP).alias("pair_id"), source.alias("alias"), target.alias("target"), "source").where("alias <> source")
         out = out.unionByName(more.select("pair_id", F.col("alias").alias("source"), "target"))
     return out
@@ -373,34 +332,3 @@ def rewrite(texts: DataFrame, pairs: DataFrame, aliases: tuple[str, ...] = (), p
             yield b.assign(target=[None if t is None else of(t) for t in b["text"]])
 
     return texts.select("seq", "text").mapInPandas(run, "seq BIGINT, text STRING, target STRING")
-
-
-def rule_matches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(seq, rule_id, start, end, groups, specificity) of all matches of the rules whose anchor a text (seq, text) has."""
-    shared = texts.sparkSession.sparkContext.broadcast(rewriter(pairs))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
-        for b in batches:
-            found = []
-            for seq, text in zip(b["seq"], b["text"], strict=True):
-                for n in of.tried(text):
-                    pattern, _, weight, _ = of.rules[n]
-                    found += [(seq, n, m.start(), m.end(), list(m.groups()), weight) for m in re.finditer(pattern, text) if m.end() > m.start()]
-            yield pd.DataFrame(found, columns=["seq", "rule_id", "start", "end", "groups", "specificity"])
-
-    schema = "seq BIGINT, rule_id BIGINT, start INT, end INT, groups ARRAY<STRING>, specificity INT"
-    return texts.where("text IS NOT NULL").select("seq", "text").mapInPandas(run, schema)
-
-
-def leftmost_longest(spans: Column) -> Column:
-    """Of spans (start, end, specificity, n_groups, rule_id, ...) those chosen from the left: least start, greatest end, greatest
-    specificity, fewest groups, least rule id; a span that overlaps a chosen one is passed over."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["specificity"]).alias("c"), s["n_groups"].alias("d"), s["rule_id"].alias("e"), s.alias("span")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["span"])
-
-    def take(chosen: Column, s: Column) -> Column:
-        free = (F.size(chosen) == 0) | (F.element_at(chosen, -1)["end"] <= s["start"])
-        return F.when(free, F.concat(chosen, F.array(s))).otherwise(chosen)
-
-    return F.aggregate(ordered, F.slice(spans, 1, 0), take)

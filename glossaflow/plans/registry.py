@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalog, leasing, listing, messages, quality
+from ..operators.display_forms import FORMS
 from ..session import table
 from ..sources import json_walk, scripts
 
@@ -331,11 +332,20 @@ def template_rewrite(spark, sf_dir):
     return messages.rewrite(texts, pairs).select("seq", "target")
 
 
-@query("""SELECT doc_id AS seq, 'a [color={__style_0_ink}]' || lang || '[/color] [bgcolor={__style_1_bg}][color={__style_1_ink}][font_size={__style_1_size}] ' || source
-      || ' [/font_size][/color][/bgcolor]' AS markup, '[color={__narration}]' || lang || '[/color]「' || source || '」' AS narration FROM documents""")
+@query(r"""WITH plain AS (SELECT doc_id AS seq, translate(text, '*[(「“', '') AS t FROM documents WHERE text IS NOT NULL),
+    marked AS (SELECT seq, string_split(regexp_replace(t, ' (and|the|und|que|de) ', ' **\1** ', 'g'), '**') AS parts, string_split(regexp_replace(t, ' (in|of|die|es|en) ', ' 「\1」 ', 'g'), chr(10)) AS lines FROM plain),
+    told AS (SELECT seq, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM marked),
+    toned AS (SELECT seq, string_agg(array_to_string(list_transform(string_split_regex(line, '「[^」]*」'), lambda g, i: CASE WHEN g = '' THEN '' ELSE '[color={__narration}]' || g || '[/color]' END || coalesce(regexp_extract_all(line, '「[^」]*」')[i], '')), ''), chr(10) ORDER BY k) AS t,
+              bool_or(contains(line, '「')) AS quoted, string_agg(line, chr(10) ORDER BY k) AS bare FROM told GROUP BY seq)
+    SELECT seq, md5(array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 THEN '[color={__style_' || (i // 2 - 1)::BIGINT || '_ink}]' || x || '[/color]' ELSE x END), '')) AS markup_md5,
+           md5(CASE WHEN quoted THEN toned.t ELSE bare END) AS narration_md5 FROM marked JOIN toned USING (seq)""")
 def display_aliases(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "concat('a **', lang, '** [[', source, ']]') AS m", "concat(lang, '「', source, '」') AS q")
-    return docs.select("seq", messages.markup_alias(F.col("m")).alias("markup"), messages.narration_alias(F.col("q")).alias("narration"))
+    """Whole texts with frequent words emphasised or quoted, as the game shows them."""
+    plain = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.translate("text", "*[(「“", "").alias("t"))
+    marked = F.regexp_replace("t", " (and|the|und|que|de) ", " **$1** ")
+    quoted = F.regexp_replace("t", " (in|of|die|es|en) ", " 「$1」 ")
+    shown = {f"{n}_md5": FORMS[f].shown(c) for n, f, c in (("markup", "double_markup", marked), ("narration", "quote_narration", quoted))}
+    return plain.select("seq", *[F.md5(c.cast("binary")).alias(n) for n, c in shown.items()])
 
 
 @query("""WITH t AS (SELECT doc_id AS seq, unnest(['{a}', '%d', '{name}'] || list_transform(range(doc_id % 4), lambda i: '{a}') || ['%d']) AS token,

@@ -1,9 +1,12 @@
+import itertools
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text
-from glossaflow.operators import messages
+from glossaflow.operators import display_forms, messages
 from glossaflow.sources import json_walk, scripts
 
 
@@ -150,13 +153,13 @@ def test_running_sums_and_edits(spark):
 
 
 def test_aliases(spark):
-    assert one(spark, messages.markup_alias, "a **b** [[c]]((d))") == (
+    assert one(spark, display_forms.FORMS["double_markup"].shown, "a **b** [[c]]((d))") == (
         "a [color={__style_0_ink}]b[/color] [bgcolor={__style_1_bg}][color={__style_1_ink}][font_size={__style_1_size}] c [/font_size][/color][/bgcolor]"
         "[bgcolor={__style_2_bg}][color={__style_2_ink}][font_size={__style_2_size}] d [/font_size][/color][/bgcolor]"
     )
-    tone = messages.NARRATION
-    assert one(spark, messages.narration_alias, "x「y」z\n“q”") == f"{tone}x[/color]「y」{tone}z[/color]\n“q”"
-    assert one(spark, messages.narration_alias, "plain") == "plain"
+    tone = "[color={__narration}]"
+    assert one(spark, display_forms.FORMS["quote_narration"].shown, "x「y」z\n“q”") == f"{tone}x[/color]「y」{tone}z[/color]\n“q”"
+    assert one(spark, display_forms.FORMS["quote_narration"].shown, "plain") == "plain"
     pairs = spark.createDataFrame([(0, "a **b**", "A **B**"), (1, "plain", "Plain"), (2, "he「hi」", "no quotes")], "pair_id BIGINT, source STRING, target STRING")
     got = {(r["pair_id"] // messages.ALIAS_STEP, r["target"]) for r in messages.with_aliases(pairs, ("double_markup", "quote_narration")).where("pair_id > 9").collect()}
     assert got == {(1, "A [color={__style_0_ink}]B[/color]"), (2, f"{tone}no quotes[/color]")}
@@ -164,6 +167,31 @@ def test_aliases(spark):
     assert messages.rewrite(shown, pairs, ("double_markup",)).first()["target"] == "A [color=#fff]B[/color]"
 
 
+def test_forms_equal_plain_functions(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["**", "[[", "]]", "((", "))", "「", "」", "“", "”", "a", "b c", "\n", "*"]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    box = "[bgcolor={__style_%d_bg}][color={__style_%d_ink}][font_size={__style_%d_size}] %s [/font_size][/color][/bgcolor]"
+
+    def emphasis(text):
+        places = itertools.count()
+
+        def put(m):
+            n = next(places)
+            return f"[color={{__style_{n}_ink}}]{m[0][2:-2]}[/color]" if m[0].startswith("**") else box % (n, n, n, m[0][2:-2])
+
+        return re.sub(r"\*\*.+?\*\*|\[\[.+?\]\]|\(\(.+?\)\)", put, text)
+
+    def narration(text):
+        if not set(text) & set("「“"):
+            return text
+        parts = [re.split("(「[^」]*」|“[^”]*”)", line) for line in text.split("\n")]
+        return "\n".join("".join(x if not x or x[0] in "「“" else "[color={__narration}]" + x + "[/color]" for x in line) for line in parts)
+
+    shown = {name: form.shown(F.col("t")) for name, form in display_forms.FORMS.items()}
+    for r in spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", *[c.alias(n) for n, c in shown.items()]).collect():
+        assert r["double_markup"] == emphasis(r["t"]) and r["quote_narration"] == narration(r["t"])
+
+
 def test_display_rewrite(spark):
     pairs = [
         ("剣", "Sword"), ("盾", "Shield"), ("炎の剣", "Flame Sword"), ("{name}は{item}を手に入れた", "{name} got {item}"), ("%d個", "%d pcs"), ("攻撃", "Attack"), ("剣・盾", "Arms"),
