@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, is_candidate, is_safe_literal, json_literal, located, put_back, strip, unescape_source
+from ..functions.text import base_name, is_candidate, is_safe_literal, json_literal, located, put_back, running_sums, strip, unescape_source
 
 # Tags, the attributes that hold text, and blocks of code in scenario scripts.
 TAG = r"\[[^\]\n]*\]"
@@ -38,13 +38,15 @@ def _stretches() -> str:
 
 def scenario_lines(texts: DataFrame) -> DataFrame:
     """(seq, line, body, code) of texts (seq, text): each line outside code, and each block of code as one row."""
+    feeds = lambda b: (F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    # all within the row of a file: how many lines stand before a stretch is a running sum over its stretches
+    numbered = lambda found: F.arrays_zip(found.alias("body"), running_sums(F.transform(found, feeds)).alias("line"))
     # a carriage return must not count as a line end to ^ and $
-    parts = texts.where("text <> ''").select("seq", F.posexplode(F.regexp_extract_all("text", F.lit("(?d)" + _stretches()), F.lit(0))).alias("n", "body"))
-    feeds = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1
-    before = F.sum(feeds).over(Window.partitionBy("seq").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = F.regexp_extract_all("text", F.lit("(?d)" + _stretches()), F.lit(0))
+    parts = texts.where("text <> ''").select("seq", F.explode(F.transform(F.array(stretches), numbered)[0]).alias("x")).select("seq", "x.line", "x.body")
     low = F.lower(strip(F.col("body")))
     opens = [low.startswith(o) & ~F.contains(F.substring_index(low, "\n", 1), F.lit(c)) for o, c in CODE]
-    return parts.select("seq", F.coalesce(before, F.lit(0)).cast("int").alias("line"), "body", reduce(lambda a, b: a | b, opens).alias("code"))
+    return parts.select("seq", "line", "body", reduce(lambda a, b: a | b, opens).alias("code"))
 
 
 def scenario_units(texts: DataFrame) -> DataFrame:
@@ -55,15 +57,18 @@ def scenario_units(texts: DataFrame) -> DataFrame:
     kind = F.when(F.col("bare").startswith("#"), "speaker").when(strip(F.regexp_replace("bare", TAG, "")) != "", "text")
     named = lines.select("seq", "line", "body", kind.alias("kind"), lead.alias("lead"), end.alias("end"))
     start = F.col("lead") + F.when(F.col("kind") == "speaker", 1).otherwise(0)
-    plain = named.where("kind IS NOT NULL").select("seq", "line", "kind", start.alias("start"), "end", F.substr("body", start + 1, F.col("end") - start).alias("source"))
-    tags = named.where("kind IS NULL").select("seq", "line", F.explode(located(F.col("body"), ATTRIBUTE)).alias("x"))
-    value = F.regexp_replace("x.value", r"^\w+\s*=\s*", "")
-    inner = F.when(value.rlike("^[\"']"), 1).otherwise(0)
-    attributes = tags.select(
-        "seq", "line", F.concat(F.lit("attr:"), F.regexp_extract("x.value", r"^\w+", 0)).alias("kind"), (F.col("x.end") - F.length(value) + inner).alias("start"),
-        (F.col("x.end") - inner).alias("end"), F.substr(value, inner + 1, F.length(value) - 2 * inner).alias("source"),
-    )
-    return plain.where("kind = 'text' OR trim(source) <> ''").unionByName(attributes)
+    unit = lambda kind, start, end, source: F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), source.alias("source"))
+    plain = unit(F.col("kind"), start, F.col("end"), F.substr("body", start + 1, F.col("end") - start))
+
+    def attribute(x: Column) -> Column:
+        value = F.regexp_replace(x["value"], r"^\w+\s*=\s*", "")
+        inner = F.when(value.rlike("^[\"']"), 1).otherwise(0)
+        name = F.concat(F.lit("attr:"), F.regexp_extract(x["value"], r"^\w+", 0))
+        return unit(name, x["end"] - F.length(value) + inner, x["end"] - inner, F.substr(value, inner + 1, F.length(value) - 2 * inner))
+
+    units = F.when(F.col("kind").isNotNull(), F.array(plain)).otherwise(F.transform(located(F.col("body"), ATTRIBUTE), attribute))
+    found = named.select("seq", "line", F.explode(units).alias("x")).select("seq", "line", "x.*")
+    return found.where("kind <> 'speaker' OR trim(source) <> ''")
 
 
 def string_literals(texts: DataFrame) -> DataFrame:
