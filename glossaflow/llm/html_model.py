@@ -1,7 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every element is a variable, content or not. Its own evidence is a sum of log odds of its features (tag, words of class,
-id and role, share of its text inside links, length of its text); parent and child are tied by a 2 by 2 potential.
+id and role, share of its text inside links, length of its text); parent and child are tied by a 2 by 2 potential, one for each kind of child:
+right below the page's body, a holder of other blocks, or a block of text. A box (a menu, a form, an advert, comments: by its tag, or by a word of
+its class, id or role) cannot be content wherever it stands, and nothing in it can, unless it holds the page's article or its first heading.
 Sum-product messages pass up from the leaves and down from the root, which gives each element's exact marginal; the text of
 elements more likely content than not is kept. Log odds and potentials are counted on at most FIT_PAGES labelled pages:
 pages that mark their article themselves (one article or main element). Its elements are content, but for those of the kinds
@@ -49,11 +51,16 @@ ASIDE_NAMES = (
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar cookie cookies consent notice popup modal comment comments "
     "reply replies share social related menu nav navigation breadcrumb breadcrumbs newsletter subscribe subscription login signup pager pagination"
 ).split()
+ASIDE_ROLES = ("banner", "complementary", "contentinfo", "form", "navigation", "search", "dialog", "alert", "alertdialog", "menu")
+#: What a box does not hold, and what is never a box itself.
+CORE = {"article", "main", "h1"}
+PAGE = {"html", "body"}
+TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "figcaption", "caption", "address", "legend", "summary"}
 #: Log odds before any page is seen, as strong as so many observations.
 PRIOR_WEIGHT = 40
-PRIORS = {f"tag={t}": -6.0 for t in ("nav", "aside", "form", "footer")} | {"tag=header": -1.5, "tag=article": 5.0, "tag=main": 5.0, "tag=body": -0.5, "tag=html": -0.5}
-PRIORS |= {f"name={n}": -6.0 for n in ASIDE_NAMES} | {"name=content": 1.0, "name=article": 2.0, "name=post": 1.0, "name=entry": 1.0, "role=navigation": -6.0}
-PRIORS |= {"hidden": -8.0, "links=3": -2.0, "links=2": -0.8, "links=0": 0.2, "size=0": -0.6, "size=1": -0.2, "size=2": 0.4, "size=3": 0.9}
+PRIORS = {"tag=header": -1.5, "tag=article": 5.0, "tag=main": 5.0, "tag=body": -0.5, "tag=html": -0.5}
+PRIORS |= {"name=content": 1.0, "name=article": 2.0, "name=post": 1.0, "name=entry": 1.0}
+PRIORS |= {"links=3": -2.0, "links=2": -0.8, "links=0": 0.2, "size=0": -0.6, "size=1": -0.2, "size=2": 0.4, "size=3": 0.9}
 
 
 @dataclass
@@ -64,6 +71,8 @@ class Node:
     own: int = 0  # characters of text directly inside
     total: int = 0
     linked: int = 0
+    core: bool = False  # holds something of CORE
+    kind: str = "page"
 
 
 class _Open:
@@ -183,13 +192,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].total += nodes[i].total
         nodes[nodes[i].parent].linked += nodes[i].linked
+        nodes[nodes[i].parent].core |= nodes[i].core or nodes[i].tag in CORE
+    for node in nodes[1:]:
+        node.kind = "box" if is_box(node) or nodes[node.parent].kind == "box" else "page" if nodes[node.parent].tag in PAGE else "text" if node.tag in TEXT_BLOCKS else "holder"
     return nodes, blocks
 
 
+def is_box(node: Node) -> bool:
+    """Whether an element is marked as something beside the text, and holds none of the page's core."""
+    if node.core or node.tag in CORE or node.tag in PAGE:
+        return False
+    return node.tag in ASIDE or any(map(_beside, node.names))
+
+
+def _beside(mark: str) -> bool:
+    return mark == "hidden" or mark.removeprefix("name=") in ASIDE_NAMES or mark.removeprefix("role=") in ASIDE_ROLES
+
+
 def evidence(node: Node) -> list[str]:
+    """Features of an element; what marks a box says nothing about one that holds the core of its page."""
     share = node.linked / node.total if node.total else 0
     size = 0 if node.total < 20 else 1 if node.total < 80 else 2 if node.total < 300 else 3
-    return [f"tag={node.tag}", *dict.fromkeys(node.names), f"links={0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.8 else 3}", f"size={size}"]
+    own = [x for x in (f"tag={node.tag}", *dict.fromkeys(node.names)) if not _beside(x) and x.removeprefix("tag=") not in ASIDE]
+    return [*own, f"links={0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.8 else 3}", f"size={size}"]
 
 
 def labels(nodes: list[Node]) -> list[int] | None:
@@ -199,30 +224,30 @@ def labels(nodes: list[Node]) -> list[int] | None:
         return None
     out = [0] * len(nodes)
     for i, n in enumerate(nodes):
-        aside = n.tag in ASIDE or any(x.removeprefix("name=") in ASIDE_NAMES for x in n.names)
-        out[i] = int(i == marked[0] or (n.parent >= 0 and out[n.parent] == 1 and not aside))
+        out[i] = int(i == marked[0] or (n.parent >= 0 and out[n.parent] == 1 and n.kind != "box"))
     return out
 
 
 @dataclass
 class Model:
     odds: dict[str, float]
-    #: Log potentials of (parent, child).
-    ties: list[list[float]]
+    #: By kind of child, log potentials of (parent, child).
+    ties: dict[str, list[list[float]]]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of each element, by one pass up and one down."""
         own = [sum(self.odds.get(f, 0.0) for f in evidence(n)) for n in nodes]
-        t = self.ties
         up = [[0.0, o] for o in own]  # log messages gathered below, with the own evidence
         sent = [[0.0, 0.0] for _ in nodes]
         for i in range(len(nodes) - 1, 0, -1):
+            t = self.ties[nodes[i].kind]
             sent[i] = [_log_sum(t[s][0] + up[i][0], t[s][1] + up[i][1]) for s in (0, 1)]
             top = nodes[i].parent
             up[top][0] += sent[i][0]
             up[top][1] += sent[i][1]
         full = [u[:] for u in up]
         for i in range(1, len(nodes)):
+            t = self.ties[nodes[i].kind]
             top = nodes[i].parent
             rest = [full[top][s] - sent[i][s] for s in (0, 1)]
             shift = max(rest)
@@ -231,12 +256,18 @@ class Model:
         return [1 / (1 + math.exp(max(-50.0, min(50.0, a - b)))) for a, b in full]
 
 
+#: The log odds of what cannot be content; no votes of children outweigh it.
+NEVER = -1e12
+#: Transitions before any page is seen, by kind of child: what is read below something else is hardly ever a block of text on its own.
+START = {"page": [[10.0, 5.0], [1.0, 30.0]], "holder": [[30.0, 1.0], [1.0, 30.0]], "text": [[30.0, 0.05], [1.0, 30.0]]}
+
+
 def _log_sum(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
 def learn(counted: Counter) -> Model:
-    """A model from counts of (feature, label) and of (parent label, child label)."""
+    """A model from counts of (feature, label) and of (kind, parent label, child label)."""
     n = [counted[("all", s)] + 1 for s in (0, 1)]
     odds = {}
     for f in {f for kind, f, *_ in (k if k[0] == "f" else (None, None) for k in counted) if f} | set(PRIORS):
@@ -245,12 +276,11 @@ def learn(counted: Counter) -> Model:
         seen = [counted[("f", f, s)] / n[s] * min(n) for s in (0, 1)]
         odds[f] = math.log((seen[1] + weight * prior) / (seen[0] + weight * (1 - prior)))
         odds[f] = max(-6.0, min(6.0, odds[f]))
-    ties = [[0.0, 0.0], [0.0, 0.0]]
-    start = [[30.0, 3.0], [1.0, 30.0]]
-    for a in (0, 1):
-        row = [counted[("t", a, b)] + start[a][b] for b in (0, 1)]
-        for b in (0, 1):
-            ties[a][b] = math.log(row[b] / sum(row))
+    ties: dict[str, list[list[float]]] = {}
+    for kind, start in START.items():
+        seen = [[counted[("t", kind, a, b)] + start[a][b] for b in (0, 1)] for a in (0, 1)]
+        ties[kind] = [[math.log(x / sum(row)) for x in row] for row in seen]
+    ties["box"] = [[0.0, NEVER], [0.0, NEVER]]  # whatever it stands in, which it says nothing about
     return Model(odds, ties)
 
 
@@ -261,11 +291,13 @@ def page_counts(page: str | None) -> Counter:
     if marks is None:
         return out
     for n, s in zip(nodes, marks, strict=True):
+        if n.kind == "box":  # its marks explain it, so its lists and links tell nothing about those elsewhere
+            continue
         out[("all", s)] += 1
         for f in evidence(n):
             out[("f", f, s)] += 1
         if n.parent >= 0:
-            out[("t", marks[n.parent], s)] += 1
+            out[("t", n.kind, marks[n.parent], s)] += 1
     return out
 
 
@@ -290,7 +322,7 @@ def train(pages: DataFrame, html_col: str = "html", most: int = FIT_PAGES) -> Mo
     counted: Counter = Counter()
     for r in rows:
         kind, *rest = r["key"].split("\t")
-        counted[(kind, rest[0], int(rest[1])) if kind == "f" else (kind, *map(int, rest))] += r["n"]
+        counted[(kind, *(x if n == 0 and kind in "ft" else int(x) for n, x in enumerate(rest)))] += r["n"]
     return learn(counted)
 
 

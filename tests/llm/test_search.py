@@ -162,14 +162,48 @@ def test_marginals_are_exact():
     model = html_model.learn(html_model.page_counts(PAGE))
     own = [sum(model.odds.get(f, 0.0) for f in html_model.evidence(n)) for n in nodes]
     weight = {
-        s: math.exp(sum(o for o, x in zip(own, s, strict=True) if x) + sum(model.ties[s[n.parent]][s[i]] for i, n in enumerate(nodes) if i))
+        s: math.exp(sum(o for o, x in zip(own, s, strict=True) if x) + sum(model.ties[n.kind][s[n.parent]][s[i]] for i, n in enumerate(nodes) if i))
         for s in itertools.product((0, 1), repeat=len(nodes))
+        if not any(x and n.kind == "box" for x, n in zip(s, nodes, strict=True))
     }
     total = sum(weight.values())
     for i, p in enumerate(model.marginals(nodes)):
         assert abs(p - sum(w for s, w in weight.items() if s[i]) / total) < 1e-9
 
 
+P = "<p>This is a paragraph of the story, long enough to be read as one, with some words more.</p>"
+BOXES = (
+    '<section id="comments"><p>Nice one!</p><p>I read all of it and found it very good indeed, thank you for it.</p></section>', '<div class="ad">Buy now</div>',
+    '<div class="newsletter"><h3>Sign up</h3><p>Get the news each week, right into your letter box, for nothing.</p></div>', '<div class="reader-comments"><ul><li><p>First</p></li></ul></div>',
+    '<form><p>Your name</p><input></form>', '<nav><a href="/">Home</a></nav>', '<div role="complementary"><p>More of this kind</p></div>', "<footer>Printed by us</footer>", '<p hidden>not shown</p>',
+    '<div class="cookie-notice"><p>We keep cookies here.</p></div>', '<aside><p>Beside</p></aside>',
+)
+LAID_OUT = {
+    "article": "<body><header><a href='/'>Site</a></header><article><h1>Title</h1>{}</article></body>",
+    "main": "<body><div id='menu'><a href='/'>Home</a></div><main><h1>Title</h1>{}</main><footer>us</footer></body>",
+    "div": "<body><div class='page'><div class='content'><h1>Title</h1>{}</div></div></body>",
+    "deep": "<body><div><div><div class='post'><h2>Title</h2>{}</div></div></div></body>",
+    "body": "<body><h1>Title</h1>{}</body>",
+    "form": "<body><form id='all'><div class='with-sidebar'><h1>Title</h1>{}</div></form></body>",
+}
+
+
+def test_boxes_go_and_pages_without_marks_work(spark):
+    """Laid-out pages whose text is known, by the model that the given pages teach and by none."""
+    import os
+
+    models = [html_model.learn(html_model.Counter())]
+    if os.path.exists("/root/testdata/sf0.001/pages.parquet"):
+        models.append(html_model.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")))
+    for model in models:
+        for name, layout in LAID_OUT.items():
+            for box in ("", *BOXES):
+                page = "<html>" + layout.format(P + P + box + P) + "</html>"
+                assert html_model.main_text(page, model).split("\n\n") == ["Title"] + [P[3:-4]] * 3, (name, box)
+            page = "<html>" + layout.format(P + "".join(BOXES) + "<ul><li>one thing</li><li>another thing</li></ul>" + P) + "</html>"
+            assert html_model.main_text(page, model).split("\n\n") == ["Title", P[3:-4], "one thing", "another thing", P[3:-4]], name
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>plain <b>text"), (5, "u", "<div>" * 3000 + "deep"), (1, "u", PAGE), (6, "u", "a < b & c <"), (7, "u", "<!-- open")]
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").selectExpr("*", "'x' AS id", "'y' AS text")
