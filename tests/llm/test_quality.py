@@ -149,3 +149,13 @@ def test_identity_equals_the_sum_over_pairs():
         pairs = sum(float(m.factors[i[p]].astype(float) @ m.factors[i[q]].astype(float)) * v[p] * v[q] for p in range(len(i)) for q in range(p))
         expected.append(0.3 + float(m.weights[i].astype(float) @ v) + pairs)
     assert np.allclose(m.raw(x), expected, rtol=1e-4, atol=1e-4)
+
+
+def test_training_rows_are_bounded(spark):
+    from glossaflow.llm.labelled import training_rows
+
+    docs = spark.range(2000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(2, None), (3, "three")], "doc_id BIGINT, text STRING"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (4, None)], "doc_id BIGINT, quality INT")
+    rows = {r["id"]: (r["text"], r["label"]) for r in training_rows(docs, labels, "quality", 10).collect()}
+    assert rows.items() <= {1: ("text 0", 1), 2: ("", 0), 3: ("three", 1)}.items() and len(rows) >= 2
+    assert training_rows(docs, labels, "quality", 1).count() == 1
