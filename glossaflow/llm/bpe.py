@@ -41,6 +41,10 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+#: Texts that are held as Python objects at once.
+TEXTS = 1_000
+
+
 @dataclass
 class Codec:
     """Tables of one vocabulary; plain arrays, so that it can be broadcast."""
@@ -51,7 +55,7 @@ class Codec:
     byte_ids: np.ndarray
     token_bytes: list[bytes]
     specials: dict[str, int]
-    cache_entries: int = 300_000
+    cache_entries: int = 80_000
     chunks: dict[str, bytes] = field(default_factory=dict)
     pieces: dict[str, bytes] = field(default_factory=dict)
 
@@ -236,6 +240,12 @@ def _groups(texts: list[str | None], most: int = 1 << 20):
         yield group
 
 
+def _cuts(batch: pa.RecordBatch):
+    """A batch as ones of up to TEXTS rows."""
+    for lo in range(0, batch.num_rows, TEXTS):
+        yield batch.slice(lo, TEXTS)
+
+
 def _default_path() -> str:
     import public_tokenizers
 
@@ -246,11 +256,11 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """(id, n_tokens, ids): ids of each whole text; null and empty texts have none."""
     codec = df.sparkSession.sparkContext.broadcast(Codec.load(path or _default_path()))
 
-    def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        found = [x for g in _groups(texts) for x in codec.value.encode_many(g)]
-        ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), ids], ["id", "n_tokens", "ids"])
+    def run(whole: pa.RecordBatch):
+        for batch in _cuts(whole):
+            found = [x for g in _groups(batch.column(1).to_pylist()) for x in codec.value.encode_many(g)]
+            ids = pa.array([np.frombuffer(x, "<i4") for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), ids], ["id", "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(only(df, id=id_col, text=text_col), run, f"id {kind}, n_tokens bigint, ids array<int>")
@@ -274,7 +284,7 @@ def round_trip_digests(df: DataFrame, path: str | None = None, id_col: str = "do
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for group in _groups(batch.column(1).to_pylist()):
+        for group in (g for cut in _cuts(batch) for g in _groups(cut.column(1).to_pylist())):
             for ids in codec.value.encode_many(group):
                 decoded = codec.value.decode(ids).encode()
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
