@@ -53,6 +53,24 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.new_items(occurrences(spark, sf_dir), no_items(spark))
 
 
+LEASED_SQL = f"""
+    held AS (SELECT id, seq, source, usage, released, CASE WHEN seq % 5 = 0 THEN 'done ' || id END AS target, CASE WHEN seq % 3 = 0 THEN 'w' || (seq % 7)::VARCHAR END AS worker,
+             CASE WHEN seq % 3 = 0 THEN 'l' || (seq % 2)::VARCHAR END AS lease, CASE WHEN seq % 3 = 0 THEN (seq % 100)::DOUBLE END AS expires FROM items)
+"""
+
+
+def leased_items(spark, sf_dir) -> DataFrame:
+    """Items with translations and leases by their order, some of them ended at time 50."""
+    leased = "seq % 3 = 0"
+    return (
+        items_of(spark, sf_dir)
+        .withColumn("target", F.expr("CASE WHEN seq % 5 = 0 THEN concat('done ', id) END"))
+        .withColumn("worker", F.expr(f"CASE WHEN {leased} THEN concat('w', seq % 7) END"))
+        .withColumn("lease", F.expr(f"CASE WHEN {leased} THEN concat('l', seq % 2) END"))
+        .withColumn("expires", F.expr(f"CASE WHEN {leased} THEN cast(seq % 100 AS DOUBLE) END"))
+    )
+
+
 @query("SELECT substr(sha1(text), 1, 16) AS id, text AS source, min(doc_id) AS first_seq, count(*)::BIGINT AS n_refs FROM documents WHERE text IS NOT NULL GROUP BY text")
 def catalog_dedup(spark, sf_dir):
     return catalog.first_occurrences(table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "text AS source"))
@@ -116,12 +134,13 @@ def usage_status(spark, sf_dir):
     return catalog.usage_counts(catalog.apply_decisions(items_of(spark, sf_dir), decisions_of(spark, sf_dir), no_quarantine(spark)))
 
 
-@query(f"""WITH {ITEMS_SQL}
-    SELECT count_if(released)::BIGINT AS released, 0::BIGINT AS translated, 0::BIGINT AS leased, count_if(released)::BIGINT AS pending_translation,
-           count_if(usage = 'pending')::BIGINT AS pending_audit, 0::BIGINT AS glossary_conflicts, 0::BIGINT AS quarantined FROM items""")
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, t AS (SELECT doc_id AS seq, source, lang AS target FROM documents), f AS (SELECT source, arg_min(target, seq) AS first FROM t GROUP BY 1)
+    SELECT count_if(released)::BIGINT AS released, count_if(released AND target IS NOT NULL)::BIGINT AS translated, count_if(released AND target IS NULL AND worker IS NOT NULL)::BIGINT AS leased,
+           count_if(released AND target IS NULL)::BIGINT AS pending_translation, count_if(usage = 'pending')::BIGINT AS pending_audit,
+           (SELECT count(*) FROM t JOIN f USING (source) WHERE target <> first)::BIGINT AS glossary_conflicts, (SELECT count(*) FROM labels WHERE toxic = 1)::BIGINT AS quarantined FROM held""")
 def catalog_status(spark, sf_dir):
-    conflicts = spark.createDataFrame([], "source STRING, old STRING, new STRING, worker STRING")
-    return catalog.status(items_of(spark, sf_dir), conflicts, no_quarantine(spark))
+    """Totals of leased items, of the conflicts between all texts' languages by source, and of toxic labels as held back."""
+    return catalog.status(leased_items(spark, sf_dir), language_conflicts(spark, sf_dir), table(spark, sf_dir, "labels").where("toxic = 1"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT id, ((row_number() OVER (ORDER BY seq) - 1) // 300 + 1)::BIGINT AS batch FROM items")
@@ -212,10 +231,13 @@ def manifest_diff(spark, sf_dir):
     SELECT source, f.first AS old, target AS new, count(*)::BIGINT AS n FROM t JOIN (SELECT source, arg_min(target, seq) AS first FROM t GROUP BY 1) f USING (source)
     WHERE target <> f.first GROUP BY 1, 2, 3""")
 def glossary_conflicts(spark, sf_dir):
+    return language_conflicts(spark, sf_dir).groupBy("source", "old", "new").agg(F.count("*").alias("n"))
+
+
+def language_conflicts(spark, sf_dir) -> DataFrame:
     terms = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "source", "lang AS target", "'place' AS category", "'w' AS worker")
     glossary = spark.createDataFrame([], "source STRING, target STRING, category STRING, worker STRING")
-    _, conflicts = catalog.merge_terms(glossary, terms)
-    return conflicts.groupBy("source", "old", "new").agg(F.count("*").alias("n"))
+    return catalog.merge_terms(glossary, terms)[1]
 
 
 TIMELINE = "epoch_us(ts) / 1e6"
@@ -357,11 +379,12 @@ def token_ordinals(spark, sf_dir):
     return docs.select("seq", F.posexplode(messages.token_ordinals(F.col("text"))).alias("place", "x")).select("seq", "place", "x.token", "x.ordinal")
 
 
-@query("""SELECT source AS root, 'one' AS engine, max(CASE WHEN lang = 'fr' THEN 90 ELSE 60 END)::INT AS score FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1
-    UNION ALL SELECT source, 'two', 80 FROM documents WHERE doc_id % 10 = 7 GROUP BY 1""")
+@query(r"""SELECT u AS root, engine, max(score)::INT AS score FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS u, unnest([CASE WHEN regexp_matches(url, '[02468]$') THEN 60 END, CASE WHEN regexp_matches(url, '[13][a-z0-9]*$') THEN 90 END, CASE WHEN regexp_matches(url, 'example\.(com|org)') THEN 80 END]) AS score,
+      unnest(['one', 'one', 'two']) AS engine FROM pages) WHERE score IS NOT NULL GROUP BY 1, 2""")
 def engine_scores(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").selectExpr("source AS root", "concat('data/', doc_id, '.', lang) AS path")
-    rules = spark.createDataFrame([("one", r"\.en$", 60), ("one", r"\.fr$", 90), ("two", r"7\.", 80), ("none", "^x", 50)], "engine STRING, pattern STRING, score INT")
+    """The pages of each host as the files of a root."""
+    files = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("root"), F.col("url").alias("path"))
+    rules = spark.createDataFrame([("one", "[02468]$", 60), ("one", "[13][a-z0-9]*$", 90), ("two", r"example\.(com|org)", 80), ("none", "^ftp:", 50)], "engine STRING, pattern STRING, score INT")
     return listing.engine_scores(files, rules)
 
 
@@ -396,12 +419,15 @@ def failure_streaks(spark, sf_dir):
     return listing.failure_streaks(batches)
 
 
-@query("""SELECT source AS log, bool_or((doc_id % 3 = 0 OR doc_id % 3 = 1) AND lang = 'fr') AS marked FROM documents GROUP BY 1""")
+@query("""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL)
+    SELECT source AS log, bool_or((doc_id + k) % 3 < 2 AND doc_id % 40 = 0 AND (contains(lower(line), 'der ') OR contains(lower(line), ' the '))) AS marked FROM l GROUP BY 1""")
 def log_markers(spark, sf_dir):
-    """JSON lines with a stop reason, plain lines with the word, and JSON lines that only mention it."""
-    line = """CASE doc_id % 3 WHEN 0 THEN concat('{"message": {"stopReason": "error", "t": "lang=', lang, '"}}') WHEN 1 THEN concat('ERROR in LANG=', upper(lang))
-      ELSE concat('{"message": {"stopReason": "end"}, "t": "error lang=', lang, '"}') END AS line"""
-    return listing.log_markers(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("source AS log", line), ["lang=fr"])
+    """Every line of every text as a log line: JSON lines with a stop reason, plain lines with the word, and JSON lines that only mention it.
+    Of most documents the stop reason is another one, and the word is left out."""
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", "source", "posexplode(split(text, '\n', -1)) AS (k, l)")
+    line = """CASE (doc_id + k) % 3 WHEN 0 THEN to_json(named_struct('message', named_struct('stopReason', CASE WHEN doc_id % 40 = 0 THEN 'error' ELSE 'end' END, 't', l)))
+      WHEN 1 THEN concat(CASE WHEN doc_id % 40 = 0 THEN 'ERROR ' ELSE 'note ' END, replace(lower(l), 'error', '')) ELSE to_json(named_struct('message', named_struct('stopReason', 'end'), 't', concat('error ', l))) END AS line"""
+    return listing.log_markers(lines.selectExpr("source AS log", line), ["der ", " the "])
 
 
 @query("""SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 4 = 0 THEN 'complete' WHEN value < 30 THEN 'interrupted' ELSE 'running' END AS state
@@ -419,24 +445,6 @@ def worker_states(spark, sf_dir):
     return listing.worker_states(records, 100.0).select("worker", "state")
 
 
-LEASED_SQL = f"""
-    held AS (SELECT id, seq, source, usage, released, CASE WHEN seq % 5 = 0 THEN 'done ' || id END AS target, CASE WHEN seq % 3 = 0 THEN 'w' || (seq % 7)::VARCHAR END AS worker,
-             CASE WHEN seq % 3 = 0 THEN 'l' || (seq % 2)::VARCHAR END AS lease, CASE WHEN seq % 3 = 0 THEN (seq % 100)::DOUBLE END AS expires FROM items)
-"""
-
-
-def leased_items(spark, sf_dir) -> DataFrame:
-    """Items with translations and leases by their order, some of them ended at time 50."""
-    leased = "seq % 3 = 0"
-    return (
-        items_of(spark, sf_dir)
-        .withColumn("target", F.expr("CASE WHEN seq % 5 = 0 THEN concat('done ', id) END"))
-        .withColumn("worker", F.expr(f"CASE WHEN {leased} THEN concat('w', seq % 7) END"))
-        .withColumn("lease", F.expr(f"CASE WHEN {leased} THEN concat('l', seq % 2) END"))
-        .withColumn("expires", F.expr(f"CASE WHEN {leased} THEN cast(seq % 100 AS DOUBLE) END"))
-    )
-
-
 @query(f"WITH {ITEMS_SQL}, {LEASED_SQL} SELECT worker, count(target)::BIGINT AS done, count_if(target IS NULL)::BIGINT AS owned FROM held WHERE released AND worker IS NOT NULL GROUP BY 1")
 def worker_counts(spark, sf_dir):
     return catalog.worker_counts(leased_items(spark, sf_dir))
@@ -501,11 +509,14 @@ def import_report(spark, sf_dir):
     return import_tables(spark, sf_dir)[1]
 
 
-@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, t AS (SELECT count_if(usage = 'pending') AS a, count_if(released AND target IS NULL) AS b FROM held)
-    SELECT [x FOR x IN [CASE WHEN a > 0 THEN 'pending' END, CASE WHEN b > 0 THEN 'untranslated' END, 'conflicts', 'no manifest'] IF x IS NOT NULL] AS problems FROM t""")
+@query(f"""WITH {ITEMS_SQL}, {LEASED_SQL}, t AS (SELECT count_if(usage = 'pending') AS a, count_if(released AND target IS NULL) AS b FROM held),
+    c AS (SELECT count(*) AS n FROM (SELECT source, lang, arg_min(lang, doc_id) OVER (PARTITION BY source) AS first FROM documents) WHERE lang <> first),
+    d AS (SELECT count(*) AS n FROM documents x LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality <> 0 OR md5(x.text || l.toxic::VARCHAR) <> md5(x.text))
+    SELECT [x FOR x IN [CASE WHEN a > 0 THEN 'pending' END, CASE WHEN b > 0 THEN 'untranslated' END, CASE WHEN c.n > 0 THEN 'conflicts' END, CASE WHEN d.n > 0 THEN 'changed' END] IF x IS NOT NULL] AS problems FROM t, c, d""")
 def build_gate(spark, sf_dir):
+    """The gate over leased items, conflicts of languages, and the difference of two manifests of the documents."""
     items = leased_items(spark, sf_dir).withColumn("target", F.when(F.col("target").isNotNull(), F.col("source")))
-    return quality.gate(items, spark.createDataFrame([("a", "b")], "source STRING, new STRING"), None)
+    return quality.gate(items, language_conflicts(spark, sf_dir), manifest_diff(spark, sf_dir))
 
 
 @query(r"""SELECT page_id, regexp_replace(html, '\[[^\]\n]*\]', '', 'g') = html AS untagged, least(300, 30 * 2 ** least(greatest(page_id % 9 - 1, 0), 4))::INT AS delay,
@@ -519,32 +530,44 @@ def text_functions(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id AS seq, 1::INT AS line, lang || chr(10) || 'x y' AS source FROM documents WHERE lang IS NOT NULL
-    UNION ALL SELECT doc_id, 2, 'two words' FROM documents WHERE lang IS NOT NULL""")
+CANDIDATE_SQL = r"""coalesce(regexp_matches({0}, '[A-Za-z]{{2,}}') AND NOT regexp_matches({0}, '^[A-Za-z_][A-Za-z0-9_.:/-]*$')
+      AND NOT regexp_matches({0}, '(?i)^(res|user|uid|https?|file)://|^[\w./\\-]+\.(png|jpg|ogg|wav|mp3|json|tscn|tres|gd|gdc|js|webp|ks|tjs|txt|csv|asset|prefab)$'), false)"""
+#: The lines of each text without the characters that mean something in the formats below: (doc_id, k, l).
+PLAIN_SQL = r"""plain AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS k
+      FROM (SELECT doc_id, translate(text, '"\''[]{}【】;*@#' || chr(9) || chr(13), '') AS t FROM documents WHERE text IS NOT NULL))"""
+
+
+def plain_lines(spark, sf_dir) -> DataFrame:
+    """(doc_id, source, lines) of every text, whole, without the characters that mean something in scripts and JSON."""
+    plain = F.translate("text", "\"\\'[]{}【】;*@#\t\r", "")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.split(plain, "\n", -1).alias("lines"))
+
+
+@query(f"WITH {PLAIN_SQL} SELECT doc_id AS seq, (k + 1)::INT AS line, l AS source FROM plain WHERE {CANDIDATE_SQL.format('trim(l)')}")
 def script_strings(spark, sf_dir):
-    body = r"""concat('say("', lang, '\\nx y", 12)\nreturn \'two words\' + "a1"') AS text"""
-    return scripts.script_strings(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en").select("seq", "line", "source")
+    """Every line of every text as a call with a string in a script."""
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('say("'), x, F.lit("\", 12)"))), "\n")
+    return scripts.script_strings(plain_lines(spark, sf_dir).select(F.col("doc_id").alias("seq"), body.alias("text")), "en").select("seq", "line", "source")
 
 
-@query("""SELECT doc_id AS seq, 'text' AS property, 'Go to ' || lang AS source, 'display' AS hint FROM documents WHERE lang IS NOT NULL""")
+@query(f"WITH {PLAIN_SQL} SELECT doc_id AS seq, CASE k % 3 WHEN 0 THEN 'text' ELSE 'title' END AS property, l AS source, 'display' AS hint FROM plain WHERE k % 3 < 2 AND {CANDIDATE_SQL.format('trim(l)')}")
 def scene_texts(spark, sf_dir):
-    body = r"""concat('[node]\ntext = "Go to ', lang, '"\nname = "Not shown here"\ntitle = "ident_1"') AS text"""
-    return scripts.scene_texts(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en")
+    """Every line of every text as a property of a scene, of which a third is not displayed."""
+    name = lambda i: F.when(i % 3 == 0, "text").when(i % 3 == 1, "title").otherwise("name")
+    body = F.array_join(F.transform("lines", lambda x, i: F.concat(name(i), F.lit(' = "'), x, F.lit('"'))), "\n")
+    return scripts.scene_texts(plain_lines(spark, sf_dir).select(F.col("doc_id").alias("seq"), body.alias("text")), "en")
 
 
-@query("""SELECT doc_id AS seq, 19::INT AS start, 'Shown ' || lang AS source, 'protected' AS hint FROM documents WHERE lang IS NOT NULL""")
+@query(f"""WITH {PLAIN_SQL}, placed AS (SELECT *, (sum(length(l) + 3) OVER (PARTITION BY doc_id ORDER BY k) - length(l) - 2)::INT AS start FROM plain)
+    SELECT doc_id AS seq, start, l AS source, 'protected' AS hint FROM placed WHERE length(l) < 200 AND {CANDIDATE_SQL.format('trim(l)')}""")
 def plugin_parameters(spark, sf_dir):
-    body = """concat('{"a_key": "{ x y}","', 'Shown ', lang, '"}') AS text"""
-    return scripts.plugin_parameters(table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("doc_id AS seq", body), "en")
+    """The lines of every text as a list of parameters; long ones are no parameters that are shown."""
+    body = F.concat(F.lit('["'), F.array_join("lines", '","'), F.lit('"]'))
+    return scripts.plugin_parameters(plain_lines(spark, sf_dir).select(F.col("doc_id").alias("seq"), body.alias("text")), "en")
 
 
-@query("""SELECT source AS file, source || ':' || (doc_id % 3 + 1) AS ref, CASE WHEN doc_id % 3 = 0 THEN 'speaker' ELSE 'text' END AS context, count(*)::BIGINT AS n
-    FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2, 3""")
+@query(f"""WITH {PLAIN_SQL} SELECT doc_id::VARCHAR || ':' || (k + 1) AS ref, trim(l) AS source, 'text' AS context, 'display' AS hint FROM plain WHERE {CANDIDATE_SQL.format('trim(l)')}""")
 def scenario_occurrences(spark, sf_dir):
-    """Scenarios of one speaker and lines of text; the tables have no Japanese, so English words stand in."""
-    files = table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr(
-        "doc_id", "source AS path", r"concat(repeat('\n', cast(doc_id % 3 AS INT)), CASE WHEN doc_id % 3 = 0 THEN '【Some one】' ELSE 'Some [r]text' END, '\n; note\n@cmd x') AS text"
-    )
-    named = files.select(F.concat_ws("#", "path", "doc_id").alias("path"), "text")
-    found = scripts.scenario_occurrences(named, "en").select(F.substring_index("ref", "#", 1).alias("file"), F.element_at(F.split("ref", ":"), -1).alias("line"), "context")
-    return found.groupBy("file", F.concat_ws(":", "file", "line").alias("ref"), "context").agg(F.count("*").alias("n"))
+    """Every text as a scenario; the tables have no Japanese, so the language is English."""
+    files = plain_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.array_join("lines", "\n").alias("text"))
+    return scripts.scenario_occurrences(files, "en").select("ref", "source", "context", "hint")
\ No newline at end of file
