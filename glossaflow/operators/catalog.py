@@ -126,19 +126,22 @@ def pending_audit(items: DataFrame, refs: DataFrame, limit: int | None = None) -
     return with_refs(waiting.select("seq", "id", "source"), refs, 6).orderBy("seq").select("id", "source", "refs")
 
 
-def batches(items: DataFrame, size: int = 300, order: str = "seq") -> DataFrame:
-    """items with batch: 1 for the first `size` in order, 2 for the next, ...
-
-    Rows are numbered by range partitions and the counts of the partitions before, not by one task.
-    """
-    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """rows with their number, from 1, in an order. Range partitions and the counts of those before number them, not one task."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # checkpointed, as ranges that are drawn anew after a lost executor may have other bounds
-    ordered = checkpoint(items.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    ordered = checkpoint(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     counted = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    numbered = ordered.withColumn("_own", own).join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each partition
-    return numbered.withColumn("batch", F.floor((F.col("_before") + F.col("_own") - 1) / size).cast("bigint") + 1).drop("_part", "_own", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = ordered.withColumn("_own", own).join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each partition
+    return placed.withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_part", "_own", "_before")
+
+
+def batches(items: DataFrame, size: int = 300, order: str = "seq") -> DataFrame:
+    """items with batch: 1 for the first `size` in order, 2 for the next, ..."""
+    placed = numbered(items, order, name="_number")
+    return placed.withColumn("batch", F.floor((F.col("_number") - 1) / size).cast("bigint") + 1).drop("_number")
 
 
 def usage_counts(items: DataFrame) -> DataFrame:

@@ -69,6 +69,14 @@ class Files:
         """An empty file; one that is there already is an error."""
         self._system.create(self._path(path), False).close()
 
+    def write(self, path: str, data: bytes) -> None:
+        """A small file, in the place of the one that was there."""
+        out = self._system.create(self._path(path), True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
     def remove(self, path: str) -> None:
         self._system.delete(self._path(path), True)
 
