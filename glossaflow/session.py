@@ -18,6 +18,7 @@ def local_session(app: str = "glossaflow", cores: int | str = 8, shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("GLOSSAFLOW_DRIVER_MEMORY", "12g"))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
 

@@ -27,6 +27,8 @@ LEASE_EVENTS = "worker STRING, seq BIGINT, at DOUBLE, action STRING, items ARRAY
 LEASE_ROWS = "worker STRING, seq BIGINT, at DOUBLE, action STRING, outcome STRING, items STRING, n_open INT, expires DOUBLE"
 POOL_EVENTS = "pool STRING, worker STRING, seq BIGINT, at DOUBLE, action STRING, accepted INT"
 POOL_ROWS = "pool STRING, worker STRING, seq BIGINT, at DOUBLE, state STRING, failures INT, streak INT, until DOUBLE"
+#: Seconds that a stream adds to all times, as it takes nothing at or before its first watermark, which is the epoch.
+SHIFT = 86_400
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -219,7 +221,7 @@ class _Processor(StatefulProcessor):
             self.handle.deleteTimer(t)
         end = m.next_due()
         if end is not None:
-            self.handle.registerTimer(millis(end))
+            self.handle.registerTimer(millis(end) + 1000 * SHIFT)
 
     def _told(self, key, rows) -> Iterator[Row]:
         names = _names(self.machine().rows)
@@ -234,7 +236,7 @@ class _Processor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         m = self._loaded()
-        out, reached = [], max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        out, reached = [], max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - 1000 * SHIFT
         while (end := m.next_due()) is not None and millis(end) <= reached:
             out += m.due(millis(end))
         self._kept(m)
@@ -281,14 +283,14 @@ def _table(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _run(events: DataFrame, machine: Callable, late: float, items: str, rest: str) -> DataFrame:
+def run(events: DataFrame, machine: Callable, late: float, items: str, rest: str) -> DataFrame:
     if not events.isStreaming:
         return _replayed(events, machine, late)
     if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STORE}")
     key = machine().keys[0]
     # the watermark takes the millisecond below an event's time
-    timed = events.where(F.col(key).isNotNull() & F.col("at").isNotNull()).withColumn("_time", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("bigint")))
+    timed = events.where(F.col(key).isNotNull() & F.col("at").isNotNull()).withColumn("_time", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("bigint") + 1_000_000 * SHIFT))
     timed = timed.withWatermark("_time", f"{round(late * 1000)} milliseconds")
     return timed.groupBy(key).transformWithState(_Processor(machine, items, rest), machine().rows, "append", "eventTime")
 
@@ -299,9 +301,9 @@ def worker_leases(events: DataFrame, seconds: float = LEASE_SECONDS, late: float
     Works on a batch or a stream. Events may come up to `late` seconds out of order; ends are told once the events have got that far beyond
     them. Rows without a worker or a time are left out. One worker's events are taken by one task, in bounded memory.
     """
-    return _run(events, lambda: Leases(seconds), late, "open BOOLEAN", "expires DOUBLE")
+    return run(events, lambda: Leases(seconds), late, "open BOOLEAN", "expires DOUBLE")
 
 
 def worker_pools(events: DataFrame, late: float = 60.0) -> DataFrame:
     """The state of a worker after every event (POOL_EVENTS), and rows for waits and cooldowns that are over; see Pool."""
-    return _run(events, Pool, late, "state STRING, failures INT, until DOUBLE", "paused BOOLEAN, streak INT, cooldown DOUBLE, told BOOLEAN")
+    return run(events, Pool, late, "state STRING, failures INT, until DOUBLE", "paused BOOLEAN, streak INT, cooldown DOUBLE, told BOOLEAN")

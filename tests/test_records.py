@@ -46,6 +46,13 @@ def test_parts_in_texts(spark, monkeypatch, most):
     assert got == {(i, p) for i, t in enumerate(texts) for p in parts if t and p and p in t}
 
 
+def test_export_json(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for rows in ([(1, "a \u2028 b", None)], [(2, "日本\n\"q\"", 1.5), (3, None, None)]):  # the second export takes the place of the first
+        records.export_json(spark.createDataFrame(rows, "id INT, text STRING, x DOUBLE"), path)
+    assert sorted((r["id"], r["text"], r["x"]) for r in spark.read.json(path, schema="id INT, text STRING, x DOUBLE").collect()) == [(2, "日本\n\"q\"", 1.5), (3, None, None)]
+
+
 def test_free_items_leave_no_state():
     class State:
         exists, value, removed = False, None, False
