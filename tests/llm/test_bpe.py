@@ -30,6 +30,18 @@ def test_ids_and_decoding_equal_the_library(reference, codec):
         assert codec.decode(ids) == reference.decode(expected, skip_special_tokens=False)
 
 
+def test_letters_and_numbers_are_those_of_the_library():
+    """Every character beside a letter, a digit and a sign: the pieces are the library's, whatever Unicode the patterns here know."""
+    split = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    find = bpe._pieces().findall
+    wrong = []
+    for lo in range(0, 0x110000, 64):
+        text = "".join(f"a{chr(c)}1{chr(c)}" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000)
+        if [len(p) for p in find(text)] != [end - start for _, (start, end) in split(text)]:
+            wrong.append(hex(lo))
+    assert not wrong
+
+
 def test_long_and_short_pieces_merge_alike(codec):
     for n in (1, 2, 17, 64):
         piece = ("thereation" * 10)[:n].encode()
