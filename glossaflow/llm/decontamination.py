@@ -301,11 +301,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seen, total = passage_counts(texts)
     idf = np.log((total + 1) / (seen + 1.0)).astype(np.float32)
     blocks = -(-n_items // ITEMS)
-    spaces = [fit(mine, idf) for block in range(blocks) if not (mine := passages.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)).isEmpty()]
     found = None
-    for lo in range(0, len(spaces), BLOCKS_AT_ONCE):
-        part = _search(texts, spaces[lo : lo + BLOCKS_AT_ONCE], schema)
-        found = part if found is None else found.unionByName(part)
+    for first in range(0, blocks, BLOCKS_AT_ONCE):  # no more spaces than one pass takes are held at once
+        own = (passages.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) for block in range(first, min(first + BLOCKS_AT_ONCE, blocks)))
+        spaces = [fit(mine, idf) for mine in own if not mine.isEmpty()]
+        if spaces:
+            part = _search(texts, spaces, schema)
+            found = part if found is None else found.unionByName(part)
     return found
 
 
