@@ -272,4 +272,14 @@ def needs_code_page(content: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.concat(F.round(100 * F.try_divide(part, whole)).cast("int").cast("string"), F.lit("%"))
+    """A share as whole percents, halves to the even one; null where there is no whole."""
+    return F.concat(F.bround(100 * F.try_divide(part, whole)).cast("int").cast("string"), F.lit("%"))
+
+
+def stamp(seconds: Column) -> Column:
+    """Seconds since the epoch as date and time of the session's zone, to the second."""
+    return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), "yyyyMMdd-HHmmss")
+
+
+def iso_date(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), "yyyy-MM-dd")

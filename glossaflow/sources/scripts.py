@@ -143,6 +143,7 @@ def apply_literals(texts: DataFrame, translations: DataFrame, allowed: Column |
 PLUGIN_LITERAL = r'"(?:[^"\\]|\\.)*+"'
 SCENE_PROPERTIES = ("text", "tooltip_text", "placeholder_text", "title", "dialog_text", "ok_button_text", "cancel_button_text")
 SCRIPT_STRING = r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+SCENE_PATTERN = r"(?ms)^(" + "|".join(SCENE_PROPERTIES) + r')\s*=\s*"((?:[^"\\]|\\.)*+)"'
 MOST_PARAMETER = 200
 
 
@@ -157,8 +158,7 @@ def plugin_parameters(texts: DataFrame, lang: str = "ja") -> DataFrame:
 
 def scene_texts(texts: DataFrame, lang: str = "ja") -> DataFrame:
     """(seq, property, source, hint) of the display properties in scene files (seq, text)."""
-    pattern = r'(?ms)^(' + "|".join(SCENE_PROPERTIES) + r')\s*=\s*"((?:[^"\\]|\\.)*+)"'
-    both = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "property"), (2, "body"))])
+    both = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(SCENE_PATTERN), F.lit(g)).alias(n) for g, n in ((1, "property"), (2, "body"))])
     found = texts.select("seq", F.explode(both).alias("x")).select("seq", "x.property", unescape_source(F.col("x.body")).alias("source"))
     return found.where(is_candidate(F.col("source"), lang)).withColumn("hint", F.lit("display"))
 

@@ -129,3 +129,13 @@ def test_recognised_lines_from_a_file(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(map(str, [("a", 0, "日本語 text", None), ("a", 1, "x", None), ("b", None, None, "dark"), (None, None, None, "unreadable"), ("d", None, None, "unreadable")]))
     assert tuple(listing.recognition_report(rows, rows.limit(0)).first()) == (3, 1, 0, False)
     assert listing.recognition_report(rows.where("file = 'b'"), rows.limit(0)).first()["says_nothing"]
+
+
+def test_percents_and_times(spark):
+    import time
+
+    pairs = [(n, d) for d in (1, 3, 8, 200) for n in range(d + 1)]
+    rows = spark.createDataFrame(pairs + [(1, 0), (None, 2)], "n INT, d INT").select("n", "d", text.percent(F.col("n"), F.col("d")).alias("p")).collect()
+    assert all(r["p"] == (f"{r['n'] / r['d']:.0%}" if r["d"] and r["n"] is not None else None) for r in rows)
+    found = spark.createDataFrame([(x,) for x in (0.0, 1.999999, 1.7e9 + 0.5, 4102444799.0)], "s DOUBLE").select("s", text.stamp(F.col("s")).alias("t"), text.iso_date(F.col("s")).alias("d")).collect()
+    assert all((r["t"], r["d"]) == tuple(time.strftime(f, time.gmtime(r["s"])) for f in ("%Y%m%d-%H%M%S", "%Y-%m-%d")) for r in found)
