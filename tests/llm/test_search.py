@@ -133,6 +133,19 @@ def test_blocks_of_items(spark, monkeypatch):
     assert got == {(i, i) for i in range(10)}
 
 
+def test_passes_of_blocks(spark, monkeypatch):
+    """Few items to a block and few blocks to a pass: what is found stays the same."""
+    items = [words(24, 500 + i) for i in range(9)]
+    docs = spark.createDataFrame([(i, f"{words(60, i)} {items[i]} {words(60, 40 + i)}", "en", "s", 1) for i in range(9)], COLUMNS)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING")
+    pairs = lambda: {(r["id"], r["item"]) for r in decontamination.leaks(docs, benchmark).collect()}
+    expected = pairs()
+    assert expected >= {(i, i) for i in range(9)}
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    monkeypatch.setattr(decontamination, "BLOCKS_AT_ONCE", 2)
+    assert pairs() == expected
+
+
 def test_common_subsequence():
     assert decontamination.common_subsequence([1, 2, 3, 4], [1, 9, 3, 4, 2])[0] == 3
     assert decontamination.common_subsequence([1, 1, 2], [1, 2, 1]) == (2, 2)
