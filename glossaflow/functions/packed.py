@@ -32,8 +32,10 @@ def unsigned(data: Column, at: Column | int, width: int = 4) -> Column:
 
 
 def signed(data: Column, at: Column | int, width: int = 4) -> Column:
-    """The same in two's complement."""
+    """The same in two's complement, of eight bytes at most."""
     value = unsigned(data, at, width)
+    if width == 8:  # the highest byte has brought the sign along
+        return value
     return F.when(value >= 1 << (8 * width - 1), value - (1 << 8 * width)).otherwise(value)
 
 

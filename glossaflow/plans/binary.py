@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import packed, text
@@ -35,15 +37,22 @@ KINDS = """CASE WHEN c = 101 THEN 'message' WHEN c = 102 THEN 'choice' WHEN c =
            CASE {KINDS} WHEN 'logic' THEN 'protected' WHEN 'other' THEN 'unknown' WHEN 'set-string' THEN 'unknown' WHEN NULL THEN NULL ELSE CASE WHEN {KINDS} IS NOT NULL THEN 'display' END END AS hint,
            coalesce([0, 5, 0][event_id % 5 + 1], -1)::INT AS type, ((4 - cents % 4) % 4)::BIGINT AS padding, ((cents + 15) // 16 * 16)::BIGINT AS aligned FROM e""")
 def packed_events(spark, sf_dir):
-    """Events packed into bytes, and read by place: integers, bit tests, kinds of commands, hints and types by position."""
+    """Events packed into bytes, and read by place: integers, bit tests, kinds of commands, hints and types by position.
+
+    Keys and amounts take eight bytes each, so they hold any of the tables' integers; the first byte marks those that are there.
+    """
     command = F.element_at(F.array(*map(F.lit, (101, 102, 103, 106, 112, 122, 150, 250, 999))), (F.col("event_id") % 9 + 1).cast("int"))
-    events = table(spark, sf_dir, "events").select(
-        "event_id", F.concat(packed.packed(F.col("event_id")), packed.packed(F.col("user_id") * 7 - 500, 2), packed.packed(command, 1), packed.packed(F.expr("cast(round(value * 100) AS BIGINT)")), F.when(command == 999, packed.packed(F.lit(3), 1)).otherwise(packed.packed(F.lit(0), 1))).alias("data")
-    )
+    # halves go to the even number, as in the SQL
+    held = [F.col("event_id"), F.col("user_id") * 7 - 500, F.rint(F.col("value") * 100).cast("bigint")]
+    there = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(held)])
+    fields = [packed.packed(there, 1), *[packed.packed(F.coalesce(c, F.lit(0)), 8) for c in held], packed.packed(F.coalesce(command, F.lit(0)), 2)]
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(*fields).alias("data"))
     data = F.col("data")
+    known = lambda i, value: F.when(packed.bits(packed.unsigned(data, 0, 1), i, 1) == 1, value)
+    key = known(0, packed.signed(data, 1, 8))
     read = events.select(
-        "event_id", packed.signed(data, 4, 2).alias("low"), packed.unsigned(data, 7).alias("cents"), packed.unsigned(data, 7, 1).alias("first_byte"),
-        (packed.unsigned(data, 6, 1) + 256 * packed.unsigned(data, 11, 1)).cast("int").alias("command"), (packed.unsigned(data, 0) % 2).alias("n"), (packed.unsigned(data, 0) % 5).cast("int").alias("field"),
+        "event_id", known(1, packed.signed(data, 9, 8)).alias("low"), known(2, packed.signed(data, 17, 8)).alias("cents"), known(2, packed.unsigned(data, 17, 1)).alias("first_byte"),
+        known(0, packed.unsigned(data, 25, 2)).cast("int").alias("command"), (key % 2).alias("n"), (key % 5).cast("int").alias("field"),
     )
     kind = packed.command_kind(F.col("command"), F.array("cents"), F.col("n"))
     read = read.withColumn("kind", kind).withColumn("hint", packed.hint_of(F.col("kind")))

@@ -139,3 +139,18 @@ def test_percents_and_times(spark):
     assert all(r["p"] == (f"{r['n'] / r['d']:.0%}" if r["d"] and r["n"] is not None else None) for r in rows)
     found = spark.createDataFrame([(x,) for x in (0.0, 1.999999, 1.7e9 + 0.5, 4102444799.0)], "s DOUBLE").select("s", text.stamp(F.col("s")).alias("t"), text.iso_date(F.col("s")).alias("d")).collect()
     assert all((r["t"], r["d"]) == tuple(time.strftime(f, time.gmtime(r["s"])) for f in ("%Y%m%d-%H%M%S", "%Y-%m-%d")) for r in found)
+
+
+def test_packed_events_of_large_keys_and_halves_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = "(0, 1, 0.125), (7, 40000, 1.0), (6, NULL, 0.32), (10000000001, 3000000000, NULL), (30000000005, 300000000000000, 99999999999.0)"
+    events = f"SELECT a::BIGINT AS event_id, b::BIGINT AS user_id, c::DOUBLE AS value FROM (VALUES {rows}) t(a, b, c)"
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet'")
+    told = duckdb.connect()
+    told.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = told.execute(entry.oracle_sql()["packed_events"]).fetchall()
+    found = [tuple(r) for r in entry.queries()["packed_events"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected)
