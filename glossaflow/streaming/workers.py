@@ -131,10 +131,11 @@ class Pool:
         ends = [x[2] for x in self.workers.values() if x[2] is not None]
         return min(ends + ([] if self.told else [self.cooldown]), default=None)
 
-    def due(self, reached: int) -> Iterator[tuple]:
+    def due(self, reached: int, before: float = math.inf) -> Iterator[tuple]:
+        """Rows of what has ended by a millisecond, or in it by the time of an event that stands in the same one."""
         ends = [(x[2], w) for w, x in self.workers.items() if x[2] is not None] + ([] if self.told else [(self.cooldown, "")])
         for at, w in sorted(ends):
-            if millis(at) <= reached:
+            if millis(at) <= reached and at <= before:
                 if w:
                     self.workers[w][2] = None
                     yield w, None, at, "ready", self.workers[w][1], self.streak, None
@@ -144,7 +145,7 @@ class Pool:
 
     def _over(self, at: float) -> Iterator[tuple]:
         while (end := self.next_due()) is not None and end <= at:
-            yield from self.due(millis(end))
+            yield from self.due(millis(end), at)
 
     def step(self, event) -> Iterator[tuple]:
         w, seq, at, action = event["worker"], event["seq"], event["at"], event["action"]

@@ -122,3 +122,20 @@ def test_a_stream_asks_for_its_state_store(spark, tmp_path):
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != workers.STORE:
         with pytest.raises(ValueError, match="stateStore"):
             workers.worker_leases(stream)
+
+
+def test_a_wait_that_ends_after_an_event_of_the_same_millisecond_is_not_over(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # workers 0 and 20 of one pool wait until 10.0001 and 10.0003 s; 20 starts, and 0 is limited, in between
+    rows = "(3, 0, 'view', 100), (6, 20, 'view', 300), (7, 20, 'signup', 10000200), (8, 0, 'error', 10000250), (9, 20, 'signup', 90000000), (10, 0, 'signup', 200000000)"
+    events = f"SELECT a::BIGINT AS event_id, make_timestamp(1704067200000000 + d) AS ts, b::BIGINT AS user_id, c AS event_type, 1.0 AS value FROM (VALUES {rows}) t(a, b, c, d)"
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet'")
+    told = duckdb.connect()
+    told.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = told.execute(entry.oracle_sql()["worker_pools"]).fetchall()
+    found = [tuple(r) for r in entry.queries()["worker_pools"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    assert ("0", "20", 7) in [r[:3] for r in found if r[4] == "waiting"]
