@@ -27,6 +27,8 @@ PARTS = "ARRAY<STRUCT<start: BIGINT, packed: BIGINT, deflated: BOOLEAN>>"
 LISTING = f"archive STRING, path STRING, size BIGINT, place BIGINT, parts {PARTS}, adler BIGINT"
 CONTENTS = "archive STRING, path STRING, size BIGINT, content BINARY, problem STRING"
 SHARE_BYTES = 64 << 20
+#: What a task gives on at once.
+BATCH_BYTES, BATCH_ENTRIES = 4 << 20, 1_000
 # How an XP3 file begins, the mark of a directory that stands elsewhere, and the bits of packed parts.
 XP3_BEGIN = b"XP3\r\n \n\x1a\x8bg\x01"
 XP3_ELSEWHERE, XP3_PACKED_DIRECTORY, XP3_PACKED_PART = 0x80, 1, 7
@@ -138,23 +140,40 @@ def entries(archive: str) -> list[Entry]:
         return list(_zip_entries(archive, f)) if begin[:4] in (b"PK\x03\x04", b"PK\x05\x06") else []
 
 
-def content(f, entry: Entry) -> bytes:
-    """The bytes of an entry from its open archive."""
-    try:
-        f.seek(entry.parts[0].start if entry.parts else 0)
-        if entry.parts and f.read(4) == b"PK\x03\x04":
-            with zipfile.ZipFile(f) as z, z.open(entry.path) as e:
-                return e.read()
-        pieces = []
-        for p in entry.parts:
-            raw = _exactly(f, p.start, p.packed)
-            pieces.append(zlib.decompress(raw) if p.deflated else raw)
-    except (zlib.error, zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-        raise Broken(f"{entry.archive}: {entry.path}: {e}") from e
-    found = b"".join(pieces)
-    if entry.adler is not None and zlib.adler32(found) != entry.adler:
-        raise Broken(f"{entry.archive}: {entry.path}: checksum")
-    return found
+class _Opened:
+    """An archive that is open for its entries; the directory of a ZIP file is read once, however many entries follow."""
+
+    def __init__(self, archive: str):
+        system, at = opened(archive)
+        self.archive, self.f, self.zip, self.heads = archive, system.open_input_file(at), None, {}
+
+    def _unzipped(self, entry: Entry) -> bytes:
+        if self.zip is None:
+            self.zip = zipfile.ZipFile(self.f)
+            self.heads = {i.header_offset: i for i in self.zip.infolist()}
+        # by place, as several entries may have one name
+        with self.zip.open(self.heads.get(entry.parts[0].start, entry.path)) as e:
+            return e.read()
+
+    def content(self, entry: Entry) -> bytes:
+        """The bytes of an entry."""
+        try:
+            self.f.seek(entry.parts[0].start if entry.parts else 0)
+            if entry.parts and self.f.read(4) == b"PK\x03\x04":
+                return self._unzipped(entry)
+            pieces = []
+            for p in entry.parts:
+                raw = _exactly(self.f, p.start, p.packed)
+                pieces.append(zlib.decompress(raw) if p.deflated else raw)
+        except (zlib.error, zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+            raise Broken(f"{entry.archive}: {entry.path}: {e}") from e
+        found = b"".join(pieces)
+        if entry.adler is not None and zlib.adler32(found) != entry.adler:
+            raise Broken(f"{entry.archive}: {entry.path}: checksum")
+        return found
+
+    def close(self) -> None:
+        self.f.close()
 
 
 @dataclass
@@ -254,27 +273,36 @@ def contents(listing: DataFrame, share_bytes: int = SHARE_BYTES, permissive: boo
     and problem says why.
     """
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["archive", "path", "size", "content", "problem"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        now, f = None, None
+        now, rows, held = None, [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                if r["archive"] != now:
-                    if f:
-                        f.close()
-                    system, at = opened(r["archive"])
-                    now, f = r["archive"], system.open_input_file(at)
-                entry = Entry(now, r["path"], r["size"], tuple(Part(**p) for p in r["parts"]), r["adler"])
+                if now is None or r["archive"] != now.archive:
+                    if now:
+                        now.close()
+                    now = _Opened(r["archive"])
+                entry = Entry(now.archive, r["path"], r["size"], tuple(Part(**p) for p in r["parts"]), r["adler"])
                 found, problem = None, None
                 try:
-                    found = content(f, entry)
+                    found = now.content(entry)
                 except Broken as e:
                     if not permissive:
                         raise
                     problem = str(e)
-                # a batch to an entry: entries may be large
-                yield pa.RecordBatch.from_pydict({"archive": [now], "path": [entry.path], "size": [entry.size], "content": pa.array([found], pa.binary()), "problem": pa.array([problem], pa.string())})
-        if f:
-            f.close()
+                rows.append((entry.archive, entry.path, entry.size, found, problem))
+                held += len(found or b"")
+                # entries may be large, so batches end by their bytes
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ENTRIES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+        if now:
+            now.close()
 
     dealt = listing.withColumn("share", F.floor(F.col("place") / share_bytes)).repartition("archive", "share").sortWithinPartitions("archive", "place")
     return dealt.select("archive", "path", "size", "parts", "adler").mapInArrow(run, CONTENTS)

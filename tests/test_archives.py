@@ -91,3 +91,18 @@ def test_what_is_written_reads_equal_and_a_failed_write_leaves_nothing(spark, tm
     with pytest.raises(Exception, match="lost"):
         archives.write_archives(files.withColumn("path", F.when(F.col("path") == "null", F.raise_error(F.lit("lost"))).otherwise(F.col("path"))), str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == names
+
+
+def test_a_directory_is_read_once_and_entries_of_one_name_differ(spark, tmp_path, monkeypatch):
+    with pytest.warns(UserWarning, match="Duplicate"), zipfile.ZipFile(tmp_path / "p.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(300):
+            z.writestr("twice" if i < 2 else f"p{i}", f"text {i}")
+    listing = archives.archive_entries(spark, str(tmp_path / "p.zip"))
+    assert {bytes(r["content"]) for r in archives.contents(listing.where("path = 'twice'")).collect()} == {b"text 0", b"text 1"}
+    read, once = [], zipfile.ZipFile._RealGetContents
+    monkeypatch.setattr(zipfile.ZipFile, "_RealGetContents", lambda z: (read.append(1), once(z))[1])
+    found = archives.entries(str(tmp_path / "p.zip"))
+    opened = archives._Opened(str(tmp_path / "p.zip"))
+    assert [opened.content(e) for e in found] == [f"text {i}".encode() for i in range(300)]
+    assert len(read) == 2  # the listing, and all contents together
+    opened.close()
