@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import is_candidate
 
 LEAST, MOST_RESOURCE, MOST_ASSET = 2, 4096, 8192
+#: What a task holds of found texts before they go on.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 4_000
 
 
 def utf8_marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +73,24 @@ def _found(column: pa.Array, least: int, most: int, step: int, shown: bool) -> I
                 yield row, at, length, text
 
 
+def _told(ids: pa.Array, rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+    row, at, length, text = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(text, pa.string())], ["id", "at", "length", "text"])
+
+
+def _pieces(batch: pa.RecordBatch, most: int, step: int, shown: bool) -> Iterator[pa.RecordBatch]:
+    """(id, at, length, text) found in (id, content), some at a time: ranges may overlap, so a batch can have many more bytes of texts than of contents."""
+    rows, held = [], 0
+    for r in _found(batch.column(1), LEAST, most, step, shown):
+        rows.append(r)
+        held += r[2]
+        if held >= PIECE_BYTES or len(rows) >= PIECE_ROWS:
+            yield _told(batch.column(0), rows)
+            rows, held = [], 0
+    if rows:
+        yield _told(batch.column(0), rows)
+
+
 def probe(df: DataFrame, lang: str, asset: bool = False, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """(id, at, text) of the texts in each row's content that are candidates of a language, none overlapping another.
 
@@ -83,9 +103,7 @@ def probe(df: DataFrame, lang: str, asset: bool = False, id_col: str = "id", con
 
     def look(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_found(batch.column(1), LEAST, most, step, not asset))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], ["id", "at", "length", "text"])
+            yield from _pieces(batch, most, step, not asset)
 
     def choose(batches) -> Iterator[pa.RecordBatch]:
         now, free = None, 0

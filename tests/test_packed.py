@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossaflow.functions import packed, text
@@ -141,6 +142,15 @@ def test_percents_and_times(spark):
     assert all((r["t"], r["d"]) == tuple(time.strftime(f, time.gmtime(r["s"])) for f in ("%Y%m%d-%H%M%S", "%Y-%m-%d")) for r in found)
 
 
+def test_overlapping_texts_go_on_in_pieces(spark):
+    data = (b"\x00\x0c\x00\x00" * 8_000)[:-1]  # a length of 3,072 at each fourth byte
+    batch = pa.RecordBatch.from_pydict({"id": [7], "content": [data + b"x"]})
+    found = list(length_prefixed._pieces(batch, length_prefixed.MOST_ASSET, 4, False))
+    assert len(found) > 20 and max(b.nbytes for b in found) < 2 * length_prefixed.PIECE_BYTES
+    places = [x for b in found for x in b.column(1).to_pylist()]
+    assert places == list(range(0, 4 * (8_000 - 768), 4))
+
+
 def test_packed_events_of_large_keys_and_halves_equal_their_sql(spark, tmp_path):
     import duckdb
 
