@@ -40,29 +40,36 @@ def _json_leaves() -> str:
     return f"WITH {', '.join(levels)} SELECT substring(path, 2) AS path, kind, variant_get(value, '$', 'string') AS text FROM ({last}) WHERE NOT (kind IN ('OBJECT<>', 'ARRAY<VOID>') AND to_json(value) IN ('{{}}', '[]'))"
 
 
-def statements() -> list[str]:
-    """The CREATE FUNCTION statements, in the order in which they build on each other."""
+def _has_source_text(body: str) -> str:
+    detected = " ".join(f"WHEN {_literal(k)} THEN {body} RLIKE {_literal(v)}" for k, v in text.DETECTORS.items())
+    return f"CASE lang {detected} ELSE raise_error(concat('unsupported source language: ', lang)) END"
+
+
+def _is_candidate(body: str) -> str:
     edge, blank = (_literal(p) for p in (rf"(?U)^{text.EDGE}+|{text.EDGE}+\z", rf"(?U)^{text.EDGE}*\z"))
-    detected = " ".join(f"WHEN {_literal(k)} THEN body RLIKE {_literal(v)}" for k, v in text.DETECTORS.items())
-    bare = f"regexp_replace(body, {edge}, '')"
+    bare = f"regexp_replace({body}, {edge}, '')"
+    return f"coalesce(NOT {body} RLIKE {blank} AND NOT {bare} RLIKE {_literal(text.PATH_LIKE)} AND {_has_source_text(bare)} AND NOT (lang = 'en' AND {bare} RLIKE {_literal(text.IDENTIFIER)}), false)"
+
+
+def statements() -> list[str]:
+    """The CREATE FUNCTION statements."""
     scalar = {
         "item_id(source STRING) RETURNS STRING": "substring(sha1(cast(source AS BINARY)), 1, 16)",
         "visible_text(body STRING) RETURNS STRING": f"regexp_replace(body, {_literal(scripts.TAG)}, '')",
-        "has_source_text(body STRING, lang STRING) RETURNS BOOLEAN": f"CASE lang {detected} ELSE raise_error(concat('unsupported source language: ', lang)) END",
-        "is_candidate(body STRING, lang STRING) RETURNS BOOLEAN": (
-            f"coalesce(NOT body RLIKE {blank} AND NOT {bare} RLIKE {_literal(text.PATH_LIKE)} AND has_source_text({bare}, lang) AND NOT (lang = 'en' AND {bare} RLIKE {_literal(text.IDENTIFIER)}), false)"
-        ),
+        "has_source_text(body STRING, lang STRING) RETURNS BOOLEAN": _has_source_text("body"),
+        "is_candidate(body STRING, lang STRING) RETURNS BOOLEAN": _is_candidate("body"),
     }
-    # quoted strings of a line, the properties of a scene with their bodies
-    quoted = f"SELECT p, explode(regexp_extract_all(l, {_literal(scripts.SCRIPT_STRING)}, 1)) AS q FROM (SELECT posexplode(split(body, '\\\\r\\\\n|[\\\\n\\\\r]')) AS (p, l))"
+    # Each table function of texts makes one array and takes it apart at once, from built-in functions alone. Spark then runs it within the row that
+    # calls it; what stands on several steps meets its callers by a join on their whole text.
+    inner, fit = _unescaped("substring(q, 2, length(q) - 2)"), _is_candidate("x.source")
+    quoted = f"transform(regexp_extract_all(l, {_literal(scripts.SCRIPT_STRING)}, 1), q -> named_struct('line', p + 1, 'source', {inner}))"
     pattern = _literal(scripts.SCENE_PATTERN)
-    both = f"SELECT explode(arrays_zip(regexp_extract_all(body, {pattern}, 1), regexp_extract_all(body, {pattern}, 2))) AS x"
-    inner = _unescaped("substring(q, 2, length(q) - 2)")
+    both = f"arrays_zip(regexp_extract_all(body, {pattern}, 1), regexp_extract_all(body, {pattern}, 2))"
     table = {
-        "text_lines(body STRING) RETURNS TABLE(line INT, text STRING)": "SELECT p + 1, l FROM (SELECT posexplode(split(body, '\\n', -1)) AS (p, l)) WHERE l <> ''",
-        "script_strings(body STRING, lang STRING) RETURNS TABLE(line INT, source STRING)": f"SELECT line, source FROM (SELECT p + 1 AS line, {inner} AS source FROM ({quoted})) WHERE is_candidate(source, lang)",
+        "text_lines(body STRING) RETURNS TABLE(line INT, text STRING)": "SELECT inline(filter(transform(split(body, '\\n', -1), (l, p) -> named_struct('line', p + 1, 'text', l)), x -> x.text <> ''))",
+        "script_strings(body STRING, lang STRING) RETURNS TABLE(line INT, source STRING)": f"SELECT inline(filter(flatten(transform(split(body, '\\\\r\\\\n|[\\\\n\\\\r]'), (l, p) -> {quoted})), x -> {fit}))",
         "scene_texts(body STRING, lang STRING) RETURNS TABLE(property STRING, source STRING)": (
-            f"SELECT property, source FROM (SELECT x.`0` AS property, {_unescaped('x.`1`')} AS source FROM ({both})) WHERE is_candidate(source, lang)"
+            f"SELECT inline(filter(transform({both}, z -> named_struct('property', z.`0`, 'source', {_unescaped('z.`1`')})), x -> {fit}))"
         ),
         "json_leaves(doc STRING) RETURNS TABLE(path STRING, kind STRING, text STRING)": _json_leaves(),
     }

@@ -50,3 +50,9 @@ def test_json_leaves_in_sql(spark, texts):
     df.createOrReplaceTempView("docs")
     found = spark.sql("SELECT file, l.* FROM docs, LATERAL json_leaves(doc) l")
     assert rows(found) == rows(json_walk.leaves(df.select("file", json_walk.parsed(F.col("doc")).alias("value"))))
+
+
+def test_table_functions_of_texts_need_no_join(spark, texts):
+    for call in ("script_strings(text, 'en')", "scene_texts(text, 'en')", "text_lines(text)"):
+        plan = spark.sql(f"SELECT seq, s.* FROM texts, LATERAL {call} s")._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "Join" not in plan and "Exchange" not in plan
