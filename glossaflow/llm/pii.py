@@ -149,8 +149,8 @@ def _term_spans(text: Column, held: Column) -> Column:
 
 
 def held_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, mark, held): the terms that each (id, text) has."""
-    return occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("held"))
+    """(id, mark, held): the terms that each (id, text) has. They are stored and counted, so that few do not draw all texts into a shuffle."""
+    return _few(checkpoint(occurrences(docs, terms).groupBy("id", "mark").agg(F.collect_set("term").alias("held"))))
 
 
 def _same(left: str, right: str) -> Column:

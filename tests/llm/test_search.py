@@ -286,3 +286,18 @@ def test_long_and_broken_pages_take_linear_time():
 def test_formulas_and_objects_of_an_article_stay():
     page = f"<article><h1>Title</h1><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>fallback</object></p><button>Send</button></article>"
     assert html_model.main_text(page, html_model.learn(html_model.Counter())).split("\n\n") == ["Title", f"{BODY} x=1 and fallback"]
+
+
+def test_few_held_terms_draw_no_texts_into_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other text") for i in range(20)] + [(None, "word3")], "id BIGINT, text STRING")
+    terms = spark.createDataFrame([("word3",)], "term STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = pii.held_terms(docs, terms)
+        joined = docs.withColumn("mark", F.xxhash64("text")).alias("d").join(held.alias("h"), pii._same("d", "h")).select("d.id", "held")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((str(r["id"]), r["held"]) for r in joined.collect()) == [("3", ["word3"]), ("None", ["word3"])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
