@@ -86,7 +86,8 @@ def scenario_occurrences(files: DataFrame, lang: str = "ja", attributes_shown: b
     visible = strip(F.regexp_replace("source", TAG, ""))
     shown = F.col("kind") != "speaker" if attributes_shown else F.col("kind") == "text"
     context = F.when(visible.rlike(SPEAKER), "speaker").otherwise(F.col("kind"))
-    fit = units.where(is_candidate(visible, lang))
+    # a filter makes a text anew wherever it stands, so it is made once and named
+    fit = units.where(F.transform(F.array(visible), lambda v: is_candidate(v, lang))[0])
     return fit.select("source", F.lit("scenario").alias("surface"), F.concat_ws(":", "seq", F.col("line") + 1).alias("ref"), context.alias("context"), F.when(shown, "display").otherwise("unknown").alias("hint"))
 
 
