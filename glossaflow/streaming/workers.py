@@ -29,6 +29,8 @@ POOL_EVENTS = "pool STRING, worker STRING, seq BIGINT, at DOUBLE, action STRING,
 POOL_ROWS = "pool STRING, worker STRING, seq BIGINT, at DOUBLE, state STRING, failures INT, streak INT, until DOUBLE"
 #: Seconds that a stream adds to all times, as it takes nothing at or before its first watermark, which is the epoch.
 SHIFT = 86_400
+#: Rows that a batch's task gathers before it gives them on; ties make several of one event.
+ROWS_AT_ONCE = 20_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -108,6 +110,8 @@ class Pool:
     limited: `rate_limited`; the streak and the cooldown grow, empty runs do not count. drained: the worker is `complete`.
     pause and resume hold for the pool; stop cancels every worker that is not done, and what the pool remembers goes. Events of a blocked or
     complete worker give its state once more and change nothing. Waits that end give `ready`, the end of a cooldown `cooldown_over`.
+    A further finish ends a wait after its own moment: what the worker starts or finishes at that same moment still falls into the wait, and
+    is told once for each wait that it falls into, a start with the end of that wait.
     """
 
     keys = ("pool",)
@@ -115,7 +119,7 @@ class Pool:
     DONE = ("blocked", "complete")
 
     def __init__(self):
-        self.workers: dict[str, list] = {}  # state, failures, until
+        self.workers: dict[str, list] = {}  # state, failures, end of the wait, moment of the last finish, ends of waits that it met
         self.paused, self.streak, self.cooldown, self.told = False, 0, 0.0, True
 
     def saved(self) -> tuple[list[tuple], tuple | None]:
@@ -162,30 +166,39 @@ class Pool:
         elif w is None:
             yield w, seq, at, "ignored", None, self.streak, None
         else:
-            x = self.workers.setdefault(w, ["idle", 0, None])
-            until = x[2]
+            x = self.workers.setdefault(w, ["idle", 0, None, None, []])
+            until, waits = x[2], []
             if x[0] in self.DONE:
                 pass
             elif action == "start":
+                waits = self._waits(x, at)
                 if self.paused:
                     x[0], until = "paused", None
                 elif self.cooldown > at:
                     x[0], until = "global_cooldown", self.cooldown
                 else:
-                    x[0] = "waiting" if x[2] is not None else "running"
+                    x[0] = "waiting" if waits else "running"
             elif action == "limited":
                 self.streak += 1
                 self.cooldown, self.told = max(self.cooldown, at + retry_delay(self.streak)), False
                 x[0], until = "rate_limited", self.cooldown
             elif action == "finish":
+                waits = self._waits(x, at)
                 if at >= self.cooldown:
                     self.streak = 0
                 x[1] = 0 if (event["accepted"] or 0) > 0 else x[1] + 1
                 x[0] = "blocked" if x[1] >= EMPTY_RUNS else "batch_finished"
                 x[2] = until = at + EMPTY_WAIT if 0 < x[1] < EMPTY_RUNS else None
+                x[3], x[4] = at, [] if x[0] in self.DONE else waits
             elif action == "drained":
-                x[0], x[2], until = "complete", None, None
-            yield w, seq, at, x[0], x[1], self.streak, until
+                x[0], x[2], x[4], until = "complete", None, [], None
+            for end in waits or [until]:
+                yield w, seq, at, x[0], x[1], self.streak, end if x[0] == "waiting" else until
+
+    @staticmethod
+    def _waits(x: list, at: float) -> list[float]:
+        """The ends of the waits that a worker is in."""
+        return [*(x[4] if x[3] == at else []), *([] if x[2] is None else [x[2]])]
 
 
 class _Processor(StatefulProcessor):
@@ -268,6 +281,9 @@ def _replayed(events: DataFrame, machine: Callable, late: float) -> DataFrame:
                     out += end()
                     m, now = machine(), event[key]
                 out += [(now, *r) for r in m.step(event)]
+                if len(out) >= ROWS_AT_ONCE:
+                    yield _table(out, names, rows)
+                    out = []
             yield _table(out, names, rows)
         yield _table(list(end()), names, rows)
 
@@ -307,4 +323,4 @@ def worker_leases(events: DataFrame, seconds: float = LEASE_SECONDS, late: float
 
 def worker_pools(events: DataFrame, late: float = 60.0) -> DataFrame:
     """The state of a worker after every event (POOL_EVENTS), and rows for waits and cooldowns that are over; see Pool."""
-    return run(events, Pool, late, "state STRING, failures INT, until DOUBLE", "paused BOOLEAN, streak INT, cooldown DOUBLE, told BOOLEAN")
+    return run(events, Pool, late, "state STRING, failures INT, until DOUBLE, finished DOUBLE, met ARRAY<DOUBLE>", "paused BOOLEAN, streak INT, cooldown DOUBLE, told BOOLEAN")

@@ -139,3 +139,27 @@ def test_a_wait_that_ends_after_an_event_of_the_same_millisecond_is_not_over(spa
     found = [tuple(r) for r in entry.queries()["worker_pools"](spark, str(tmp_path)).collect()]
     assert sorted(found, key=key) == sorted(expected, key=key)
     assert ("0", "20", 7) in [r[:3] for r in found if r[4] == "waiting"]
+
+
+def test_an_event_is_told_once_for_each_wait_that_it_falls_into(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # finishes and starts of one moment, after a wait that is still open; ids that 3 divides bring nothing
+    rows = "(3, 20, 'view', 0), (6, 20, 'view', 5), (7, 20, 'click', 5), (10, 20, 'signup', 5), (12, 20, 'view', 5), (13, 20, 'signup', 5), (14, 20, 'signup', 6), (15, 0, 'click', 7), (16, 0, 'view', 8), (17, 0, 'signup', 8), (18, 0, 'signup', 200)"
+    events = f"SELECT a::BIGINT AS event_id, make_timestamp(1704067200000000 + d * 1000000) AS ts, b::BIGINT AS user_id, c AS event_type, 1.0 AS value FROM (VALUES {rows}) t(a, b, c, d)"
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet'")
+    told = duckdb.connect()
+    told.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = told.execute(entry.oracle_sql()["worker_pools"]).fetchall()
+    found = [tuple(r) for r in entry.queries()["worker_pools"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    assert len([r for r in found if r[2] == 13]) == 3
+
+
+def test_a_stream_keeps_the_waits_of_one_moment(rocks, tmp_path):
+    rows = [("p", "w", n, at, action, accepted) for n, (at, action, accepted) in enumerate([(0.0, "finish", 0), (5.0, "finish", 0), (5.0, "finish", 1), (5.0, "finish", 0), (5.0, "start", None), (6.0, "start", None), (99.0, "start", None)])]
+    expected = batch(rocks, rows, workers.POOL_EVENTS, workers.worker_pools, late=60.0)
+    assert sorted(r[7] - r[3] for r in expected if r[2] == 4) == [5.0, 10.0, 10.0]
+    assert streamed(rocks, tmp_path, rows, workers.POOL_EVENTS, [2, 4], workers.worker_pools, late=60.0)[0] == expected
