@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
@@ -121,6 +122,7 @@ class Pool:
     def __init__(self):
         self.workers: dict[str, list] = {}  # state, failures, end of the wait, moment of the last finish, ends of waits that it met
         self.paused, self.streak, self.cooldown, self.told = False, 0, 0.0, True
+        self.ends: list[tuple[float, str]] = []  # a heap of what may end, the cooldown with no name; what has changed since is passed over
 
     def saved(self) -> tuple[list[tuple], tuple | None]:
         rest = (self.paused, self.streak, self.cooldown, self.told)
@@ -130,22 +132,27 @@ class Pool:
         self.workers = {w: list(x) for w, *x in workers}
         if rest:
             self.paused, self.streak, self.cooldown, self.told = rest
+        self.ends = [(x[2], w) for w, x in self.workers.items() if x[2] is not None] + ([] if self.told else [(self.cooldown, "")])
+        heapify(self.ends)
 
     def next_due(self) -> float | None:
-        ends = [x[2] for x in self.workers.values() if x[2] is not None]
-        return min(ends + ([] if self.told else [self.cooldown]), default=None)
+        while self.ends:
+            at, w = self.ends[0]
+            if (self.workers[w][2] == at) if w else (not self.told and self.cooldown == at):
+                return at
+            heappop(self.ends)
+        return None
 
     def due(self, reached: int, before: float = math.inf) -> Iterator[tuple]:
         """Rows of what has ended by a millisecond, or in it by the time of an event that stands in the same one."""
-        ends = [(x[2], w) for w, x in self.workers.items() if x[2] is not None] + ([] if self.told else [(self.cooldown, "")])
-        for at, w in sorted(ends):
-            if millis(at) <= reached and at <= before:
-                if w:
-                    self.workers[w][2] = None
-                    yield w, None, at, "ready", self.workers[w][1], self.streak, None
-                else:
-                    self.told = True
-                    yield None, None, at, "cooldown_over", None, self.streak, None
+        while (at := self.next_due()) is not None and millis(at) <= reached and at <= before:
+            _, w = heappop(self.ends)
+            if w:
+                self.workers[w][2] = None
+                yield w, None, at, "ready", self.workers[w][1], self.streak, None
+            else:
+                self.told = True
+                yield None, None, at, "cooldown_over", None, self.streak, None
 
     def _over(self, at: float) -> Iterator[tuple]:
         while (end := self.next_due()) is not None and end <= at:
@@ -181,6 +188,7 @@ class Pool:
             elif action == "limited":
                 self.streak += 1
                 self.cooldown, self.told = max(self.cooldown, at + retry_delay(self.streak)), False
+                heappush(self.ends, (self.cooldown, ""))
                 x[0], until = "rate_limited", self.cooldown
             elif action == "finish":
                 waits = self._waits(x, at)
@@ -190,6 +198,8 @@ class Pool:
                 x[0] = "blocked" if x[1] >= EMPTY_RUNS else "batch_finished"
                 x[2] = until = at + EMPTY_WAIT if 0 < x[1] < EMPTY_RUNS else None
                 x[3], x[4] = at, [] if x[0] in self.DONE else waits
+                if until is not None:
+                    heappush(self.ends, (until, w))
             elif action == "drained":
                 x[0], x[2], x[4], until = "complete", None, [], None
             for end in waits or [until]:

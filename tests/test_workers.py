@@ -163,3 +163,26 @@ def test_a_stream_keeps_the_waits_of_one_moment(rocks, tmp_path):
     expected = batch(rocks, rows, workers.POOL_EVENTS, workers.worker_pools, late=60.0)
     assert sorted(r[7] - r[3] for r in expected if r[2] == 4) == [5.0, 10.0, 10.0]
     assert streamed(rocks, tmp_path, rows, workers.POOL_EVENTS, [2, 4], workers.worker_pools, late=60.0)[0] == expected
+
+
+def test_a_step_does_not_look_at_all_workers():
+    class Seen(dict):
+        looks = 0
+
+        def values(self):
+            Seen.looks += 1
+            return super().values()
+
+        def items(self):
+            Seen.looks += 1
+            return super().items()
+
+    pool, rows = workers.Pool(), []
+    pool.workers = Seen()
+    for n in range(5000):
+        action = "start" if n // 1000 == 1 else "finish"
+        rows += pool.step({"worker": f"w{n % 1000}", "seq": n, "at": n * 0.005, "action": action, "accepted": 0})
+    for at, action in ((30.0, "limited"), (100.0, "pause")):
+        rows += pool.step({"worker": "v", "seq": 5000, "at": at, "action": action, "accepted": None})
+    assert Seen.looks == 0
+    assert {"ready", "cooldown_over", "waiting", "blocked"} <= {r[3] for r in rows}
