@@ -80,6 +80,32 @@ def test_join_of_awkward_rows(spark, awkward, empty):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
+def test_bitmaps_that_let_all_through_change_no_result(spark, monkeypatch, awkward):
+    import numpy as np
+
+    docs = spark.createDataFrame([*corpus(), (5, "of an id that comes twice", "en", "s", 1), (None, "null", "en", "s", 1)], COLUMNS).repartition(3)
+    expected = sorted(map(str, jaccard_join.one_of_each(docs.where("doc_id <> 5 OR doc_id IS NULL")).collect()))
+    twice = {r["doc_id"] for r in jaccard_join.one_of_each(awkward).collect()}
+    monkeypatch.setattr(linkage, "bloom", lambda *_, **__: np.full(8192, 255, np.uint8))
+    assert sorted(map(str, jaccard_join.one_of_each(docs.where("doc_id <> 5 OR doc_id IS NULL")).collect())) == expected
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(awkward).collect()} == twice
+    ids = [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()]
+    assert ids.count(5) <= 1 and None in ids
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+@pytest.mark.parametrize("operator", [jaccard_join.similar_components])
+def test_no_shuffle_files_are_left(spark, operator):
+    docs = spark.createDataFrame(corpus(), COLUMNS).repartition(3)
+    before = shuffle_files(spark)
+    operator(docs)
+    assert shuffle_files(spark) <= before
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a BIGINT, b BIGINT")
     got = {r["id"]: r["component"] for r in linkage.components(edges).collect()}
