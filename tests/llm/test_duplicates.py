@@ -260,3 +260,22 @@ def test_spans_of_awkward_rows(awkward, empty):
     found = Counter(i for i, *_ in spans)
     assert set(found) == {1, 2, 3, 11, 13} and (2, 0, 120) in spans and (13, 1, 121) in spans
     assert suffix_dedup.repeated_spans(empty).count() == 0
+
+
+def test_workers_of_the_join_do_without_pandas(spark):
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import sys, glossaflow.llm.jaccard_join as j; print('pandas' in sys.modules, j.TEXTS_AT_ONCE <= 500)"], capture_output=True, text=True)
+    assert said.stdout.split() == ["False", "True"], said.stderr
+
+
+def test_settings_come_back(spark):
+    from glossaflow.llm.common import swept
+
+    rules = "spark.sql.adaptive.optimizer.excludedRules"
+    assert spark.conf.get(rules, None) is None
+    with swept(spark):
+        assert "AQEPropagateEmptyRelation" in spark.conf.get(rules)
+    assert spark.conf.get(rules, None) is None
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
