@@ -98,7 +98,7 @@ def shuffle_files(spark):
     return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f}
 
 
-@pytest.mark.parametrize("operator", [jaccard_join.similar_components])
+@pytest.mark.parametrize("operator", [jaccard_join.similar_components, paragraph_dedup.near_duplicates])
 def test_no_shuffle_files_are_left(spark, operator):
     docs = spark.createDataFrame(corpus(), COLUMNS).repartition(3)
     before = shuffle_files(spark)
